@@ -24,7 +24,7 @@ from .common import WHITE, map_texts
 #: Trees with more leaves are worked one by one; leaves that are merged side by side at once.
 WIDEST, SIDE_BY_SIDE = 256, 1 << 19
 #: Runs kept in a worker's cache, and runs of one text held at once.
-CACHED, HELD = 250_000, 400_000
+CACHED, HELD = 700_000, 400_000
 #: A run is a stretch that no match of the split pattern crosses: at most one space and what follows
 #: up to white space, or white space.
 RUNS = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")

@@ -21,7 +21,7 @@ from .bpe import runs
 from .common import map_texts, slices
 
 #: Rows of the broadcast table (about 20 bytes each); runs a task's summary keeps; runs in a worker's cache.
-FREQUENT, SUMMARY, CACHED = 1 << 16, 1 << 12, 250_000
+FREQUENT, SUMMARY, CACHED = 1 << 16, 1 << 12, 900_000
 
 _made: dict = {}
 
