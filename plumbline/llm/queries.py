@@ -7,10 +7,14 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, media, packing, quality, secrets, token_counts, toxicity
+from . import bpe, embedding_dedup, html_text, media, packing, quality, secrets, token_counts, toxicity
 from .common import table
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scans, op4_byte_bpe, op5_toxicity, op6_packing, op7_html_extraction, op8_quality, op9_media_columns, op10_token_counts)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_secret_scans, op4_byte_bpe, op5_toxicity, op6_packing, op7_html_extraction, op8_quality, op9_media_columns, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
