@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, html_text, media, packing, quality, secrets, token_counts, toxicity
+from . import bpe, embedding_dedup, html_text, jaccard_join, media, packing, quality, secrets, token_counts, toxicity
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -49,7 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_secret_scans, op4_byte_bpe, op5_toxicity, op6_packing, op7_html_extraction, op8_quality, op9_media_columns, op10_token_counts)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_secret_scans, op3_jaccard_join, op4_byte_bpe, op5_toxicity, op6_packing, op7_html_extraction, op8_quality, op9_media_columns, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
