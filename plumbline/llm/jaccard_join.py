@@ -350,3 +350,24 @@ def _verify(docs: DataFrame, facts: DataFrame, pairs: DataFrame, key: str, text:
     edges = written(_verified(pairs, sets), "similar-pairs")
     discard(sets)
     return edges
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each component, that of the least key; all columns stay.
+
+    What goes is found first and written: as many keys as BROADCAST_ROWS are broadcast, beyond that the join is by key. Of rows
+    that repeat a key that stays, one with the component's set stays. Rows with a null key stay.
+    """
+    found = written(similarity_components(docs, key, text).select(F.col(key).alias("gone_key_"), "component_id"), "near-copies")
+    gone = found.where("gone_key_ <> component_id").select("gone_key_").distinct()
+    out = _without(docs, gone, key)
+    again = found.where("gone_key_ is not null").groupBy("gone_key_").count().where("count > 1").select("gone_key_")
+    if again.isEmpty():
+        return out
+    repeated = out.join(again, out[key] == F.col("gone_key_"), "left_semi")
+    return _without(out, again, key).unionByName(repeated.dropDuplicates([key]))
+
+
+def _without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(keys) if few else keys.hint("merge"), docs[key] == keys["gone_key_"], "left_anti")
