@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import slices
 from .token_counts import _tokenizer
 
-WINDOW, OPEN_LIMIT, CACHED = 2048, 4096, 200_000
+WINDOW, OPEN_LIMIT, CACHED = 2048, 4096, 900_000
 
 _made: dict = {}
 
@@ -56,26 +56,29 @@ class WordIds:
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > CACHED:
-                self.pieces.clear()
-            at = piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(at)])
+        if len(self.pieces) > CACHED:
+            self.pieces.clear()
+        at = piece.encode().decode("latin-1").translate(self.letters)
+        ids = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(at)])
         return ids
 
-    def _word(self, word: str) -> bytes:
-        if max(word) < "Ā" and not any(s in word for s in self.special):
-            return b"".join(map(self._piece, self.pattern.findall(word.lower())))
-        return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
     def learn(self, wanted: set[str]) -> dict[str, bytes]:
-        words = self.words
+        """The cache after it has got all wanted words; what it held beyond CACHED goes first."""
+        words, pieces, split, piece = self.words, self.pieces, self.pattern.findall, self._piece
         if len(words) + len(wanted) > CACHED:
             words = self.words = {k: words[k] for k in wanted if k in words}
         for w in wanted:
-            if w not in words:
-                words[w] = self._word(w)
+            if w in words:
+                continue
+            if w.isascii() or max(w) < "Ā":
+                low = w.lower()
+                if low.isalpha():  # one piece; letters of the apostrophe endings come after an apostrophe only
+                    words[w] = pieces.get(low) or piece(low)
+                    continue
+                if not any(map(w.__contains__, self.special)):
+                    words[w] = b"".join([pieces.get(p) or piece(p) for p in split(low)])
+                    continue
+            words[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         return words
 
 
