@@ -29,7 +29,7 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 FREQUENT, COUNTED, REPORTED = 1 << 17, 1 << 21, 3
 #: Longest prefix extension; cost of verifying a shingle against scanning a posting; postings of a hot token in one sublist.
 MOST_MATCHES, VERIFY, SUBLIST = 4, 1 / 64, 2000
-#: Pivot orders of a star round; rounds at most; pairs for each posting below which the rest is enumerated; members a pivot's chunk has; nodes whose keys are broadcast.
+#: Pivot orders of a star round; rounds at most; pairs for each posting below which the rest is enumerated; members a pivot's chunk has; rows that say where texts go, broadcast up to so many.
 ORDERS, ROUNDS, REST, CHUNK, BROADCAST_ROWS = 2, 4, 2, 512, 200_000
 
 _M = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WORDS)]
@@ -140,10 +140,10 @@ def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _postings(docs: DataFrame, text: str, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(token, part, node, n, level, matches, turn): the prefixes, once for each set that a stretch of a task holds. part splits hot tokens' lists; turn orders a list."""
+    """(token, part, node, n, level, matches): the prefixes, once for each set that a stretch of a task holds. part splits hot tokens' lists."""
     shipped = docs.sparkSession.sparkContext.broadcast((frequent.tobytes(), counts.astype(np.float32).tobytes()))
-    names = ("token", "part", "node", "n", "level", "matches", "turn")
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int8(), pa.int64())
+    names = ("token", "part", "node", "n", "level", "matches")
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int8())
     out = pa.schema([pa.field(a, b) for a, b in zip(names, kinds, strict=True)])
 
     def run(batches):
@@ -174,10 +174,9 @@ def _postings(docs: DataFrame, text: str, frequent: np.ndarray, counts: np.ndarr
                     at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
                     parts = np.where(hot[at] == token, np.ceil(often[at] / SUBLIST), 1).astype(np.uint64)
                     part = (_mix(own + np.uint64(7)) % parts).astype(np.int32)
-                turn = _mix(own ^ (token % np.uint64(ORDERS) + np.uint64(1)) * np.uint64(_M[3])).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(token), part, node, spread(3, np.int32), np.concatenate([r[1] for r in rows]), spread(4, np.int8), turn)], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(token), part, node, spread(3, np.int32), np.concatenate([r[1] for r in rows]), spread(4, np.int8))], schema=out)
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token bigint, part int, node bigint, n int, level tinyint, matches tinyint, turn bigint")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token bigint, part int, node bigint, n int, level tinyint, matches tinyint")
 
 
 def _lists(postings: DataFrame) -> DataFrame:
@@ -218,7 +217,8 @@ def _lists(postings: DataFrame) -> DataFrame:
         if last is not None:
             yield emit(last, np.array([last["keep"]]))
 
-    near = postings.repartition("token", "part").sortWithinPartitions("token", "part", "turn")
+    turn = F.xxhash64("node", F.pmod("token", F.lit(ORDERS)))
+    near = postings.repartition("token", "part").sortWithinPartitions("token", "part", turn)
     return near.mapInArrow(run, "token bigint, node bigint, n int, level tinyint, matches tinyint, pivot bigint, pivot_n int")
 
 
@@ -227,47 +227,43 @@ def _fits(a: str, b: str):
     return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
 
 
-def _sets(docs: DataFrame, facts: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, set as bytes) of the nodes, from a document that has it. The documents' keys are broadcast if few, else joined by key."""
-    keys = written(facts.where("kind = 0").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key").distinct(), "verify-keys")
-    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(keys) if few else keys.hint("merge"), "key", "left_semi")
-    out = pa.schema([pa.field("node", pa.int64()), pa.field("set", pa.binary())])
-
-    def run(batches):
-        for batch in batches:
-            for _, texts in slices(batch, "text"):
-                sets = [shingles(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=out)
-
-    return rows.select("text").mapInArrow(run, "node bigint, set binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-
+def _verify(docs: DataFrame, facts: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough, written.
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. A pivot's members go to chunks, each of which gets the pivot's set first and streams its members' sets past it."""
-    chunk = F.pmod(F.xxhash64("b"), F.lit(1 << 20))
+    a is a pivot whose members go to chunks. Texts travel, as they are smaller than sets: one of each member goes
+    to its chunk, one of the pivot to each, where it comes first and the members stream past it. Where texts go is
+    broadcast if it is few rows, else joined by key."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    split = pairs.join(many, "a").withColumn("chunk", chunk % F.col("chunks")).select("a", "chunk", "b")
-    members = split.join(sets.withColumnRenamed("node", "b"), "b").select("a", "chunk", F.lit(1).alias("turn"), "b", "set")
-    pivots = many.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("turn"), F.col("a").alias("b"), "set")
+    members = pairs.join(many, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), F.lit(1).alias("turn"))
+    pivots = many.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("turn"))
+    roles = members.union(pivots)
+    source = facts.where("kind = 0").join(roles.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key_"))
+    places = written(roles.join(source, "node"), "verify-places")
+    few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    sent = rows.join(F.broadcast(places) if few else places.hint("merge"), F.col("key").eqNullSafe(F.col("key_"))).select("a", "chunk", "turn", "node", "text")
     out = pa.schema([pa.field("a", pa.int64()), pa.field("b", pa.int64())])
 
     def run(batches):
         pivot, own = None, None
         for batch in batches:
-            a_, b_ = [], []
-            for a, turn, b, raw in zip(*(batch.column(x).to_pylist() for x in ("a", "turn", "b", "set")), strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                if turn == 0:
-                    pivot, own = a, s
-                elif a == pivot:
-                    both = _common(own, s)
-                    if both * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (len(own) + len(s)):
+            for cols, texts in slices(batch, "text"):
+                a_, b_ = [], []
+                for a, turn, b, t in zip(cols[0].to_pylist(), cols[1].to_pylist(), cols[2].to_pylist(), texts, strict=True):
+                    if turn and a != pivot:
+                        continue
+                    s = shingles(t)
+                    if node_of(s) != b:  # another text under a repeated key
+                        continue
+                    if not turn:
+                        pivot, own = a, s
+                    elif _common(own, s) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (len(own) + len(s)):
                         a_.append(a)
                         b_.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], schema=out)
 
-    return pivots.union(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "turn").select("a", "turn", "b", "set").mapInArrow(run, "a bigint, b bigint")
+    near = sent.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "turn").select("a", "turn", "node", "text")
+    return written(near.mapInArrow(run, "a bigint, b bigint"), "similar-pairs")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -344,14 +340,6 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _verify(docs: DataFrame, facts: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(_sets(docs, facts, nodes, key, text), "sets")
-    edges = written(_verified(pairs, sets), "similar-pairs")
-    discard(sets)
-    return edges
-
-
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component, that of the least key; all columns stay.
 
