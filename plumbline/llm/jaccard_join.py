@@ -5,9 +5,9 @@ similarity of at least t overlap in t * n tokens of either, so the first n - cei
 chooses its l: where its prefix holds frequent tokens, the estimated cost of the candidates they bring is weighed against a longer prefix
 of which more tokens must be shared. Documents with equal sets are one node.
 
-Only components are asked for, so a group of near copies is not expanded into all its pairs: star rounds verify the
-documents of a posting list against a few pivots, what links is merged, and only pairs of different components that are left are
-enumerated, counted and verified. Every pair that shares enough prefix tokens is either verified or already within a component.
+Only components are asked for, so a group of near copies is not expanded into all its pairs: first neighbours in random orders of
+each posting list are verified, then stars around the documents with the most links; what links is merged, and only pairs of different
+components that are left are enumerated, counted and verified. Every pair that shares enough prefix tokens is either verified or already within a component.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ FREQUENT, COUNTED, REPORTED = 1 << 17, 1 << 21, 3
 #: Longest prefix extension; cost of verifying a shingle against scanning a posting; postings of a hot token in one sublist.
 MOST_MATCHES, VERIFY, SUBLIST = 4, 1 / 64, 2000
 #: Pivot orders of a star round; rounds at most; pairs for each posting below which the rest is enumerated; members a pivot's chunk has; rows that say where texts go, broadcast up to so many.
-ORDERS, ROUNDS, REST, CHUNK, BROADCAST_ROWS = 2, 4, 2, 512, 200_000
+ORDERS, ROUNDS, REST, CHUNK, BROADCAST_ROWS = 2, 2, 2, 512, 200_000
+#: Shingles of sets that a verifying task keeps at hand.
+RECENT = 4_000_000
 
 _M = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WORDS)]
 
@@ -180,7 +182,7 @@ def _postings(docs: DataFrame, text: str, frequent: np.ndarray, counts: np.ndarr
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """Posting lists with two nodes or more (all of hot tokens), each row with its sublist's pivot: the first by turn.
+    """Posting lists with two nodes or more (all of hot tokens), each row with the node before it as pivot, in one of ORDERS random orders of all nodes.
 
     Sorted partitions are passed through with one pending row, so a long list takes no memory."""
     names = ("token", "node", "n", "level", "matches", "pivot", "pivot_n")
@@ -197,15 +199,22 @@ def _lists(postings: DataFrame) -> DataFrame:
                 continue
             c = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in ("token", "part", "node", "n", "level", "matches")}
             k = batch.num_rows
+            # a set that several tasks have met stands next to itself
+            before = last["node"][0] if last is not None and last["token"][0] == c["token"][0] else None
+            once = np.ones(k, bool)
+            once[1:] = (c["token"][1:] != c["token"][:-1]) | (c["node"][1:] != c["node"][:-1])
+            once[0] = c["node"][0] != before
+            if not once.all():
+                c = {f: x[once] for f, x in c.items()}
+                k = int(once.sum())
+                if not k:
+                    continue
             new = np.ones(k, bool)
             new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["part"][1:] != c["part"][:-1])
             joined = last is not None and last["token"][0] == c["token"][0] and last["part"][0] == c["part"][0]
-            start = np.maximum.accumulate(np.where(new, np.arange(k), 0))
-            c["pivot"], c["pivot_n"] = c["node"][start], c["n"][start]
+            c["pivot"], c["pivot_n"] = (np.where(new, c[f], np.roll(c[f], 1)) for f in ("node", "n"))
             if joined:
-                head = start == 0
-                c["pivot"] = np.where(head, last["pivot"][0], c["pivot"])
-                c["pivot_n"] = np.where(head, last["pivot_n"][0], c["pivot_n"])
+                c["pivot"][0], c["pivot_n"][0] = last["node"][0], last["n"][0]
             more = ~new
             more[0] = joined
             keep = more | (c["part"] > 0)
@@ -222,6 +231,16 @@ def _lists(postings: DataFrame) -> DataFrame:
     return near.mapInArrow(run, "token bigint, node bigint, n int, level tinyint, matches tinyint, pivot bigint, pivot_n int")
 
 
+def _needed(a: str, b: str):
+    """The overlap that sets of these sizes need: ceil(t / (1 + t) (a + b))."""
+    both = NUMERATOR + DENOMINATOR
+    return F.expr(f"({NUMERATOR} * ({a} + {b}) + {both - 1}) div {both}")
+
+
+def _overlap(n: str):
+    return F.expr(f"({NUMERATOR} * {n} + {DENOMINATOR - 1}) div {DENOMINATOR}")
+
+
 def _fits(a: str, b: str):
     """Sizes that allow the similarity."""
     return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
@@ -246,15 +265,24 @@ def _verify(docs: DataFrame, facts: DataFrame, pairs: DataFrame, key: str, text:
 
     def run(batches):
         pivot, own = None, None
+        known: dict[int, np.ndarray] = {}  # sets met before, RECENT shingles at most
+        size = 0
         for batch in batches:
             for cols, texts in slices(batch, "text"):
                 a_, b_ = [], []
                 for a, turn, b, t in zip(cols[0].to_pylist(), cols[1].to_pylist(), cols[2].to_pylist(), texts, strict=True):
                     if turn and a != pivot:
                         continue
-                    s = shingles(t)
-                    if node_of(s) != b:  # another text under a repeated key
-                        continue
+                    s = known.get(b)
+                    if s is None:
+                        s = shingles(t)
+                        if node_of(s) != b:  # another text under a repeated key
+                            continue
+                        size += len(s)
+                        if size > RECENT:
+                            known.clear()
+                            size = len(s)
+                        known[b] = s
                     if not turn:
                         pivot, own = a, s
                     elif _common(own, s) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (len(own) + len(s)):
@@ -305,21 +333,31 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
             rest = by.groupBy("token").agg((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)).alias("pairs")).agg(F.sum("pairs") / 2).first()[0] or 0.0
             if rest <= REST * postings + 100_000 or turn == ROUNDS:
                 break
-            pivots = now.groupBy("token").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("component", F.lit(turn), F.pmod("token", F.lit(ORDERS)))).alias("p"))
+            degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+            ranked = now.join(degree, "node", "left").withColumn("rank", F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("node", F.lit(turn)).alias("h")))
+            pivots = ranked.groupBy("token").agg(F.max_by(F.struct("node", "n", "component"), "rank").alias("p"))
             star = now.join(pivots, "token").where("component <> p.component").select(F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "node", "n")
         else:
             star = now.where("node <> pivot")
-        pairs = star.where(_fits("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        # pairs with far too few of their common tokens here would fail; a pair left out comes up again below
+        few = F.count("*") * ORDERS * 5 < (_needed("first(n)", "first(pivot_n)") - F.greatest(_overlap("first(n)"), _overlap("first(pivot_n)"))) * 2
+        met = star.where(_fits("n", "pivot_n")).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(few.alias("few"))
+        pairs = met.where("not few").select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "star-pairs")
         tried = pairs if tried is None else tried.union(pairs)
         edges.append(_verify(docs, facts, pairs, key, text))
-        label = written(components(_union(edges)).withColumnRenamed("component", "component"), "labels")
+        links = _union(edges)
+        label = written(components(links), "labels")
     left, right = now.alias("x"), now.alias("y")
     meet = left.join(right, F.col("x.token") == F.col("y.token")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _fits("x.n", "y.n"))
-    need = F.least("x.matches", "y.matches")
-    shared = meet.where(F.greatest("x.level", "y.level") <= need).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count_distinct("x.token").alias("k"), F.min(need).alias("need")).where("k >= need").select("a", "b")
+    counted = meet.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
+        F.count("*").alias("c"), F.count_if(F.greatest("x.level", "y.level") <= F.least("x.matches", "y.matches")).alias("k"), *(F.first(f"{s}.{f}").alias(f"{f}_{s}") for s in "xy" for f in ("n", "matches"))
+    )
+    # l shared tokens in the l-prefixes; and as no token beyond the prefix that ends first is missed, what they share and what is left of that set must reach the overlap
+    reach = F.col("c") + F.greatest(_overlap("n_x") - F.col("matches_x"), _overlap("n_y") - F.col("matches_y")) >= _needed("n_x", "n_y")
+    shared = counted.where((F.col("k") >= F.least("matches_x", "matches_y")) & reach).select("a", "b")
     pairs = written(shared.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest-pairs")
     edges.append(_verify(docs, facts, pairs, key, text))
     label = written(components(_union(edges)), "labels")
