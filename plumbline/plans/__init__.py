@@ -1,0 +1 @@
+"""Registered queries; importing the modules enters them."""
