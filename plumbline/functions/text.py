@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 # Character sets of the frozen normal form.
 ZERO_WIDTH = "​‌‍⁠﻿"
@@ -21,7 +22,7 @@ _EXTEND = r"ঁ়াু-ৄৗৢৣ৾‍"
 GRAPHEME = rf"(?:{_CONSONANT}[{_EXTEND}]*্[{_EXTEND}্]*(?={_CONSONANT}))*\X"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no function for it."""
     return texts.str.normalize("NFC")
@@ -80,7 +81,7 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def compression_ratio(texts: pd.Series) -> pd.Series:
     """UTF-8 bytes over zlib bytes; 0 for an empty or null text."""
     import zlib
@@ -100,7 +101,7 @@ def coded_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(code(a), code(b))
 
 
-@pandas_udf("struct<substitutions:int,deletions:int,insertions:int>")
+@pandas_udf(StructType([StructField(k, IntegerType()) for k in ("substitutions", "deletions", "insertions")]))
 def edit_operations(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     """Substitutions, deletions and insertions of the alignment that prefers a match, then substitution, deletion, insertion.
 
@@ -129,7 +130,7 @@ def edit_operations(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame
     return pd.DataFrame([one(r, h) for r, h in zip(reference, hypothesis, strict=True)], columns=["substitutions", "deletions", "insertions"])
 
 
-@pandas_udf("struct<edits:string,signals:string>")
+@pandas_udf(StructType([StructField(k, StringType()) for k in ("edits", "signals")]))
 def described_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     """What a sequence matcher says was replaced, deleted or inserted, and flags: lost or added negations, fewer or more tokens, Latin letters; substitution_only without any."""
     import difflib
