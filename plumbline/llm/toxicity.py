@@ -19,7 +19,7 @@ from .common import map_texts, written
 from .quality import held_out, keep_where, labelled_sample
 
 #: Documents of each label in the fit at most; features in the model; documents a feature must be in; ridge; weight of the counterfactual term; the least score that counts as toxic.
-PER_LABEL, WORDS, LEAST, RIDGE, PENALTY, CUT = 4000, 1024, 8, 2e-3, 1.0, 0.3
+PER_LABEL, WORDS, LEAST, RIDGE, PENALTY, CUT = 4000, 1024, 8, 1e-3, 1.0, 0.3
 
 #: Group terms; those of a line can stand for each other.
 IDENTITY = (
@@ -88,7 +88,7 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(s, -500, 500)))
 
 
-def train_rows(held: list[dict[int, int]], label: np.ndarray, size: int, pairs: list[tuple[dict[int, int], dict[int, int]]], share_toxic: float, penalty: float = PENALTY, rounds: int = 400) -> tuple[np.ndarray, float]:
+def train_rows(held: list[dict[int, int]], label: np.ndarray, size: int, pairs: list[tuple[dict[int, int], dict[int, int]]], share_toxic: float, penalty: float = PENALTY, rounds: int = 800) -> tuple[np.ndarray, float]:
     """Weights and bias. held: positions of the features of each document and their counts; pairs: those of a sentence and of its counterfactual.
 
     The loss is the log loss weighted to share_toxic, a ridge, and penalty times the mean squared difference of the pairs' logits;
@@ -106,7 +106,17 @@ def train_rows(held: list[dict[int, int]], label: np.ndarray, size: int, pairs:
         return np.zeros(size), 20.0 if toxic.any() else -20.0
     weight = np.where(toxic, share_toxic / toxic.sum(), (1 - share_toxic) / clean.sum()).astype(np.float32)
     w, b = np.zeros(size), float(np.log(share_toxic / (1 - share_toxic)))
-    vw, vb, rate = np.zeros(size), 0.0, 2.0
+    vw, vb = np.zeros(size), 0.0
+    # the step is one over a bound of the curvature, by the power method
+    u, top = np.ones(size + 1), 1.0
+    for _ in range(30):
+        u = u / np.linalg.norm(u)
+        t = weight * (x @ u[:-1].astype(np.float32) + np.float32(u[-1])) / 4
+        g = np.append(t @ x + RIDGE * share_toxic * u[:-1], t.sum())
+        if len(pairs):
+            g[:-1] += penalty * (diff @ u[:-1].astype(np.float32)) @ diff / len(pairs)
+        top, u = float(np.linalg.norm(g)), g
+    rate = 1 / (1.1 * max(top, 1e-6))
     for t in range(rounds):
         m = t / (t + 3)
         lw, lb = w + m * vw, b + m * vb
