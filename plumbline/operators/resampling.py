@@ -13,9 +13,17 @@ from ..functions.numeric import hash_bucket
 from .metrics import COUNTS, confusion_counts, macro_f1
 
 
-def group_positions(df: DataFrame, group: str) -> DataFrame:
-    """(group, position): groups numbered from 0 in order."""
-    return df.select(group).distinct().withColumn("position", (F.row_number().over(Window.orderBy(group)) - 1).cast("long"))
+def group_positions(df: DataFrame, group: str, width: int = 1 << 16) -> DataFrame:
+    """(group, position): groups numbered from 0 in order.
+
+    Integer groups are numbered within buckets of width ids and offset by the buckets before, so only bucket sizes meet in one task."""
+    groups = df.select(group).distinct()
+    bucket = F.floor(F.col(group) / width) if dict(groups.dtypes)[group] in ("int", "bigint") else F.substring(F.col(group).cast("string"), 1, 2)
+    marked = groups.withColumn("bucket_", bucket)
+    sizes = marked.groupBy("bucket_").agg(F.count("*").alias("n_"))
+    before = sizes.withColumn("before_", F.sum("n_").over(Window.orderBy("bucket_")) - F.col("n_")).drop("n_")
+    within = F.row_number().over(Window.partitionBy("bucket_").orderBy(group)) - 1
+    return marked.withColumn("at_", within).join(before, "bucket_").select(group, (F.col("at_") + F.col("before_")).cast("long").alias("position"))
 
 
 def draws(spark: SparkSession, n_groups: int, iterations: int, seed: int) -> DataFrame:

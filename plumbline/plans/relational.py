@@ -219,11 +219,11 @@ def signal_counts(spark, d):
     return table(spark, d, "conversations").select(words).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
-@register("canonical_copy", f"WITH {FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY source, left(coalesce(text, ''), 20) ORDER BY file_hash, doc_id) AS k, min(file_hash) OVER w = max(file_hash) OVER w AS equal, count(*) OVER w AS copies FROM files WINDOW w AS (PARTITION BY source, left(coalesce(text, ''), 20))) SELECT doc_id, source, copies, equal FROM r WHERE k = 1")
+@register("canonical_copy", "WITH f AS (SELECT doc_id, source, lang, md5(coalesce(text, '')) AS file_hash FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY file_hash, doc_id) AS k, min(file_hash) OVER w = max(file_hash) OVER w AS equal, count(*) OVER w AS copies FROM f WINDOW w AS (PARTITION BY source, lang)) SELECT doc_id, source, lang, copies, equal FROM r WHERE k = 1")
 def canonical_copy(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", F.substring(F.coalesce("text", F.lit("")), 1, 20).alias("start"), F.md5(F.coalesce("text", F.lit(""))).alias("file_hash"))
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("file_hash"))
     first = F.min_by("doc_id", F.struct("file_hash", "doc_id"))
-    return rows.groupBy("source", "start").agg(first.alias("doc_id"), F.count("*").alias("copies"), (F.min("file_hash") == F.max("file_hash")).alias("equal")).select("doc_id", "source", "copies", "equal")
+    return rows.groupBy("source", "lang").agg(first.alias("doc_id"), F.count("*").alias("copies"), (F.min("file_hash") == F.max("file_hash")).alias("equal")).select("doc_id", "source", "lang", "copies", "equal")
 
 
 @register("group_representative", f"WITH {v.REC} SELECT utterance_id, group_id, speaker_id, label FROM rec WHERE utterance_id = group_id")
