@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import WHITE, map_texts
+from .common import WHITE, hold, map_texts
 
 #: Trees with more leaves are worked one by one; leaves that are merged side by side at once.
 WIDEST, SIDE_BY_SIDE = 256, 1 << 19
@@ -227,6 +227,7 @@ def encode_documents(df: DataFrame, rank_file: bytes, pattern: str, key: str = "
     shipped = df.sparkSession.sparkContext.broadcast(rank_file)
 
     def work():
+        hold("bpe", _made.clear)
         bpe = _worker(shipped.value, pattern)
 
         def run(texts):

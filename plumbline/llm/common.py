@@ -54,6 +54,16 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_holds: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, release: Callable[[], None]) -> None:
+    """Tells that this worker process now fills owner's caches. Those of other operators, left from earlier tasks, are released."""
+    for other in [o for o in _holds if o != owner]:
+        _holds.pop(other)()
+    _holds[owner] = release
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iterator[tuple[list[pa.Array], list[str]]]:
     """Cuts of a batch with about limit bytes of text: the columns and the texts, null as ''."""
     k = batch.schema.get_field_index(column)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slices, written
+from .common import discard, hold, slices, written
 from .components import components
 
 #: Words of a shingle; the similarity as a fraction.
@@ -32,14 +32,14 @@ MOST_MATCHES, VERIFY, SUBLIST = 4, 1 / 64, 2000
 #: Pivot orders of a star round; rounds at most; pairs for each posting below which the rest is enumerated; members a pivot's chunk has; rows that say where texts go, broadcast up to so many.
 ORDERS, ROUNDS, REST, CHUNK, BROADCAST_ROWS = 2, 2, 2, 512, 200_000
 #: Shingles of sets that a verifying task keeps at hand.
-RECENT = 4_000_000
+RECENT = 3_000_000
 
 _M = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WORDS)]
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 500_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -108,6 +108,7 @@ def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
     out = pa.schema([pa.field("kind", pa.int8()), pa.field("key", pa.int64()), pa.field("node", pa.int64()), pa.field("n", pa.int64())])
 
     def run(batches):
+        hold("jaccard_join", _hashes.clear)
         held, size = [], 0
         seen: set[int] = set()
 
@@ -149,6 +150,7 @@ def _postings(docs: DataFrame, text: str, frequent: np.ndarray, counts: np.ndarr
     out = pa.schema([pa.field(a, b) for a, b in zip(names, kinds, strict=True)])
 
     def run(batches):
+        hold("jaccard_join", _hashes.clear)
         hot, often = (np.frombuffer(x, k) for x, k in zip(shipped.value, (np.uint64, np.float32), strict=True))
         seen: set[int] = set()
         for batch in batches:
@@ -264,6 +266,7 @@ def _verify(docs: DataFrame, facts: DataFrame, pairs: DataFrame, key: str, text:
     out = pa.schema([pa.field("a", pa.int64()), pa.field("b", pa.int64())])
 
     def run(batches):
+        hold("jaccard_join", _hashes.clear)
         pivot, own = None, None
         known: dict[int, np.ndarray] = {}  # sets met before, RECENT shingles at most
         size = 0

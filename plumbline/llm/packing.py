@@ -20,10 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import hold, slices
 from .token_counts import _tokenizer
 
-WINDOW, OPEN_LIMIT, CACHED = 2048, 4096, 900_000
+WINDOW, OPEN_LIMIT, CACHED, PIECES = 2048, 4096, 500_000, 350_000
 
 _made: dict = {}
 
@@ -56,7 +56,7 @@ class WordIds:
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) > CACHED:
+        if len(self.pieces) > PIECES:
             self.pieces.clear()
         at = piece.encode().decode("latin-1").translate(self.letters)
         ids = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(at)])
@@ -180,6 +180,7 @@ def pack(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "t
     shipped = df.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
+        hold("packing", _made.clear)
         content = shipped.value
         if _made.get("key") != hash(content):
             _made.update(key=hash(content), words=WordIds(content))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import runs
-from .common import map_texts, slices
+from .common import hold, map_texts, slices
 
 #: Rows of the broadcast table (about 20 bytes each); runs a task's summary keeps; runs in a worker's cache.
 FREQUENT, SUMMARY, CACHED = 1 << 16, 1 << 12, 900_000
@@ -99,6 +99,7 @@ def count_tokens(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
     shipped = sc.broadcast(tokenizer_json)
 
     def work():
+        hold("token_counts", _made.clear)
         tok = _tokenizer(shipped.value)
         if _made.get("tier_one") != tier_name:
             names, packed = tier_one.value
