@@ -143,7 +143,7 @@ def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _postings(docs: DataFrame, text: str, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(token, part, node, n, level, matches): the prefixes, once for each set that a stretch of a task holds. part splits hot tokens' lists."""
+    """(token, part, node, n, level, matches): the prefixes, once for each set that a stretch of a task holds. part splits hot tokens' lists, from 1; it is 0 where a list is whole."""
     shipped = docs.sparkSession.sparkContext.broadcast((frequent.tobytes(), counts.astype(np.float32).tobytes()))
     names = ("token", "part", "node", "n", "level", "matches")
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int8())
@@ -177,14 +177,14 @@ def _postings(docs: DataFrame, text: str, frequent: np.ndarray, counts: np.ndarr
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
                     parts = np.where(hot[at] == token, np.ceil(often[at] / SUBLIST), 1).astype(np.uint64)
-                    part = (_mix(own + np.uint64(7)) % parts).astype(np.int32)
+                    part = np.where(parts > 1, _mix(own + np.uint64(7)) % parts + np.uint64(1), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(token), part, node, spread(3, np.int32), np.concatenate([r[1] for r in rows]), spread(4, np.int8))], schema=out)
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "token bigint, part int, node bigint, n int, level tinyint, matches tinyint")
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """Posting lists with two nodes or more (all of hot tokens), each row with the node before it as pivot, in one of ORDERS random orders of all nodes.
+    """Posting lists with two nodes or more (all of split ones, as other parts hold partners), each row with the node before it as pivot, in one of ORDERS random orders of all nodes.
 
     Sorted partitions are passed through with one pending row, so a long list takes no memory."""
     names = ("token", "node", "n", "level", "matches", "pivot", "pivot_n")

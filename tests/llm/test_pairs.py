@@ -147,3 +147,18 @@ def test_estimates_are_unbiased_and_bounded():
     bits, tables = embedding_dedup.plan(51_282, 0.95)
     same = (1 - np.arccos(0.95) / np.pi) ** bits
     assert 1 - (1 - same) ** tables >= embedding_dedup.RECALL
+
+
+def test_short_texts_of_a_hot_passage(spark, monkeypatch):
+    """Most postings of a split list can stand alone in their part; those in the first part count as well."""
+    monkeypatch.setattr(jaccard_join, "SUBLIST", 12)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(600)]
+    rows = [" ".join([*passage, *(word() for _ in range(700))]) for _ in range(24)]
+    cuts = [" ".join(passage[i : i + k]) for i in range(0, 580, 12) for k in (8, 9)]
+    df = spark.createDataFrame(list(enumerate(rows + cuts)), "doc_id bigint, text string").repartition(3)
+    sets = dict(enumerate(map(shingle_set, rows + cuts)))
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(links) == len(cuts) // 2
+    assert {r.doc_id: r.component_id for r in jaccard_join.similarity_components(df).collect()} == reach(sets, links)
