@@ -13,6 +13,7 @@ import html
 import json
 import re
 from collections import OrderedDict
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -40,6 +41,8 @@ BOILER_WORDS = frozenset(
 )
 MAIN_TAGS, MAIN_WORDS = frozenset(("article", "main")), frozenset("article articlebody main maincontent".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Blocks that are paragraphs of what holds them.
+PARAGRAPHS = HEADINGS | frozenset("p li dt dd td th pre blockquote figcaption caption".split())
 
 _TOKEN = re.compile(rf"<!--(?:.*?-->|.*)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>|.*)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -207,6 +210,7 @@ def _main(sig: str) -> bool:
     return tag in MAIN_TAGS or not MAIN_WORDS.isdisjoint(own) and tag not in ("body", "html")
 
 
+@lru_cache(100_000)
 def clean(path: str) -> bool:
     """Not inside boilerplate. A header is boilerplate but for an article's own headings."""
     parts = path.split("/")
@@ -217,26 +221,51 @@ def clean(path: str) -> bool:
 
 
 def main_slots(wrapper: dict) -> list[str]:
-    """Paths of the slots with main text: those in an article; without one, those under the block whose own paragraphs hold most of the host's text."""
-    slots: list[tuple[str, int]] = []
+    """Paths of the slots with main text: those in an article. Pages without one are left to main_block."""
+    slots: set[str] = set()
 
     def walk(n: dict, path: list[str]) -> None:
         if n["t"]:
-            slots.append(("/".join(path), n["t"]))
+            slots.add("/".join(path))
         for k in n["c"]:
             walk(k, [*path, k["s"]])
 
     walk(wrapper, [])
-    good = [(p, t) for p, t in slots if clean(p)]
-    inside = [p for p, _ in good if any(map(_main, p.split("/")))]
-    if inside or not good:
-        return sorted(set(inside))
-    under: dict[str, int] = {}
-    for p, t in good:
-        parent = p.rpartition("/")[0]
-        under[parent] = under.get(parent, 0) + t
-    best = max(sorted(under), key=under.get)
-    return sorted({p for p, _ in good if p == best or p.startswith(best + "/") or not best})
+    return sorted(p for p in slots if clean(p) and any(map(_main, p.split("/"))))
+
+
+def _holds(block: str, path: str) -> bool:
+    return not block or path == block or path.startswith(block + "/")
+
+
+def main_block(good: list[tuple[str, str]]) -> str:
+    """Path of the smallest block that holds all paragraphs among these clean blocks; all of them where paragraphs are not most of the text."""
+
+    def common(split: list[list[str]]) -> str:
+        least, most = min(split), max(split)
+        return "/".join(least[: next((i for i, (x, y) in enumerate(zip(least, most, strict=False)) if x != y), min(len(least), len(most)))])
+
+    split = [p.split("/") for p, _ in good]
+    own = [p[:-1] for p in split if p[-1].split(".")[0] in PARAGRAPHS]
+    if own:
+        block = common(own)
+        if 2 * sum(len(t) for p, t in good if _holds(block, p)) >= sum(len(t) for _, t in good):
+            return block
+    return common(split)
+
+
+def main_text(found: list[tuple[str, str]], main: frozenset) -> list[str]:
+    """Texts of a page's blocks in the host's main slots; of a page with none of these, the clean ones under its main block.
+
+    A page that is no more than loose paragraphs, in no block at all, has no article where the host's other pages have one."""
+    took = [t for p, t in found if p in main]
+    good = [] if took else [(p, t) for p, t in found if clean(p)]
+    if not good:
+        return took
+    block = main_block(good)
+    if not block:
+        return [] if main else [t for _, t in good]
+    return [t for p, t in good if _holds(block, p)]
 
 
 def host_of(url) -> F.Column:
@@ -273,7 +302,7 @@ def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> Da
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", wrappers: DataFrame | None = None) -> DataFrame:
-    """(key, url, text, n_chars): the blocks in main slots of the host's wrapper, joined by line feeds.
+    """(key, url, text, n_chars): the blocks in main slots of the host's wrapper, or else in the page's own main block, joined by line feeds.
 
     Pages without host share a wrapper. A null or empty page, and one without such blocks, gives ''.
     Repeated rows, null keys and null URLs pass; other columns are not carried. The wrappers are written
@@ -297,7 +326,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                             known.clear()
                         known[s] = frozenset(json.loads(s))
                     main = known[s]
-                    out.append("\n".join([t for p, t in blocks(text) if p in main]))
+                    out.append("\n".join(main_text(blocks(text), main)))
                 yield pa.RecordBatch.from_arrays([cols[0].cast(pa.int64()), cols[1].cast(pa.string()), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], schema=schema)
 
     return joined.mapInArrow(run, "key bigint, url string, text string, n_chars bigint").withColumnsRenamed({"key": key, "url": url})

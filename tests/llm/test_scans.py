@@ -173,3 +173,13 @@ def test_counterfactuals_take_weight_off_groups():
     without, _ = toxicity.train_rows(held, label, 3, [], 0.5)
     assert abs(with_pairs[0] - with_pairs[2]) < 0.3 * abs(without[0] - without[2])
     assert with_pairs[1] > without[1]
+
+
+def test_templates_of_one_host(spark):
+    """A host's pages without an article, and blocks beside the one with most text, keep their text."""
+    old = "<html><body><div class=menu>m</div><div class=content><h1>{0}</h1><div class=body><p>{0} one.</p><p>{0} two.</p></div><section class=more><p>{0} three.</p></section></div><div class=small>tiny</div></body></html>"
+    rows = [(1, "http://a.example/1", "<html><body><article><p>new</p></article></body></html>"), (2, "http://a.example/2", old.format("A")), (3, "http://b.example/3", old.format("B" * 50)), (4, "http://b.example/4", "<html><body><div class=post><p>other template</p></div></body></html>"), (5, None, old.format("C")), (6, None, "<html><body><main><p>m</p></main></body></html>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    whole = lambda x: f"{x}\n{x} one.\n{x} two.\n{x} three."
+    assert got == {1: "new", 2: whole("A"), 3: whole("B" * 50), 4: "other template", 5: whole("C"), 6: "m"}
+    assert html_text.main_block([("html/body/div.text", "long " * 20), ("html/body/div.text/ul/li", "x")]) == "html/body/div.text"
