@@ -3,8 +3,9 @@
 A page is read as a stream of block tags and texts. Repeated neighbours fold into repeated groups, and a host's pages are
 aligned with its wrapper one after the other: what lines up is merged, what one side lacks becomes optional, what occurs
 more often becomes repeated, and texts become slots. The result is a union-free regular expression,
-kept as a tree of groups with a multiplicity (1, ?, + or *). Its slots are then told apart: those of the
-article carry the main text. Wrappers merge like pages do, so each task makes its own and they are merged in two rounds.
+kept as a tree of groups with a multiplicity (1, ?, + or *). Texts are compared too: what every page with
+a slot has there is template. The slots are then told apart: those of the article carry the main text.
+Wrappers merge like pages do, so each task makes its own and they are merged in two rounds.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from .common import slices, written
 
 #: First-round merges of a host's wrappers; hosts whose roles are broadcast (a role list is cut off nowhere and has some KB); children a wrapper node keeps apart.
 SALTS, BROADCAST_BYTES, WIDEST = 32, 8_000_000, 200
+#: Different pages with a slot from which a text that all of them have there is template.
+LEAST_PAGES = 3
 
 #: Raw elements hold no markup; inline ones don't end a block; void ones have no end; these end an open paragraph (fixed values).
 RAW = "script|style|noscript|template|svg|iframe|textarea|title|object|math"
@@ -118,7 +122,12 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-# A wrapper node is {"s": signature, "m": multiplicity, "t": characters of its own text slot, "c": children}.
+# A wrapper node is {"s": signature, "m": multiplicity, "t": characters of its own text slot, "c": children}. The root also has
+# "k": for each clean path, names of different pages that have it (LEAST_PAGES at most) and of the texts that all of them have there.
+
+
+def _name(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 def _node(sig: str) -> dict:
@@ -146,9 +155,24 @@ def page_tree(found: list[tuple[str, str]]) -> dict:
             open_nodes.append(node)
         (open_nodes[-1] if open_nodes else root)["t"] += len(text)
         last = parts
+    texts: dict[str, set[int]] = {}
+    for path, text in found:
+        if clean(path):
+            texts.setdefault(path, set()).add(_name(text))
+    page = _name("\n".join(t for p, t in found if p in texts))
+    root["k"] = {p: [[page], sorted(x)] for p, x in texts.items()}
     return root
 
 
+def _shared(a: dict, b: dict) -> dict:
+    """The texts that all pages of two wrappers have in a slot."""
+    out = a | b
+    for p in a.keys() & b.keys():
+        (pages, x), (more, y) = a[p], b[p]
+        out[p] = [sorted({*pages, *more})[:LEAST_PAGES], x if x == y else sorted({*x} & {*y})]
+    return out
+
+
 _MULT = {("1", "1"): "1", ("1", "+"): "+", ("+", "+"): "+"}
 
 
@@ -188,7 +212,8 @@ def merge(a: dict, b: dict) -> dict:
             for k in kids:
                 each[k["s"]] = merge(each[k["s"]], k) | {"m": "*"} if k["s"] in each else k | {"m": "*"}
             kids = list(each.values())
-    return {"s": a["s"], "m": _times(a["m"], b["m"]), "t": a["t"] + b["t"], "c": kids}
+    out = {"s": a["s"], "m": _times(a["m"], b["m"]), "t": a["t"] + b["t"], "c": kids}
+    return out | {"k": _shared(a["k"], b["k"])} if "k" in a else out
 
 
 def expression(n: dict) -> str:
@@ -234,6 +259,11 @@ def main_slots(wrapper: dict) -> list[str]:
     return sorted(p for p in slots if clean(p) and any(map(_main, p.split("/"))))
 
 
+def same_texts(wrapper: dict) -> dict[str, list[int]]:
+    """Names of the template's texts by path."""
+    return {p: texts for p, (pages, texts) in sorted(wrapper["k"].items()) if texts and len(pages) >= LEAST_PAGES}
+
+
 def _holds(block: str, path: str) -> bool:
     return not block or path == block or path.startswith(block + "/")
 
@@ -254,18 +284,32 @@ def main_block(good: list[tuple[str, str]]) -> str:
     return common(split)
 
 
-def main_text(found: list[tuple[str, str]], main: frozenset) -> list[str]:
+def main_text(found: list[tuple[str, str]], main: frozenset, same: dict[str, frozenset] | None = None) -> list[str]:
     """Texts of a page's blocks in the host's main slots; of a page with none of these, the clean ones under its main block.
 
+    The template's texts (same) go, unless they are most of what would be there: pages that share so much are copies.
     A page that is no more than loose paragraphs, in no block at all, has no article where the host's other pages have one."""
-    took = [t for p, t in found if p in main]
+    own = _without(found, same) if same else found
+    took = _main_blocks(found, main)
+    if own is found or len(own) == len(found):
+        return [t for _, t in took]
+    rest = _main_blocks(own, main)
+    return [t for _, t in (rest if 2 * sum(len(t) for _, t in rest) >= sum(len(t) for _, t in took) else took)]
+
+
+def _without(found: list[tuple[str, str]], same: dict[str, frozenset]) -> list[tuple[str, str]]:
+    return [(p, t) for p, t in found if p not in same or _name(t) not in same[p]]
+
+
+def _main_blocks(found: list[tuple[str, str]], main: frozenset) -> list[tuple[str, str]]:
+    took = [(p, t) for p, t in found if p in main]
     good = [] if took else [(p, t) for p, t in found if clean(p)]
     if not good:
         return took
     block = main_block(good)
     if not block:
-        return [] if main else [t for _, t in good]
-    return [t for p, t in good if _holds(block, p)]
+        return [] if main else good
+    return [(p, t) for p, t in good if _holds(block, p)]
 
 
 def host_of(url) -> F.Column:
@@ -274,7 +318,7 @@ def host_of(url) -> F.Column:
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, wrapper, slots): the wrapper of each host over all its pages as JSON, and its main slots as JSON.
+    """(host, wrapper, slots): the wrapper of each host over all its pages as JSON, and its main slots and template texts as JSON.
 
     Every task aligns its own pages and sends one wrapper for each host it has seen; a host's wrappers are merged in SALTS
     groups, then once more, so a hot host is no hot task."""
@@ -294,7 +338,7 @@ def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> Da
         tree = next(trees)
         for t in trees:
             tree = merge(tree, t)
-        return pd.DataFrame({"host": [rows.host.iloc[0]], "wrapper": [json.dumps(tree)], "slots": [json.dumps(main_slots(tree))]})
+        return pd.DataFrame({"host": [rows.host.iloc[0]], "wrapper": [json.dumps(tree)], "slots": [json.dumps([main_slots(tree), same_texts(tree)])]})
 
     first = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page")).mapInArrow(own, "host string, salt int, wrapper string")
     half = first.groupBy("host", "salt").applyInPandas(merged, "host string, wrapper string, slots string")
@@ -314,19 +358,19 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     joined = rows.join(F.broadcast(slots) if size <= BROADCAST_BYTES else slots.hint("merge"), "host", "left").select("key", "url", "page", "slots")
 
     def run(batches):
-        known: dict[str, frozenset] = {}
+        known: dict[str, tuple[frozenset, dict[str, frozenset]]] = {}
         schema = pa.schema([("key", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
         for batch in batches:
             for cols, texts in slices(batch, "page"):
                 out = []
                 for s, text in zip(cols[3].to_pylist(), texts, strict=True):
-                    s = s or "[]"
+                    s = s or "[[], {}]"
                     if s not in known:
                         if len(known) > 10_000:
                             known.clear()
-                        known[s] = frozenset(json.loads(s))
-                    main = known[s]
-                    out.append("\n".join(main_text(blocks(text), main)))
+                        main, same = json.loads(s)
+                        known[s] = frozenset(main), {p: frozenset(x) for p, x in same.items()}
+                    out.append("\n".join(main_text(blocks(text), *known[s])))
                 yield pa.RecordBatch.from_arrays([cols[0].cast(pa.int64()), cols[1].cast(pa.string()), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], schema=schema)
 
     return joined.mapInArrow(run, "key bigint, url string, text string, n_chars bigint").withColumnsRenamed({"key": key, "url": url})

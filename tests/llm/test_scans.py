@@ -183,3 +183,19 @@ def test_templates_of_one_host(spark):
     whole = lambda x: f"{x}\n{x} one.\n{x} two.\n{x} three."
     assert got == {1: "new", 2: whole("A"), 3: whole("B" * 50), 4: "other template", 5: whole("C"), 6: "m"}
     assert html_text.main_block([("html/body/div.text", "long " * 20), ("html/body/div.text/ul/li", "x")]) == "html/body/div.text"
+
+
+def test_constant_text_is_template(spark):
+    """What stands the same in each of a host's pages is its template, but not what copies of a page share."""
+    page = "<html><body><article><h1>{0}</h1><p>{0} is a long enough text.</p>{1}<p>Subscribe now!</p><div>Ad</div></article></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format(f"Page {i}", "<ul><li>x</ul>" if i % 2 else "")) for i in range(5)]
+    rows += [(10 + i, f"http://b.example/{i}", page.format(f"Page {i % 2}", "")) for i in range(6)]
+    rows += [(20 + i, f"http://c.example/{i}", "<article><p>" + "the same long text " * 5 + f"</p><p>edit {i}</p></article>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    for i in range(5):
+        assert got[i] == f"Page {i}\nPage {i} is a long enough text." + "\nx" * (i % 2)
+    for i in range(6):
+        assert got[10 + i] == f"Page {i % 2}\nPage {i % 2} is a long enough text.\nSubscribe now!\nAd"
+    for i in range(4):
+        assert got[20 + i] == ("the same long text " * 5).strip() + f"\nedit {i}"
