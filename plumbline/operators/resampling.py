@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import hash_bucket
 from .metrics import COUNTS, confusion_counts, macro_f1
 
+#: Groups whose counts are broadcast (some 200 bytes each); draws a task makes.
+BROADCAST_GROUPS, DRAWS = 100_000, 4_000_000
+
 
 def group_positions(df: DataFrame, group: str, width: int = 1 << 16) -> DataFrame:
     """(group, position): groups numbered from 0 in order.
@@ -26,22 +29,38 @@ def group_positions(df: DataFrame, group: str, width: int = 1 << 16) -> DataFram
     return marked.withColumn("at_", within).join(before, "bucket_").select(group, (F.col("at_") + F.col("before_")).cast("long").alias("position"))
 
 
+def slots(spark: SparkSession, n_groups: int, iterations: int, seed: int) -> DataFrame:
+    """(iteration, position): a row for each draw, n_groups draws with replacement an iteration; a task has a stretch of iterations."""
+    total = iterations * n_groups
+    rows = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, total // DRAWS + 1))
+    rows = rows.select(F.floor(F.col("id") / n_groups).alias("iteration"), (F.col("id") % n_groups).alias("slot"))
+    position = hash_bucket(F.concat_ws("|", F.lit(str(seed)), F.col("iteration").cast("string"), F.col("slot").cast("string"))) % n_groups
+    return rows.select("iteration", position.alias("position"))
+
+
 def draws(spark: SparkSession, n_groups: int, iterations: int, seed: int) -> DataFrame:
     """(iteration, position, times): how often each iteration draws each group, n_groups draws with replacement."""
-    rows = spark.range(iterations * n_groups).select(F.floor(F.col("id") / n_groups).alias("iteration"), (F.col("id") % n_groups).alias("slot"))
-    position = hash_bucket(F.concat_ws("|", F.lit(str(seed)), F.col("iteration").cast("string"), F.col("slot").cast("string"))) % n_groups
-    return rows.select("iteration", position.alias("position")).groupBy("iteration", "position").agg(F.count("*").alias("times"))
+    return slots(spark, n_groups, iterations, seed).groupBy("iteration", "position").agg(F.count("*").alias("times"))
 
 
 def bootstrap_scores(df: DataFrame, group: str, condition: str, iterations: int, seed: int) -> DataFrame:
-    """(iteration, condition, score): macro-F1 of each resample; iteration -1 is the sample itself."""
-    counts = df.groupBy(group, condition).agg(*confusion_counts())
+    """(iteration, condition, score): macro-F1 of each resample; iteration -1 is the sample itself.
+
+    A row of draws meets its group's counts of all conditions; as a task holds whole stretches of iterations, the sums combine there
+    and only they are shuffled. Up to BROADCAST_GROUPS groups are broadcast, beyond that draws are joined by position."""
+    spark = df.sparkSession
     place = group_positions(df, group)
     n = place.count()
-    placed = counts.join(place, group)
-    drawn = draws(df.sparkSession, n, iterations, seed).unionByName(place.select(F.lit(-1).cast("long").alias("iteration"), "position", F.lit(1).cast("long").alias("times")))
-    summed = drawn.join(placed, "position").groupBy("iteration", condition).agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in COUNTS))
-    return summed.select("iteration", condition, macro_f1().alias("score"))
+    names = sorted(r[0] for r in df.select(condition).distinct().collect())
+    columns = {(c, k): f"{k}_{i}" for i, c in enumerate(names) for k in COUNTS}
+    counts = df.groupBy(group, condition).agg(*confusion_counts())
+    wide = counts.groupBy(group).agg(*(F.coalesce(F.sum(F.when(F.col(condition) == c, F.col(k))), F.lit(0)).alias(name) for (c, k), name in columns.items()))
+    placed = wide.join(place, group).drop(group)
+    sums = [F.sum(name).alias(name) for name in columns.values()]
+    drawn = slots(spark, n, iterations, seed).join(F.broadcast(placed) if n <= BROADCAST_GROUPS else placed.hint("merge"), "position")
+    summed = drawn.groupBy("iteration").agg(*sums).unionByName(placed.groupBy(F.lit(-1).cast("long").alias("iteration")).agg(*sums))
+    rows = F.array(*(F.struct(F.lit(c).alias(condition), *(F.col(columns[c, k]).alias(k) for k in COUNTS)) for c in names))
+    return summed.select("iteration", F.explode(rows).alias("x")).select("iteration", "x.*").where(" + ".join(COUNTS) + " > 0").select("iteration", condition, macro_f1().alias("score"))
 
 
 def interval(values: str, digits: int = 9) -> list:

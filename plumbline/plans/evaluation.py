@@ -146,7 +146,8 @@ def seed_variability(spark, d):
 
 
 PAIRS = [("asr_a_loss", "C2", "C3"), ("asr_b_loss", "C2", "C4"), ("adapt_a", "A1", "C3"), ("adapt_b", "A2", "C4"), ("fusion", "C5", "C2")]
-ITERATIONS, BOOT_SEED = 60, 20260807
+ITERATIONS, BOOT_SEED = 10_000, 20260807
+PERMUTATIONS = 1_000
 
 
 def boot_sql(source: str, base: str) -> str:
@@ -190,10 +191,17 @@ def _ci_sql(e, name):
     return f"SELECT '{name}' AS name, round(max(CASE WHEN iteration = -1 THEN {e} END), 9) AS value, round(quantile_cont({e}, 0.025) FILTER (WHERE iteration >= 0), 9) AS low, round(quantile_cont({e}, 0.975) FILTER (WHERE iteration >= 0), 9) AS high FROM w"
 
 
-def _ci(w, e, name):
-    e = F.expr(e)
-    drawn = F.when(F.col("iteration") >= 0, e)
-    return w.agg(F.round(F.max(F.when(F.col("iteration") == -1, e)), 9).alias("value"), F.round(F.percentile(drawn, 0.025), 9).alias("low"), F.round(F.percentile(drawn, 0.975), 9).alias("high")).select(F.lit(name).alias("name"), "value", "low", "high")
+def _quotient(e):
+    """The expression a / b, where b may be 0, as IEEE has it: ratios are neither clipped nor filtered."""
+    a, b = e.rsplit(" / ", 1)
+    return f"CASE WHEN {b} <> 0 THEN {e} WHEN {a} > 0 THEN double('Infinity') WHEN {a} < 0 THEN double('-Infinity') ELSE double('NaN') END"
+
+
+def _ci(w, named):
+    """A row for each of the named ratios, from one pass over the resamples."""
+    long = w.select("iteration", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.expr(_quotient(e)).alias("e")) for n, e in named.items()))).alias("x")).select("iteration", "x.*")
+    drawn = F.when(F.col("iteration") >= 0, F.col("e"))
+    return long.groupBy("name").agg(F.round(F.max(F.when(F.col("iteration") == -1, F.col("e"))), 9).alias("value"), F.round(F.percentile(drawn, 0.025), 9).alias("low"), F.round(F.percentile(drawn, 0.975), 9).alias("high"))
 
 
 _RATIOS = {"recovery_a": "(A1 - C3) / (C2 - C3)", "recovery_b": "(A2 - C4) / (C2 - C4)"}
@@ -201,13 +209,12 @@ _RATIOS = {"recovery_a": "(A1 - C3) / (C2 - C3)", "recovery_b": "(A2 - C4) / (C2
 
 @register("recovery_ratio_ci", f"WITH {boot_sql('ens', v.ENS)}, {_WIDE} " + " UNION ALL ".join(_ci_sql(e, n) for n, e in _RATIOS.items()))
 def recovery_ratio_ci(spark, d):
-    w = wide(spark, d)
-    return v.union_all([_ci(w, e, n) for n, e in _RATIOS.items()])
+    return _ci(wide(spark, d), _RATIOS)
 
 
 @register("gap_reduction_ci", f"WITH {boot_sql('ens', v.ENS)}, {_WIDE} " + _ci_sql("((C2 - C3) - (C2 - A1)) / (C2 - C3)", "reduction"))
 def gap_reduction_ci(spark, d):
-    return _ci(wide(spark, d), "((C2 - C3) - (C2 - A1)) / (C2 - C3)", "reduction")
+    return _ci(wide(spark, d), {"reduction": "((C2 - C3) - (C2 - A1)) / (C2 - C3)"})
 
 
 @register("robust_bootstrap", f"WITH {boot_sql('kept', v.ENS + ', crowd AS (SELECT group_id FROM rec GROUP BY group_id HAVING count(*) > 1), kept AS (SELECT * FROM ens ANTI JOIN crowd USING (group_id))')} {diff_sql(PAIRS)}")
@@ -217,11 +224,11 @@ def robust_bootstrap(spark, d):
     return resampling.paired_differences(boot(spark, d, rows.join(crowd, "group_id", "left_anti")), "condition", PAIRS)
 
 
-@register("permutation_null", f"WITH {GROUPS}, st AS (SELECT group_id, label, count(*) AS n, avg(n_words) AS x FROM rec JOIN grp USING (group_id, label) GROUP BY ALL), pm AS (SELECT r.replicate, st.*, row_number() OVER (PARTITION BY r.replicate ORDER BY {v.bucket_sql('concat_ws(chr(124), 20260922, CAST(r.replicate AS VARCHAR), CAST(group_id AS VARCHAR))')}, group_id) AS k, sum(label) OVER (PARTITION BY r.replicate) AS ones FROM st CROSS JOIN (SELECT unnest(range(40)) AS replicate) r), stat AS (SELECT replicate, avg(CASE WHEN k <= ones THEN x END) - avg(CASE WHEN k > ones THEN x END) AS s FROM pm GROUP BY replicate), obs AS (SELECT avg(CASE WHEN label = 1 THEN x END) - avg(CASE WHEN label = 0 THEN x END) AS o FROM st) SELECT round(max(o), 6) AS observed, round(avg(s), 6) AS null_mean, round(stddev_samp(s), 6) AS null_sd, CAST(count(*) FILTER (WHERE s >= o) AS BIGINT) AS exceed, round((1 + count(*) FILTER (WHERE s >= o)) / CAST(1 + count(*) AS DOUBLE), 9) AS p FROM stat CROSS JOIN obs")
+@register("permutation_null", f"WITH {GROUPS}, st AS (SELECT group_id, label, count(*) AS n, avg(n_words) AS x FROM rec JOIN grp USING (group_id, label) GROUP BY ALL), pm AS (SELECT r.replicate, st.*, row_number() OVER (PARTITION BY r.replicate ORDER BY {v.bucket_sql('concat_ws(chr(124), 20260922, CAST(r.replicate AS VARCHAR), CAST(group_id AS VARCHAR))')}, group_id) AS k, sum(label) OVER (PARTITION BY r.replicate) AS ones FROM st CROSS JOIN (SELECT unnest(range({PERMUTATIONS})) AS replicate) r), stat AS (SELECT replicate, avg(CASE WHEN k <= ones THEN x END) - avg(CASE WHEN k > ones THEN x END) AS s FROM pm GROUP BY replicate), obs AS (SELECT avg(CASE WHEN label = 1 THEN x END) - avg(CASE WHEN label = 0 THEN x END) AS o FROM st) SELECT round(max(o), 6) AS observed, round(avg(s), 6) AS null_mean, round(stddev_samp(s), 6) AS null_sd, CAST(count(*) FILTER (WHERE s >= o) AS BIGINT) AS exceed, round((1 + count(*) FILTER (WHERE s >= o)) / CAST(1 + count(*) AS DOUBLE), 9) AS p FROM stat CROSS JOIN obs")
 def permutation_null(spark, d):
     rows = v.recordings(spark, d).join(groups(spark, d), ["group_id", "label"])
     st = rows.groupBy("group_id", "label").agg(F.avg("n_words").alias("x"))
-    dealt = resampling.permuted_labels(st.select("group_id", "label"), "group_id", "label", 40, 20260922).join(st.select("group_id", "x"), "group_id")
+    dealt = resampling.permuted_labels(st.select("group_id", "label"), "group_id", "label", PERMUTATIONS, 20260922).join(st.select("group_id", "x"), "group_id")
     gap = lambda c: F.avg(F.when(F.col(c) == 1, F.col("x"))) - F.avg(F.when(F.col(c) == 0, F.col("x")))
     stat = dealt.groupBy("replicate").agg(gap("permuted").alias("s"))
     both = stat.crossJoin(F.broadcast(st.agg(gap("label").alias("o"))))

@@ -1,6 +1,7 @@
 """Gates, windows, joins, resampling, models, sources, sinks and streams."""
 
 import datetime as dt
+import hashlib
 import itertools
 import random
 
@@ -130,3 +131,36 @@ def test_encoder_gives_zeros_for_unseen(spark):
     got = {r.k: r.features for r in ml.encode(rows, e, "k", ["x"], ["c"], {"c": ["a", "b", "z"]}).collect()}
     assert got[3] == [0.0, 0.0, 0.0, 0.0]
     assert F is not None and abs(sum(v * v for v in got[1]) - 1) < 1e-9
+
+
+def test_resamples_are_as_many_as_the_references(spark, monkeypatch):
+    from plumbline.plans import evaluation
+
+    asked = []
+    whole = resampling.bootstrap_scores
+    monkeypatch.setattr(resampling, "bootstrap_scores", lambda df, group, condition, iterations, seed: asked.append(iterations) or whole(df, group, condition, iterations, seed))
+    evaluation.cluster_bootstrap(spark, "/root/testdata/sf0.001")
+    assert asked == [10_000]
+    rows = spark.createDataFrame([(i, i, int(i < 30), 100 if i < 30 else 1) for i in range(60)], "utterance_id int, group_id int, label int, n_words int")
+    monkeypatch.setattr(evaluation.v, "recordings", lambda spark, d: rows)
+    r = evaluation.permutation_null(spark, "").first()
+    assert (r.exceed, r.p) == (0, round(1 / 1001, 9))
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_bootstrap_limits(spark, monkeypatch, most):
+    """Against draws dealt in plain Python, with a condition that some groups lack, broadcast or joined."""
+    monkeypatch.setattr(resampling, "BROADCAST_GROUPS", most)
+    monkeypatch.setattr(resampling, "DRAWS", 50)
+    rng = random.Random(5)
+    rows = [(g, c, rng.randrange(2), rng.randrange(2)) for g in range(7) for c in "xy" for _ in range(rng.randrange(1, 4)) if c == "x" or g < 2]
+    got = {(r.iteration, r.c): r.score for r in resampling.bootstrap_scores(spark.createDataFrame(rows, "g int, c string, label int, predicted int"), "g", "c", 40, 3).collect()}
+    want = {}
+    for i in range(-1, 40):
+        drawn = range(7) if i < 0 else [int(hashlib.md5(f"3|{i}|{k}".encode()).hexdigest()[:8], 16) % 7 for k in range(7)]
+        for c in "xy":
+            of = [(y, p) for g in drawn for h, d, y, p in rows if (h, d) == (g, c)]
+            f1 = lambda a: 2 * of.count((a, a)) / max(1, 2 * of.count((a, a)) + of.count((a, 1 - a)) + of.count((1 - a, a)))  # noqa: E731, B023
+            if of:
+                want[i, c] = (f1(1) + f1(0)) / 2
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
