@@ -320,6 +320,11 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     A null or empty text, or one without words, has no shingles, links with nothing and is its own component. Rows with equal sets link; repeated keys
     are documents of their own that share a name. Null keys pass, with the least key of their component. Very long texts are worked whole.
     """
+    return _linked(docs, key, text).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, node, n, component_id, stays) for every row; stays: the row's key and node are those that stand for its component."""
     facts = written(_facts(docs, key, text), "shingle-facts")
     often = facts.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).toPandas()
     hot = often.node.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
@@ -367,11 +372,11 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     rows = facts.where("kind = 0").select("key", "node", "n")
     label = label.withColumnRenamed("component", "group")
     own = rows.where("n > 0").join(label, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    least = own.groupBy("group").agg(F.min("key").alias("component_id"))
-    linked = own.join(least, "group").select("key", "n", "component_id")
-    alone = rows.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
+    least = own.groupBy("group").agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "node"))).alias("least"))
+    linked = own.join(least, "group").select("key", "node", "n", F.col("least.key").alias("component_id"), (F.struct("key", "node") == F.col("least")).alias("stays"))
+    alone = rows.where("n = 0").select("key", "node", "n", F.col("key").alias("component_id"), F.lit(True).alias("stays"))
     discard(lists)
-    return linked.union(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    return linked.union(alone)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -384,17 +389,19 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component, that of the least key; all columns stay.
 
-    What goes is found first and written: as many keys as BROADCAST_ROWS are broadcast, beyond that the join is by key. Of rows
-    that repeat a key that stays, one with the component's set stays. Rows with a null key stay.
+    What goes is found first and written: as many keys as BROADCAST_ROWS are broadcast, beyond that the join is by key. Rows
+    that share a key are told apart by their sets; of those with equal sets one stays. Rows with a null key stay.
     """
-    found = written(similarity_components(docs, key, text).select(F.col(key).alias("gone_key_"), "component_id"), "near-copies")
-    gone = found.where("gone_key_ <> component_id").select("gone_key_").distinct()
-    out = _without(docs, gone, key)
-    again = found.where("gone_key_ is not null").groupBy("gone_key_").count().where("count > 1").select("gone_key_")
+    found = written(_linked(docs, key, text).where("key is not null").select(F.col("key").alias("gone_key_"), "node", "stays"), "near-copies")
+    out = _without(docs, found.where("not stays").select("gone_key_").distinct(), key)
+    again = found.groupBy("gone_key_").count().where("count > 1").select("gone_key_")
     if again.isEmpty():
         return out
-    repeated = out.join(again, out[key] == F.col("gone_key_"), "left_semi")
-    return _without(out, again, key).unionByName(repeated.dropDuplicates([key]))
+    name = F.udf(lambda t: node_of(shingles(t or "")), "bigint")
+    repeated = docs.join(again, docs[key] == F.col("gone_key_"), "left_semi").withColumn("node_", name(text))
+    stay = found.where("stays").select("gone_key_", "node").distinct()
+    own = repeated.join(stay, (F.col(key) == F.col("gone_key_")) & (F.col("node_") == F.col("node")), "left_semi").dropDuplicates([key, "node_"])
+    return _without(out, again, key).unionByName(own.drop("node_"))
 
 
 def _without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -162,3 +162,11 @@ def test_short_texts_of_a_hot_passage(spark, monkeypatch):
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert len(links) == len(cuts) // 2
     assert {r.doc_id: r.component_id for r in jaccard_join.similarity_components(df).collect()} == reach(sets, links)
+
+
+def test_keys_of_different_texts(spark):
+    """One row of each component stays, also where rows of different texts share a key."""
+    a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(1, a), (1, b), (1, b), (2, c), (5, a), (5, "s t u v w x"), (7, c), (7, "y z y z y z"), (8, "y z y z y z"), (None, a), (9, ""), (9, None)]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(0, a), (1, a), (1, b), (2, c), (5, "s t u v w x"), (7, "y z y z y z"), (9, "")])
