@@ -1,13 +1,15 @@
 """Exact n-gram Jaccard self-join by adaptive multi-match prefixes.
 
-A document's set is its distinct 5-word shingles as 64-bit hashes, ordered rare ones first. Two sets with a Jaccard
-similarity of at least t overlap in t * n tokens of either, so the first n - ceil(t n) + l tokens of both share l. Each document
-chooses its l: where its prefix holds frequent tokens, the estimated cost of the candidates they bring is weighed against a longer prefix
-of which more tokens must be shared. Documents with equal sets are one node.
-
-Only components are asked for, so a group of near copies is not expanded into all its pairs: first neighbours in random orders of
-each posting list are verified, then stars around the documents with the most links; what links is merged, and only pairs of different
-components that are left are enumerated, counted and verified. Every pair that shares enough prefix tokens is either verified or already within a component.
+A document's set is its distinct 5-word shingles as 64-bit hashes, ordered rare ones first. Two sets of n and m tokens with a Jaccard
+similarity of at least t share needed = ceil(t / (1 + t) (n + m)) tokens. Each document's prefix is its first n - ceil(t n) + l tokens; l is
+chosen by document: where the prefix holds frequent tokens, the estimated cost of the candidates they bring is weighed against a longer
+prefix, of which more tokens must be shared. What is common to a pair beyond the prefix that ends first is at most ceil(t n) - l, so a pair is
+a candidate only if its prefixes share needed - max(ceil(t n) - l, ceil(t m) - l') tokens, which is min(l, l') at least and many more where sizes are alike.
+
+Documents with equal sets are one node, and tokens whose posting lists have the same members are one list with a weight. Only components
+are asked for, so a group of near copies is not expanded into all its pairs: neighbours in the lists are verified first, then stars around the nodes with
+the most links; what links is merged, and only pairs of different components are enumerated with their counts. Of these
+candidates each node's best are verified, then all that are still in different components. So every candidate is either verified or within a component.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from .components import components
 
 #: Words of a shingle; the similarity as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
-#: Frequent shingles in the order's broadcast table (12 bytes each; the others are ordered by hash); shingles of a task counted at once, and the count there from which one is reported.
-FREQUENT, COUNTED, REPORTED = 1 << 17, 1 << 21, 3
-#: Longest prefix extension; cost of verifying a shingle against scanning a posting; postings of a hot token in one sublist.
-MOST_MATCHES, VERIFY, SUBLIST = 4, 1 / 64, 2000
-#: Pivot orders of a star round; rounds at most; pairs for each posting below which the rest is enumerated; members a pivot's chunk has; rows that say where texts go, broadcast up to so many.
-ORDERS, ROUNDS, REST, CHUNK, BROADCAST_ROWS = 2, 2, 2, 512, 200_000
+#: Frequent shingles in the order's broadcast table (12 bytes each; the others are ordered by hash); shingles of a task counted at once; the count from which such a stretch surely reports a shingle; one over the chance by which it reports others; the chance reports from which these count.
+FREQUENT, COUNTED, SURE, RATE, REPORTS = 1 << 19, 1 << 21, 3, 64, 3
+#: Longest prefix extension; cost of verifying a shingle against scanning a posting; postings of a hot token in one sublist; rows of a list held at once.
+MOST_MATCHES, VERIFY, SUBLIST, RUN = 8, 1 / 64, 2000, 1 << 16
+#: Star rounds; candidates of a node that are verified before the rest, and how often; members a pivot's chunk has; rows broadcast at most.
+STARS, BEST, PASSES, CHUNK, BROADCAST_ROWS = 2, 3, 2, 512, 200_000
 #: Shingles of sets that a verifying task keeps at hand.
 RECENT = 3_000_000
 
@@ -80,23 +82,22 @@ def least_overlap(n: int) -> int:
     return -(-n * NUMERATOR // DENOMINATOR)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(tokens, level of each, l): the l-prefix of a set. frequent: sorted hashes; counts: their estimated document counts."""
+def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """(tokens, l): the prefix of a set. frequent: sorted hashes; counts: their estimated document counts; other tokens count as one posting."""
     n = len(s)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         hot = frequent[at] == s
         order = np.argsort(counts[at[hot]], kind="stable")
         tokens = np.concatenate([s[~hot], s[hot][order]])
-        weight = np.concatenate([np.zeros(n - len(order)), counts[at[hot]][order]])
+        weight = np.concatenate([np.ones(n - len(order)), counts[at[hot]][order]])
     else:
-        tokens, weight = s, np.zeros(n)
+        tokens, weight = s, np.ones(n)
     first = n - least_overlap(n) + 1
     most = min(MOST_MATCHES, least_overlap(n))
     scanned = np.cumsum(weight)[first - 1 : first - 1 + most]
     best = int(np.argmin(scanned * (1 + VERIFY * n / np.arange(1, len(scanned) + 1)))) + 1
-    length = first - 1 + best
-    return tokens[:length], np.maximum(1, np.arange(length) - first + 2).astype(np.int8), best
+    return tokens[: first - 1 + best], best
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -104,7 +105,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows of kind 0: (key, node, size) for each document; of kind 1: (null, token, count) of what is frequent in a stretch of a task."""
+    """Rows of kind 0: (key, node, size) for each document; of kinds 1 and 2: (null, token, count), by which tokens' counts are estimated.
+
+    Each stretch of a task reports a token that it holds c times: from SURE times on as c (kind 1), else with the probability c / RATE as RATE (kind 2). The sum of the
+    reports is an unbiased estimate of the count over all documents, however thinly a token is spread and however rows are dealt to tasks."""
     out = pa.schema([pa.field("kind", pa.int8()), pa.field("key", pa.int64()), pa.field("node", pa.int64()), pa.field("n", pa.int64())])
 
     def run(batches):
@@ -114,9 +118,11 @@ def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         def report():
             token, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= REPORTED
+            chance = _mix(token ^ held[0][:1]) % np.uint64(RATE)  # differently in each stretch
+            sure = count >= SURE
+            often = sure | (chance < count)
             k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.array(_signed(token[often])), pa.array(count[often])], schema=out)
+            return pa.RecordBatch.from_arrays([pa.array(2 - sure[often].astype(np.int8)), pa.nulls(k, pa.int64()), pa.array(_signed(token[often])), pa.array(np.where(sure, count, RATE)[often])], schema=out)
 
         for batch in batches:
             for cols, texts in slices(batch, "text"):
@@ -125,7 +131,7 @@ def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
                     s = shingles(t)
                     nodes.append(node_of(s))
                     sizes.append(len(s))
-                    if nodes[-1] not in seen:
+                    if len(s) and nodes[-1] not in seen:
                         seen.add(nodes[-1])
                         held.append(s)
                         size += len(s)
@@ -143,10 +149,10 @@ def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _postings(docs: DataFrame, text: str, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(token, part, node, n, level, matches): the prefixes, once for each set that a stretch of a task holds. part splits hot tokens' lists, from 1; it is 0 where a list is whole."""
+    """(token, part, node, n, matches): the prefixes, once for each set that a stretch of a task holds. part splits hot tokens' lists, from 1; it is 0 where a list is whole."""
     shipped = docs.sparkSession.sparkContext.broadcast((frequent.tobytes(), counts.astype(np.float32).tobytes()))
-    names = ("token", "part", "node", "n", "level", "matches")
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int8())
+    names = ("token", "part", "node", "n", "matches")
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8())
     out = pa.schema([pa.field(a, b) for a, b in zip(names, kinds, strict=True)])
 
     def run(batches):
@@ -164,8 +170,7 @@ def _postings(docs: DataFrame, text: str, frequent: np.ndarray, counts: np.ndarr
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(node)
-                    tokens, level, matches = prefix(s, hot, often)
-                    rows.append((tokens, level, node, len(s), matches))
+                    rows.append((*prefix(s, hot, often), node, len(s)))
                 if not rows:
                     continue
                 sizes = [len(r[0]) for r in rows]
@@ -178,59 +183,65 @@ def _postings(docs: DataFrame, text: str, frequent: np.ndarray, counts: np.ndarr
                     at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
                     parts = np.where(hot[at] == token, np.ceil(often[at] / SUBLIST), 1).astype(np.uint64)
                     part = np.where(parts > 1, _mix(own + np.uint64(7)) % parts + np.uint64(1), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(token), part, node, spread(3, np.int32), np.concatenate([r[1] for r in rows]), spread(4, np.int8))], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(token), part, node, spread(3, np.int32), spread(1, np.int8))], schema=out)
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token bigint, part int, node bigint, n int, level tinyint, matches tinyint")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token bigint, part int, node bigint, n int, matches tinyint")
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """Posting lists with two nodes or more (all of split ones, as other parts hold partners), each row with the node before it as pivot, in one of ORDERS random orders of all nodes.
+    """(list, node, n, matches, pivot, pivot_n, weight): posting lists of two nodes or more (all of split ones, as other parts hold partners), each row with the node before it as pivot.
 
-    Sorted partitions are passed through with one pending row, so a long list takes no memory."""
-    names = ("token", "node", "n", "level", "matches", "pivot", "pivot_n")
-    kinds = (np.int64, np.int64, np.int32, np.int8, np.int8, np.int64, np.int32)
+    Lists with the same members are one, named by the sum of their nodes' hashes; weight is how many tokens it stands for. Partitions
+    sorted by token and node are passed through, holding one list at a time: a split list, and one of over RUN rows, keeps the token's own name and is streamed.
+    """
+    names = ("list", "node", "n", "matches", "pivot", "pivot_n")
+    kinds = (np.int64, np.int64, np.int32, np.int8, np.int64, np.int32)
     out = pa.schema([pa.field(a, pa.from_numpy_dtype(b)) for a, b in zip(names, kinds, strict=True)])
 
     def run(batches):
-        last = None  # the pending row: columns token, part, node, n, level, matches, pivot, pivot_n, and whether it is to be kept
-        def emit(c, keep):
-            return pa.RecordBatch.from_arrays([pa.array(c[k][keep].astype(t)) for k, t in zip(("token", "node", "n", "level", "matches", "pivot", "pivot_n"), kinds, strict=True)], schema=out)
+        held, streamed = None, False  # rows of the last list; streamed: its rows before the only one held are given out already
+
+        def give(c, own_name, first):
+            """The rows of whole lists, or of a part of one under its own name; own_name: bool, by row; first: how many rows are given already."""
+            new = np.ones(len(c["token"]), bool)
+            new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["part"][1:] != c["part"][:-1])
+            starts = np.flatnonzero(new)
+            size = np.diff(np.append(starts, len(new)))
+            total = np.add.reduceat(_mix(c["node"].view(np.uint64)), starts).view(np.int64)
+            own_name |= c["part"] > 0
+            name = np.where(own_name, c["token"], np.repeat(total, size))
+            keep = own_name | np.repeat(size > 1, size)
+            keep[:first] = False
+            before = [np.where(new, c[f], np.roll(c[f], 1)) for f in ("node", "n")]
+            cols = (name, c["node"], c["n"], c["matches"], *before)
+            return pa.RecordBatch.from_arrays([pa.array(x[keep].astype(k)) for x, k in zip(cols, kinds, strict=True)], schema=out)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in ("token", "part", "node", "n", "level", "matches")}
-            k = batch.num_rows
-            # a set that several tasks have met stands next to itself
-            before = last["node"][0] if last is not None and last["token"][0] == c["token"][0] else None
-            once = np.ones(k, bool)
+            c = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in ("token", "part", "node", "n", "matches")}
+            if held is not None:
+                c = {f: np.concatenate([held[f], x]) for f, x in c.items()}
+            once = np.ones(len(c["token"]), bool)  # a set that several tasks have met stands next to itself
             once[1:] = (c["token"][1:] != c["token"][:-1]) | (c["node"][1:] != c["node"][:-1])
-            once[0] = c["node"][0] != before
-            if not once.all():
-                c = {f: x[once] for f, x in c.items()}
-                k = int(once.sum())
-                if not k:
-                    continue
-            new = np.ones(k, bool)
-            new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["part"][1:] != c["part"][:-1])
-            joined = last is not None and last["token"][0] == c["token"][0] and last["part"][0] == c["part"][0]
-            c["pivot"], c["pivot_n"] = (np.where(new, c[f], np.roll(c[f], 1)) for f in ("node", "n"))
-            if joined:
-                c["pivot"][0], c["pivot_n"][0] = last["node"][0], last["n"][0]
-            more = ~new
-            more[0] = joined
-            keep = more | (c["part"] > 0)
-            keep[:-1] |= more[1:]
-            if last is not None:
-                yield emit(last, np.array([last["keep"] or joined]))
-            yield emit(c, np.concatenate([keep[:-1], [False]]))
-            last = {f: v[-1:] for f, v in c.items()} | {"keep": bool(keep[-1])}
-        if last is not None:
-            yield emit(last, np.array([last["keep"]]))
-
-    turn = F.xxhash64("node", F.pmod("token", F.lit(ORDERS)))
-    near = postings.repartition("token", "part").sortWithinPartitions("token", "part", turn)
-    return near.mapInArrow(run, "token bigint, node bigint, n int, level tinyint, matches tinyint, pivot bigint, pivot_n int")
+            c = {f: x[once] for f, x in c.items()}
+            other = np.flatnonzero((c["token"] != c["token"][-1]) | (c["part"] != c["part"][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            own_name = (c["token"] == c["token"][0]) & (c["part"] == c["part"][0]) & streamed
+            if cut:
+                yield give({f: x[:cut] for f, x in c.items()}, own_name[:cut], int(streamed))
+                streamed = False
+            held = {f: x[cut:] for f, x in c.items()}
+            k = len(held["token"])
+            if k > RUN:
+                yield give(held, np.ones(k, bool), int(streamed))
+                held, streamed = {f: x[-1:] for f, x in held.items()}, True
+        if held is not None:
+            yield give(held, np.full(len(held["token"]), streamed), int(streamed))
+
+    near = postings.repartition("token", "part").sortWithinPartitions("token", "part", "node")
+    rows = near.mapInArrow(run, "list bigint, node bigint, n int, matches tinyint, pivot bigint, pivot_n int")
+    return rows.groupBy("list", "node").agg(*(F.first(f).alias(f) for f in ("n", "matches", "pivot", "pivot_n")), F.count("*").alias("weight"))
 
 
 def _needed(a: str, b: str):
@@ -243,6 +254,11 @@ def _overlap(n: str):
     return F.expr(f"({NUMERATOR} * {n} + {DENOMINATOR - 1}) div {DENOMINATOR}")
 
 
+def _least_common(n: str, matches: str, m: str, more: str):
+    """The tokens that the prefixes of sets of n and m must share: beyond the prefix that ends first, a set has ceil(t n) - l."""
+    return _needed(n, m) - F.greatest(_overlap(n) - F.expr(matches), _overlap(m) - F.expr(more))
+
+
 def _fits(a: str, b: str):
     """Sizes that allow the similarity."""
     return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
@@ -260,9 +276,8 @@ def _verify(docs: DataFrame, facts: DataFrame, pairs: DataFrame, key: str, text:
     roles = members.union(pivots)
     source = facts.where("kind = 0").join(roles.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key_"))
     places = written(roles.join(source, "node"), "verify-places")
-    few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    sent = rows.join(F.broadcast(places) if few else places.hint("merge"), F.col("key").eqNullSafe(F.col("key_"))).select("a", "chunk", "turn", "node", "text")
+    sent = rows.join(_few(places), F.col("key").eqNullSafe(F.col("key_"))).select("a", "chunk", "turn", "node", "text")
     out = pa.schema([pa.field("a", pa.int64()), pa.field("b", pa.int64())])
 
     def run(batches):
@@ -294,7 +309,9 @@ def _verify(docs: DataFrame, facts: DataFrame, pairs: DataFrame, key: str, text:
                 yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], schema=out)
 
     near = sent.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "turn").select("a", "turn", "node", "text")
-    return written(near.mapInArrow(run, "a bigint, b bigint"), "similar-pairs")
+    out_ = written(near.mapInArrow(run, "a bigint, b bigint"), "similar-pairs")
+    discard(places)
+    return out_
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -305,13 +322,18 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def _labelled(lists: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Lists with the component of each row's node, where the list still has more than one."""
-    if label is None:
-        return lists.withColumn("component", F.col("node"))
-    own = lists.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_lists = own.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    return own.join(open_lists, "token", "left_semi")
+def _few(df: DataFrame) -> DataFrame:
+    """A written frame, to be broadcast where it has BROADCAST_ROWS at most, else to be joined by key."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """Lists with the component of each row's node, where the list has more than one; written."""
+    own = lists.drop("component").join(_few(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_lists = written(own.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("list"), "open-names")
+    out = written(own.join(_few(open_lists), "list", "left_semi"), "open-lists")
+    discard(open_lists)
+    return out
 
 
 def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,60 +345,99 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     return _linked(docs, key, text).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+class _Found:
+    """The pairs verified so far, those of them that link, and the components they make."""
+
+    def __init__(self, docs: DataFrame, facts: DataFrame, key: str, text: str):
+        self.docs, self.facts, self.key, self.text = docs, facts, key, text
+        self.tried: list[DataFrame] = []
+        self.links: list[DataFrame] = []
+        self.label: DataFrame | None = None
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Verifies pairs (a, b), a having most partners, but those already tried."""
+        pairs = pairs.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        for t in self.tried:
+            pairs = pairs.join(_few(t.select("x", "y")), ["x", "y"], "left_anti")
+        pairs = written(pairs, "pairs")
+        self.tried.append(pairs)
+        self.links.append(_verify(self.docs, self.facts, pairs.select("a", "b"), self.key, self.text))
+        # a written label stands for all links before it
+        old = [] if self.label is None else [self.label.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+        label = written(components(_union([self.links[-1], *old])), "labels")
+        if self.label is not None:
+            discard(self.label)
+        self.label = label
+
+    def close(self) -> None:
+        discard(*self.tried, *self.links)
+
+
+def _best(pairs: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b, c) that are among the most best, by c, of one of their nodes."""
+    one = pairs.select(F.col("a").alias("node"), "a", "b", "c").union(pairs.select(F.col("b").alias("node"), "a", "b", "c"))
+    best = one.groupBy("node").agg(*(F.max_by(F.struct("a", "b"), F.struct("c", F.xxhash64("a", "b", F.lit(k)))).alias(f"p{k}") for k in range(most)))
+    return best.select(F.explode(F.array(*(f"p{k}" for k in range(most)))).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _shares(c, share: float):
+    """c counts share of the tokens that a candidate needs, at least (those with fewer come up again when pairs are enumerated)."""
+    return c >= share * _least_common("first(n)", "first(matches)", "first(pivot_n)", "1")
+
+
 def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, node, n, component_id, stays) for every row; stays: the row's key and node are those that stand for its component."""
     facts = written(_facts(docs, key, text), "shingle-facts")
-    often = facts.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).toPandas()
+    by_chance = F.count_if(F.col("kind") == 2) >= REPORTS
+    often = facts.where("kind > 0").groupBy("node").agg(F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("sure"), F.when(by_chance, F.sum(F.when(F.col("kind") == 2, F.col("n")))).alias("thin"))
+    often = often.where("sure is not null or thin is not null").select("node", (F.coalesce("sure", F.lit(0)) + F.coalesce("thin", F.lit(0))).alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).toPandas()
     hot = often.node.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
     order = np.argsort(hot)
-    lists = written(_lists(_postings(docs, text, hot[order], often.n.to_numpy(np.float64)[order])), "posting-lists")
-    edges, label = [], None
-    now, tried = lists, None
-    postings = lists.count()
-    for turn in range(ROUNDS + 1):
-        if turn:
-            now = written(_labelled(lists, label), "open-lists")
-            # pairs left: of all in a list less those within a component
-            by = now.groupBy("token", "component").agg(F.count("*").cast("double").alias("k"))
-            rest = by.groupBy("token").agg((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)).alias("pairs")).agg(F.sum("pairs") / 2).first()[0] or 0.0
-            if rest <= REST * postings + 100_000 or turn == ROUNDS:
-                break
-            degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-            ranked = now.join(degree, "node", "left").withColumn("rank", F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("node", F.lit(turn)).alias("h")))
-            pivots = ranked.groupBy("token").agg(F.max_by(F.struct("node", "n", "component"), "rank").alias("p"))
-            star = now.join(pivots, "token").where("component <> p.component").select(F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "node", "n")
-        else:
-            star = now.where("node <> pivot")
-        # pairs with far too few of their common tokens here would fail; a pair left out comes up again below
-        few = F.count("*") * ORDERS * 5 < (_needed("first(n)", "first(pivot_n)") - F.greatest(_overlap("first(n)"), _overlap("first(pivot_n)"))) * 2
-        met = star.where(_fits("n", "pivot_n")).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(few.alias("few"))
-        pairs = met.where("not few").select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "star-pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        edges.append(_verify(docs, facts, pairs, key, text))
-        links = _union(edges)
-        label = written(components(links), "labels")
+    now = written(_lists(_postings(docs, text, hot[order], often.n.to_numpy(np.float64)[order])), "posting-lists")
+    found = _Found(docs, facts, key, text)
+    # neighbours: for each node the one that most of its lists agree on
+    near = now.where("node <> pivot").where(_fits("n", "pivot_n")).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("c"), _shares(F.sum("weight"), 0.2).alias("enough"))
+    found.verify(near.where("enough").groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"))
+    degree = None
+    for turn in range(1, STARS + 1):
+        after = _labelled(now, found.label)
+        discard(now)
+        now = after
+        degree = written(_union(found.links).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree")), "degrees")
+        ranked = now.join(_few(degree), "node", "left").withColumn("rank", F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("node", F.lit(turn)).alias("h")))
+        pivots = written(ranked.groupBy("list").agg(F.max_by(F.struct("node", "n", "component"), "rank").alias("p")), "pivots")
+        star = now.drop("pivot", "pivot_n").join(_few(pivots), "list").where("component <> p.component").withColumn("pivot_n", F.col("p.n")).where(_fits("n", "pivot_n"))
+        met = star.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("c"), _shares(F.sum("weight"), 0.5).alias("enough"))
+        found.verify(met.where("enough").groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"))
+        discard(degree, pivots)
+    after = _labelled(now, found.label)
+    discard(now)
+    now = after.drop("pivot", "pivot_n")
     left, right = now.alias("x"), now.alias("y")
-    meet = left.join(right, F.col("x.token") == F.col("y.token")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _fits("x.n", "y.n"))
+    meet = left.join(right, F.col("x.list") == F.col("y.list")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _fits("x.n", "y.n"))
     counted = meet.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
-        F.count("*").alias("c"), F.count_if(F.greatest("x.level", "y.level") <= F.least("x.matches", "y.matches")).alias("k"), *(F.first(f"{s}.{f}").alias(f"{f}_{s}") for s in "xy" for f in ("n", "matches"))
+        F.sum(F.greatest("x.weight", "y.weight")).alias("c"), *(F.first(f"{s}.{f}").alias(f"{f}_{s}") for s in "xy" for f in ("n", "matches"))
     )
-    # l shared tokens in the l-prefixes; and as no token beyond the prefix that ends first is missed, what they share and what is left of that set must reach the overlap
-    reach = F.col("c") + F.greatest(_overlap("n_x") - F.col("matches_x"), _overlap("n_y") - F.col("matches_y")) >= _needed("n_x", "n_y")
-    shared = counted.where((F.col("k") >= F.least("matches_x", "matches_y")) & reach).select("a", "b")
-    pairs = written(shared.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest-pairs")
-    edges.append(_verify(docs, facts, pairs, key, text))
-    label = written(components(_union(edges)), "labels")
+    alike = F.expr("c / (" + " + ".join(f"n_{s} - ({NUMERATOR} * n_{s} + {DENOMINATOR - 1}) div {DENOMINATOR} + matches_{s}" for s in "xy") + " - c)")  # of the prefixes
+    rest = written(counted.where(F.col("c") >= _least_common("n_x", "matches_x", "n_y", "matches_y")).select("a", "b", alike.alias("c")), "candidates")
+    discard(after)
+    for turn in range(PASSES + 1):
+        found.verify(_best(rest, BEST) if turn < PASSES else rest.select("a", "b"))
+        if turn < PASSES:
+            of = lambda side: _few(found.label.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")))
+            left = rest.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "c")
+            left = written(left.join(_few(found.tried[-1].select("a", "b")), ["a", "b"], "left_anti"), "candidates")
+            discard(rest)
+            rest = left
+    found.close()
+    discard(rest)
+    # sets of several rows or with links; all other rows are their own component
     rows = facts.where("kind = 0").select("key", "node", "n")
-    label = label.withColumnRenamed("component", "group")
-    own = rows.where("n > 0").join(label, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    least = own.groupBy("group").agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "node"))).alias("least"))
-    linked = own.join(least, "group").select("key", "node", "n", F.col("least.key").alias("component_id"), (F.struct("key", "node") == F.col("least")).alias("stays"))
-    alone = rows.where("n = 0").select("key", "node", "n", F.col("key").alias("component_id"), F.lit(True).alias("stays"))
-    discard(lists)
-    return linked.union(alone)
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("rows")).join(found.label, "node", "left"), "nodes").where("rows > 1 or component is not null")
+    least = written(nodes.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "node"))).alias("least")), "least")
+    named = written(nodes.select("node", F.coalesce("component", "node").alias("component")).join(_few(least), "component").select("node", "least"), "named")
+    joined = rows.join(_few(named), "node", "left").withColumn("stays", F.coalesce(F.struct("key", "node") == F.col("least"), F.col("least").isNull()))
+    return joined.select("key", "node", "n", F.when(F.col("least").isNull(), F.col("key")).otherwise(F.col("least.first")).alias("component_id"), "stays")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -405,5 +466,4 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def _without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(keys) if few else keys.hint("merge"), docs[key] == keys["gone_key_"], "left_anti")
+    return docs.join(_few(keys), docs[key] == keys["gone_key_"], "left_anti")
