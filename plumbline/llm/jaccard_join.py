@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hold, slices, written
+from .common import discard, hold, slices, trimmed, written
 from .components import components
 
 #: Words of a shingle; the similarity as a fraction.
@@ -41,9 +41,11 @@ _M = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WORDS)]
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 300_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -117,8 +119,12 @@ def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
         seen: set[int] = set()
 
         def report():
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            chance = _mix(token ^ held[0][:1]) % np.uint64(RATE)  # differently in each stretch
+            salt, token = held[0][:1].copy(), np.concatenate(held)
+            held.clear()
+            token.sort()
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            token, count = token[first], np.diff(np.append(first, len(token)))
+            chance = _mix(token ^ salt) % np.uint64(RATE)  # differently in each stretch
             sure = count >= SURE
             often = sure | (chance < count)
             k = int(often.sum())
@@ -137,7 +143,6 @@ def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
                         size += len(s)
                         if size >= COUNTED:
                             yield report()
-                            held.clear()
                             seen.clear()
                             size = 0
                 k = len(texts)
@@ -145,7 +150,7 @@ def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
         if held:
             yield report()
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "kind tinyint, key bigint, node bigint, n bigint")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(trimmed(run), "kind tinyint, key bigint, node bigint, n bigint")
 
 
 def _postings(docs: DataFrame, text: str, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -185,7 +190,7 @@ def _postings(docs: DataFrame, text: str, frequent: np.ndarray, counts: np.ndarr
                     part = np.where(parts > 1, _mix(own + np.uint64(7)) % parts + np.uint64(1), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(token), part, node, spread(3, np.int32), spread(1, np.int8))], schema=out)
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token bigint, part int, node bigint, n int, matches tinyint")
+    return docs.select(F.col(text).alias("text")).mapInArrow(trimmed(run), "token bigint, part int, node bigint, n int, matches tinyint")
 
 
 def _lists(postings: DataFrame) -> DataFrame:
@@ -240,7 +245,7 @@ def _lists(postings: DataFrame) -> DataFrame:
             yield give(held, np.full(len(held["token"]), streamed), int(streamed))
 
     near = postings.repartition("token", "part").sortWithinPartitions("token", "part", "node")
-    rows = near.mapInArrow(run, "list bigint, node bigint, n int, matches tinyint, pivot bigint, pivot_n int")
+    rows = near.mapInArrow(trimmed(run), "list bigint, node bigint, n int, matches tinyint, pivot bigint, pivot_n int")
     return rows.groupBy("list", "node").agg(*(F.first(f).alias(f) for f in ("n", "matches", "pivot", "pivot_n")), F.count("*").alias("weight"))
 
 
@@ -309,7 +314,7 @@ def _verify(docs: DataFrame, facts: DataFrame, pairs: DataFrame, key: str, text:
                 yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], schema=out)
 
     near = sent.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "turn").select("a", "turn", "node", "text")
-    out_ = written(near.mapInArrow(run, "a bigint, b bigint"), "similar-pairs")
+    out_ = written(near.mapInArrow(trimmed(run), "a bigint, b bigint"), "similar-pairs")
     discard(places)
     return out_
 
@@ -328,12 +333,8 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
-    """Lists with the component of each row's node, where the list has more than one; written."""
-    own = lists.drop("component").join(_few(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_lists = written(own.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("list"), "open-names")
-    out = written(own.join(_few(open_lists), "list", "left_semi"), "open-lists")
-    discard(open_lists)
-    return out
+    """Lists with the component of each row's node."""
+    return lists.join(_few(label), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -393,26 +394,26 @@ def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
     often = often.where("sure is not null or thin is not null").select("node", (F.coalesce("sure", F.lit(0)) + F.coalesce("thin", F.lit(0))).alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).toPandas()
     hot = often.node.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
     order = np.argsort(hot)
-    now = written(_lists(_postings(docs, text, hot[order], often.n.to_numpy(np.float64)[order])), "posting-lists")
+    lists = written(_lists(_postings(docs, text, hot[order], often.n.to_numpy(np.float64)[order])), "posting-lists")
     found = _Found(docs, facts, key, text)
     # neighbours: for each node the one that most of its lists agree on
-    near = now.where("node <> pivot").where(_fits("n", "pivot_n")).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("c"), _shares(F.sum("weight"), 0.2).alias("enough"))
+    near = lists.where("node <> pivot").where(_fits("n", "pivot_n")).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("c"), _shares(F.sum("weight"), 0.2).alias("enough"))
     found.verify(near.where("enough").groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"))
-    degree = None
+    lists_, lists = lists, lists.drop("pivot", "pivot_n")
+    more_than_one = F.min("component") != F.max("component")
     for turn in range(1, STARS + 1):
-        after = _labelled(now, found.label)
-        discard(now)
-        now = after
+        own = _labelled(lists, found.label)
         degree = written(_union(found.links).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree")), "degrees")
-        ranked = now.join(_few(degree), "node", "left").withColumn("rank", F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("node", F.lit(turn)).alias("h")))
-        pivots = written(ranked.groupBy("list").agg(F.max_by(F.struct("node", "n", "component"), "rank").alias("p")), "pivots")
-        star = now.drop("pivot", "pivot_n").join(_few(pivots), "list").where("component <> p.component").withColumn("pivot_n", F.col("p.n")).where(_fits("n", "pivot_n"))
+        ranked = own.join(_few(degree), "node", "left").withColumn("rank", F.struct(F.coalesce("degree", F.lit(0)).alias("d"), F.xxhash64("node", F.lit(turn)).alias("h")))
+        pivots = ranked.groupBy("list").agg(more_than_one.alias("open"), F.max_by(F.struct("node", "n", "component"), "rank").alias("p"))
+        pivots = written(pivots.where("open").select("list", "p"), "pivots")
+        star = own.join(_few(pivots), "list").where("component <> p.component").withColumn("pivot_n", F.col("p.n")).where(_fits("n", "pivot_n"))
         met = star.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("c"), _shares(F.sum("weight"), 0.5).alias("enough"))
         found.verify(met.where("enough").groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"))
         discard(degree, pivots)
-    after = _labelled(now, found.label)
-    discard(now)
-    now = after.drop("pivot", "pivot_n")
+    own = _labelled(lists, found.label)
+    open_lists = written(own.groupBy("list").agg(more_than_one.alias("open")).where("open").select("list"), "open-names")
+    now = written(own.join(_few(open_lists), "list", "left_semi"), "open-lists")
     left, right = now.alias("x"), now.alias("y")
     meet = left.join(right, F.col("x.list") == F.col("y.list")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _fits("x.n", "y.n"))
     counted = meet.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
@@ -420,7 +421,7 @@ def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
     alike = F.expr("c / (" + " + ".join(f"n_{s} - ({NUMERATOR} * n_{s} + {DENOMINATOR - 1}) div {DENOMINATOR} + matches_{s}" for s in "xy") + " - c)")  # of the prefixes
     rest = written(counted.where(F.col("c") >= _least_common("n_x", "matches_x", "n_y", "matches_y")).select("a", "b", alike.alias("c")), "candidates")
-    discard(after)
+    discard(lists_, open_lists, now)
     for turn in range(PASSES + 1):
         found.verify(_best(rest, BEST) if turn < PASSES else rest.select("a", "b"))
         if turn < PASSES:

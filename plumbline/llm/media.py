@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import hold, map_texts
 
 #: Samples in a row of the stored image; tile height and width (one column more than hash bits in a row); rows summed at once.
 WIDTH, TILE, BAND = 64, (8, 9), 1 << 12
@@ -156,6 +156,8 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text", form: str
     """
 
     def work():
+        hold("media")
+
         def run(texts):
             cols = [[] for _ in range(9)]
             for t in texts:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import hold, map_texts, written
 from .quality import held_out, keep_where, labelled_sample
 
 #: Documents of each label in the fit at most; features in the model; documents a feature must be in; ridge; weight of the counterfactual term; the least score that counts as toxic.
@@ -66,9 +66,11 @@ class Toxicity:
         self.weights, self.bias, self.known = weights, bias, {}
 
     def positions(self, word: str) -> tuple[int, ...]:
-        if len(self.known) > 300_000:
-            self.known.clear()
-        found = self.known[word] = tuple(self.at[p] for p in parts(word) if p in self.at)
+        found = tuple(self.at[p] for p in parts(word) if p in self.at)
+        if len(word) <= 64:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[word] = found
         return found
 
     def counts(self, tokens: list[str]) -> dict[int, int]:
@@ -184,6 +186,8 @@ def score(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str = "te
     repeated rows and null keys pass; other columns are not carried; nothing is shuffled."""
 
     def work():
+        hold("toxicity")
+
         def run(texts):
             s = model.score(texts)
             return [s.tolist(), (s >= CUT).astype(int).tolist()]
