@@ -40,8 +40,8 @@ WIDEST, GROUP, CELLS = 512, 4, 250_000
 DEPTH = 150
 #: Different pages with a slot from which its texts can be template; texts in a slot's sketch; the share of texts that come again from which a slot is template.
 LEAST_PAGES, SKETCH, AGAIN_SHARE = 3, 24, 0.5
-#: The share of the paragraphs' text that the main part holds before it takes in what stands beside it; the share of text that makes a neighbour part of it.
-MAIN_SHARE, BESIDE = 0.8, 0.05
+#: The share of a part's text that makes a neighbour on the same pages part of the main part; the share of all such text that articles hold where they are the main parts.
+BESIDE, ARTICLES = 0.05, 0.5
 
 #: Raw elements hold no markup; inline ones don't end a block; void ones have no end; these end an open paragraph (fixed values).
 RAW = frozenset("script style noscript iframe textarea title".split())
@@ -188,8 +188,8 @@ def blocks(page: str) -> list[Block]:
 
 
 # A wrapper node is {"s": signature, "m": multiplicity, "g": siblings of the repeated group it is in or 0, "p": pages, "c": children} and, where it has a text
-# slot, "t": characters, "k": [names of different pages (LEAST_PAGES at most), names of the texts that all pages have there] and "b": [name, pages] of the
-# SKETCH texts with the least names. A page's own nodes also have "i": positions of their blocks.
+# slot, "t": characters, "d": names of different pages (LEAST_PAGES at most) and "b": [name, pages] of the SKETCH texts with the least names. A page's own nodes
+# also have "i": positions of their blocks. The root has "k": for each clean path, names of different pages and of the texts that all of them have there.
 
 
 def _name(text: str) -> int:
@@ -218,9 +218,14 @@ def page_tree(found: list[Block]) -> dict:
         node, name = open_nodes[-1], _name(text)
         node["t"] += len(text)
         node["i"].append(i)
-        node["k"], node["b"] = [[page], sorted({name, *node.get("k", [[], []])[1]})], _least([*node.get("b", []), [name, 1]], max)
+        node["d"], node["b"] = [page], _least([*node.get("b", []), [name, 1]], max)
         last = own
     _fold(root)
+    texts: dict[str, set[int]] = {}
+    for path, text, _ in found:
+        if clean(path):
+            texts.setdefault(path, set()).add(_name(text))
+    root["k"] = {p: [[page], sorted(x)] for p, x in texts.items()}
     return root
 
 
@@ -322,12 +327,20 @@ def merge(a: dict, b: dict, same_page: bool = False) -> dict:
     out = {"s": a["s"], "m": _times(a["m"], b["m"]), "g": a["g"] or b["g"], "p": 1 if same_page else a["p"] + b["p"], "t": a["t"] + b["t"], "c": kids}
     if same_page:
         out["i"] = a["i"] + b["i"]
-    if "k" in a and "k" in b:
-        (pages, u), (more, v) = a["k"], b["k"]
-        out["k"] = [pages, sorted({*u, *v})] if same_page else [sorted({*pages, *more})[:LEAST_PAGES], u if u == v else sorted({*u} & {*v})]
-        out["b"] = _least(a["b"] + b["b"], max if same_page else add)
-    elif "k" in a or "k" in b:
-        out["k"], out["b"] = (a if "k" in a else b)["k"], (a if "k" in a else b)["b"]
+    if "d" in a or "d" in b:
+        out["d"] = sorted({*a.get("d", ()), *b.get("d", ())})[:LEAST_PAGES]
+        out["b"] = _least(a.get("b", []) + b.get("b", []), max if same_page else add)
+    if "k" in a:
+        out["k"] = _shared(a["k"], b["k"])
+    return out
+
+
+def _shared(a: dict, b: dict) -> dict:
+    """The texts that all pages of two wrappers have at a path."""
+    out = a | b
+    for p in a.keys() & b.keys():
+        (pages, x), (more, y) = a[p], b[p]
+        out[p] = [sorted({*pages, *more})[:LEAST_PAGES], x if x == y else sorted({*x} & {*y})]
     return out
 
 
@@ -371,7 +384,7 @@ def clean(path: str) -> bool:
 
 def is_template(n: dict) -> bool:
     """Whether most of the slot's texts come again on other pages."""
-    return len(n["k"][0]) >= LEAST_PAGES and sum(c > 1 for _, c in n["b"]) >= AGAIN_SHARE * len(n["b"])
+    return len(n["d"]) >= LEAST_PAGES and sum(c > 1 for _, c in n["b"]) >= AGAIN_SHARE * len(n["b"])
 
 
 def _tag(n: dict) -> str:
@@ -382,8 +395,8 @@ def roles(wrapper: dict) -> list | None:
     """The wrapper with each node's role, as a page is matched with it: [signature, kinds of content, role, template texts, children]; None if it has no main part.
 
     Roles: 0 outside the main part, 1 inside, 2 inside but template or boilerplate."""
-    main: list[dict] = []  # the path from the root to the main part
-    mass: dict[int, int] = {}  # of each node: characters of its data slots with paragraphs
+    mass: dict[int, int] = {}  # of each node: characters of its data slots with paragraphs, of all its data slots, and how many have headings
+    other: dict[int, int] = {}
     heads: dict[int, int] = {}
 
     def weigh(n: dict, path: tuple[str, ...]) -> None:
@@ -397,36 +410,41 @@ def roles(wrapper: dict) -> list | None:
             for d in (mass, heads, other):
                 d[id(n)] += d[id(k)]
 
-    other: dict[int, int] = {}
     weigh(wrapper, ())
     if 2 * mass[id(wrapper)] < other[id(wrapper)]:  # not written in paragraphs
         mass = other
     total = mass[id(wrapper)]
     if not total:
         return None
-    node = wrapper
-    main.append(node)
-    while kid := next((k for k in node["c"] if mass[id(k)] >= MAIN_SHARE * total), None):
-        node = kid
-        main.append(node)
-    while len(main) > 1 and node["t"] and not node["c"]:  # a block is not a part
-        main.pop()
-        node = main[-1]
-    held = next((k for k, n in enumerate(main) if _main(n["s"])), None)
-    if held is not None:
-        main = main[: held + 1]
-    else:
-        while len(main) > 1 and (heads[id(main[-2])] > heads[id(main[-1])] or mass[id(main[-2])] - mass[id(main[-1])] >= BESIDE * total):
-            main.pop()
-    top = main[-1]
+
+    def articles(n: dict) -> list[dict]:
+        return [n] if _main(n["s"]) else [x for k in n["c"] for x in articles(k)]
+
+    def parts(n: dict) -> list[dict]:
+        """The smallest nodes that hold n's text: one, or one of each template where these are never on the same page."""
+        kids = [k for k in n["c"] if mass[id(k)]]
+        if not kids or mass[id(n)] > sum(mass[id(k)] for k in kids):
+            return [n]
+        block = lambda k: k["t"] and not k["c"]
+        if sum(k["p"] for k in kids) <= n["p"]:
+            found = [] if any(map(block, kids)) else [x for k in kids for x in parts(k)]
+            return found or [n]
+        most = max(kids, key=lambda k: mass[id(k)])
+        alone = heads[id(n)] == heads[id(most)] and mass[id(n)] - mass[id(most)] < BESIDE * mass[id(n)]
+        return parts(most) if alone and not block(most) else [n]
+
+    marked = articles(wrapper)
+    main = marked if sum(mass[id(n)] for n in marked) >= ARTICLES * total else parts(wrapper)
+    tops = {id(n) for n in main}
 
     def give(n: dict, path: tuple[str, ...], inside: bool) -> list:
         path = (*path, n["s"]) if n["s"] else path
-        inside = inside or n is top
+        inside = inside or id(n) in tops
         role = int(inside)
         if inside and (not clean("/".join(path)) or n["t"] and is_template(n) and 5 * n["t"] < total):
             role = 2
-        same = n["k"][1] if "k" in n and len(n["k"][0]) >= LEAST_PAGES else []
+        pages, same = wrapper["k"].get("/".join(path), ([], []))
+        same = same if n["t"] and len(pages) >= LEAST_PAGES else []
         return [n["s"], sorted(_shape(n)), role, same, [give(k, path, inside) for k in n["c"]]]
 
     return give(wrapper, (), False)
@@ -517,7 +535,7 @@ def _bare(n: dict) -> dict:
 
 def _count(n: dict) -> int:
     """Nodes and the texts they name."""
-    return 1 + len(n["k"][1] if "k" in n else ()) + sum(map(_count, n["c"]))
+    return 1 + sum(len(x) for _, x in n.get("k", {}).values()) + sum(map(_count, n["c"]))
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
