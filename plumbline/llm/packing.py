@@ -3,13 +3,14 @@
 A document's ids fill whole windows first; the rest, shorter than a window, is one item. A level
 array counts the open windows of each fill. An item goes to the level (an empty window is level 0)
 for which the sum of the squared counts grows least: moving a window from level h to h + s changes
-it by 2 * (count[h + s] - count[h] + 1), and a window that gets full leaves the array. At a task's end, and
-whenever too many windows are open, the items of the open windows are laid end to end and cut anew
-into full windows; what is left is cut at powers of two, at which nothing needs padding.
+it by 2 * (count[h + s] - count[h] + 1), and a window that gets full leaves the array. What the rule has placed
+stays where it is, but for the emptiest windows: at a task's end (and one by one while more windows are open than memory is meant for) their items top up the
+fullest ones, one of them cut for each. What is left is less than a window and is cut at powers of two, at which nothing needs padding.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, slices
+from .common import hold, slices, trimmed
 from .token_counts import _tokenizer
 
 WINDOW, OPEN_LIMIT, CACHED, PIECES = 2048, 4096, 500_000, 350_000
@@ -45,26 +46,30 @@ class WordIds:
 
     #: The tokenizer's own split pattern is read from its file.
     def __init__(self, content: str):
-        import json
-
         self.tok = _tokenizer(content)
         spec = json.loads(content)
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = [a["content"] for a in spec["added_tokens"]]
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         at = piece.encode().decode("latin-1").translate(self.letters)
-        ids = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(at)])
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(at)])
+        if len(piece) <= 256:
+            self.pieces[piece] = ids
         return ids
 
     def learn(self, wanted: set[str]) -> dict[str, bytes]:
         """The cache after it has got all wanted words; what it held beyond CACHED goes first."""
         words, pieces, split, piece = self.words, self.pieces, self.pattern.findall, self._piece
+        for w in self.long:
+            words.pop(w, None)
+        self.long = [w for w in wanted if len(w) > 256]  # held for these texts only: the cache is bounded in bytes, too
         if len(words) + len(wanted) > CACHED:
             words = self.words = {k: words[k] for k in wanted if k in words}
         for w in wanted:
@@ -100,7 +105,7 @@ class Packer:
         self.window, self.limit, self.next = window, open_limit, first_sequence
         self.count = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window)]
-        self.n_open = 0
+        self.n_open = self.moved = self.cut = 0  # open windows; items that left their window for another, and those of them that were cut
 
     def _sequence(self) -> int:
         self.next += 1
@@ -138,8 +143,8 @@ class Packer:
         self.open[h + size].append(items)
         self.count[h + size] += 1
         self.n_open += 1
-        if self.n_open > self.limit:
-            yield from self.close()
+        while self.n_open > self.limit:
+            yield from self._top_up()
 
     def _whole(self, items: Iterable[tuple]) -> Iterator[tuple]:
         seq, at = self._sequence(), 0
@@ -147,26 +152,71 @@ class Packer:
             yield key, start, len(ids) // 4, zlib.crc32(ids), total, seq, at
             at += len(ids) // 4
 
+    def _fullest(self) -> list:
+        level = int(np.flatnonzero(self.count)[-1])
+        self.count[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _top_up(self) -> Iterator[tuple]:
+        """Takes the fullest window and fills it with items of the emptiest one, until that is used up or the window is full."""
+        window = self._fullest()
+        gap = self.window - sum(len(i[3]) // 4 for i in window)
+        level = int(np.flatnonzero(self.count)[0])
+        rest, left = self.open[level].pop(), level
+        self.count[level] -= 1
+        self.n_open -= 1
+        while gap and rest:
+            key, start, total, ids = rest.pop()
+            n = min(gap, len(ids) // 4)
+            window.append((key, start, total, ids[: 4 * n]))
+            if 4 * n < len(ids):
+                rest.append((key, start + n, total, ids[4 * n :]))
+                self.cut += 1
+            self.moved += 1
+            gap, left = gap - n, left - n
+        if gap:
+            rest, left = window, self.window - gap
+        else:
+            yield from self._whole(window)
+        if rest:
+            self.open[left].append(rest)
+            self.count[left] += 1
+            self.n_open += 1
+
     def close(self) -> Iterator[tuple]:
-        items = [i for level in self.open for window in level for i in window]
-        left = sum(len(i[3]) // 4 for i in items)
-        self.open = [[] for _ in range(self.window)]
-        self.count[:] = 0
-        self.n_open = 0
-        room, at, seq = 0, 0, 0
-        for key, start, total, ids in items:
-            while ids:
-                if not room:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                    seq, at = self._sequence(), 0
-                n = min(room, len(ids) // 4)
-                yield key, start, n, zlib.crc32(ids[: 4 * n]), total, seq, at
-                start, ids, room, at, left = start + n, ids[4 * n :], room - n, at + n, left - n
+        while self.n_open > 1:
+            yield from self._top_up()
+        if self.n_open:
+            items = self._fullest()
+            left, room, piece = sum(len(i[3]) // 4 for i in items), 0, []
+            for key, start, total, ids in items:
+                while ids:
+                    if not room:
+                        room = 1 << (left.bit_length() - 1)
+                    n = min(room, len(ids) // 4)
+                    piece.append((key, start, total, ids[: 4 * n]))
+                    start, ids, room, left = start + n, ids[4 * n :], room - n, left - n
+                    if not room:
+                        yield from self._whole(piece)
+                        piece = []
 
 
 _OUT = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+def _check(tokenizer_json: str) -> None:
+    """Refuses tokenizers of which WordIds would not give the library's ids."""
+    spec = json.loads(tokenizer_json)
+    normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    shape = [(x["type"], x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in split]
+    if normal != ["NFC", "Replace", "Lowercase"] or shape != [("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)]:
+        raise ValueError("a tokenizer is needed that lowers letters, splits words by a pattern and encodes their bytes")
+    if any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or a["content"] != a["content"].strip() or len(a["content"].split()) > 1 for a in spec["added_tokens"]):
+        raise ValueError("added tokens that take in their surroundings or hold white space aren't supported")
+
+
 def pack(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "text", end_id: int = 1, window: int = WINDOW, open_limit: int = OPEN_LIMIT) -> DataFrame:
     """Pack every document (its ids, then end_id) into sequences of at most window ids.
 
@@ -177,6 +227,7 @@ def pack(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "t
     number), so nothing is shuffled and a repeated task gives the same rows. Memory: one slice of texts and
     at most open_limit windows of ids; long documents are encoded part by part.
     """
+    _check(tokenizer_json)
     shipped = df.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
@@ -201,5 +252,5 @@ def pack(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "t
                 yield rows(found)
         yield rows(list(packer.close()))
 
-    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "key bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(trimmed(run), "key bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("key", key)

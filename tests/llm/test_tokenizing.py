@@ -116,6 +116,28 @@ def test_sum_of_squares_choice():
         list(p.add(0, b"\0\0\0\0" * size))
 
 
+def test_packing_leaves_most_items_where_the_rule_puts_them():
+    """Of 8,000 documents in a task and of 32 tasks with 250 each."""
+    rng = np.random.default_rng(5)
+    sizes = np.minimum(30_000, (np.exp(rng.normal(5.6, 1.0, 8000)) + 1).astype(int))
+    for tasks, most in ((1, 0.05), (32, 0.25)):
+        moved = cut = tokens = 0
+        for part in np.array_split(sizes, tasks):
+            p = packing.Packer(0)
+            out = [r for k, n in enumerate(part) for r in p.add(k, b"\0\0\0\0" * int(n))] + list(p.close())
+            assert sum(r[2] for r in out) == part.sum()
+            filled = np.bincount([r[5] for r in out], [r[2] for r in out])
+            assert (filled == 2048).sum() == part.sum() // 2048 and all(n.bit_count() == 1 for n in filled.astype(int).tolist())
+            moved, cut, tokens = moved + p.moved, cut + p.cut, tokens + int(part.sum())
+        print(tasks, moved / len(sizes), cut / len(sizes))
+        assert moved <= most * len(sizes) and cut <= moved
+
+
+def test_packing_refuses_other_tokenizers(docs):
+    with pytest.raises(ValueError):
+        packing.pack(docs, BYTE_JSON)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert bpe.encode_documents(none, RANKS, public_tokenizers.PATTERN).count() == 0
