@@ -1,13 +1,15 @@
 """Toxicity by a logistic classifier that is regularised with counterfactuals.
 
 Features are words and beginnings of words, by the number of times a text holds them up to seven. For labelled sentences that name a group,
-the group's term is swapped for others, and the squared change of the sentence's logit is part of the loss; so neutral mentions of
-groups gain no weight of their own.
+the group's term is swapped for others; where a document names none, a term is put into a copy of one of its sentences, and
+swapped there. The squared change of the sentence's logit is part of the loss; so neutral mentions of groups, and the beginnings that their names
+share with other words, gain no weight of their own. The terms are features whether the labelled documents hold them or not.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, map_texts, written
+from .common import discard, hold, map_texts, written
 from .quality import held_out, keep_where, labelled_sample
 
 #: Documents of each label in the fit at most; features in the model; documents a feature must be in; ridge; weight of the counterfactual term; the least score that counts as toxic.
@@ -35,6 +37,8 @@ IDENTITY = (
 )
 _GROUP = {w: line for line in IDENTITY for w in line}
 _WORD = re.compile(r"[^\W_]+")
+#: Counterfactual pairs of a labelled document at most.
+PAIRS = 4
 #: Lengths of the beginnings of longer words that are features, and feature values by count.
 BEGINNINGS, VALUE, MOST = range(3, 8), np.log2(1 + np.arange(8)), 7
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -58,6 +62,23 @@ def swaps(sentence: list[str]) -> list[list[str]]:
     return [[turn(w, k) for w in sentence] for k in range(1, most)]
 
 
+def counterfactuals(text: str) -> list[tuple[list[str], list[str]]]:
+    """Pairs of sentences, as words, that differ in group terms only: PAIRS at most, of the text's sentences that name a group; else of one
+    sentence with a term put in, where all choices go by a hash of the text."""
+    sentences = [w for w in map(words, _SENTENCE.findall(text)) if w]
+    naming = [s for s in sentences if not _GROUP.keys().isdisjoint(s)]
+    h = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    if naming:
+        start = h % len(naming)
+        return [(s, x) for s in (naming[start:] + naming[:start])[:PAIRS] for x in swaps(s)][:PAIRS]
+    if not sentences:
+        return []
+    s, line = sentences[h % len(sentences)], IDENTITY[h // 7 % len(IDENTITY)]
+    a, b = (line[(h // 77 + k) % len(line)] for k in (0, 1))
+    at = h // 777 % (len(s) + 1)
+    return [(s, [*s[:at], a, *s[at:]]), ([*s[:at], a, *s[at:]], [*s[:at], b, *s[at:]])]
+
+
 class Toxicity:
     """Weights by feature. Words are looked up in a cache of the positions they count for."""
 
@@ -99,10 +120,15 @@ def train_rows(held: list[dict[int, int]], label: np.ndarray, size: int, pairs:
     x = np.zeros((n, size), np.float32)
     for i, at in enumerate(held):
         x[i, list(at)] = VALUE[list(at.values())]
-    diff = np.zeros((len(pairs), size), np.float32)
-    for i, (a, b) in enumerate(pairs):
-        diff[i, list(a)] += VALUE[list(a.values())]
-        diff[i, list(b)] -= VALUE[list(b.values())]
+    gram = np.zeros((size, size))  # the mean of the outer products of the pairs' differences
+    for start in range(0, len(pairs), 1024):
+        part = pairs[start : start + 1024]
+        diff = np.zeros((len(part), size), np.float32)
+        for i, (a, b) in enumerate(part):
+            diff[i, list(a)] += VALUE[list(a.values())]
+            diff[i, list(b)] -= VALUE[list(b.values())]
+        gram += diff.T @ diff
+    gram = (penalty / max(1, len(pairs)) * gram).astype(np.float32)
     toxic, clean = label == 1, label == 0
     if not toxic.any() or not clean.any():
         return np.zeros(size), 20.0 if toxic.any() else -20.0
@@ -116,7 +142,7 @@ def train_rows(held: list[dict[int, int]], label: np.ndarray, size: int, pairs:
         t = weight * (x @ u[:-1].astype(np.float32) + np.float32(u[-1])) / 4
         g = np.append(t @ x + RIDGE * share_toxic * u[:-1], t.sum())
         if len(pairs):
-            g[:-1] += penalty * (diff @ u[:-1].astype(np.float32)) @ diff / len(pairs)
+            g[:-1] += gram @ u[:-1].astype(np.float32)
         top, u = float(np.linalg.norm(g)), g
     rate = 1 / (1.1 * max(top, 1e-6))
     for t in range(rounds):
@@ -126,19 +152,20 @@ def train_rows(held: list[dict[int, int]], label: np.ndarray, size: int, pairs:
         err = weight * (p - label)
         gw, gb = err @ x + RIDGE * share_toxic * lw, float(err.sum())
         if len(pairs):
-            gw = gw + penalty * (diff @ lw.astype(np.float32)) @ diff / len(pairs)
+            gw = gw + gram @ lw.astype(np.float32)
         nw, nb = lw - rate * gw, lb - rate * gb
         vw, vb, w, b = nw - w, nb - b, nw, nb
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, per_label: int = PER_LABEL, key: str = "doc_id", text: str = "text") -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, usable, per_label: int = PER_LABEL, key: str = "doc_id", text: str = "text", penalty: float = PENALTY) -> Toxicity:
     """Fit on at most per_label labelled documents of each label with a usable key; only their words are used.
 
     The sample is written once (2 * per_label texts); its words' document counts are made by Spark, and the driver gets the WORDS
     that tell most and their positions in each document."""
     rows, counts = labelled_sample(docs, labels, "toxic", usable, per_label, key, text)
-    sample = written(rows.dropDuplicates(["text"]).select("label", "text"), "toxicity-sample")
+    # equal texts are one, toxic if any of their labels says so
+    sample = written(rows.groupBy("text").agg(F.max("label").alias("label")).select("label", "text"), "toxicity-sample")
 
     def distinct():
         return lambda texts: [[sorted({p for w in set(words(t)) for p in parts(w)}) for t in texts]]
@@ -150,8 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, per_label: int = PER_LABEL
     a, b, na, nb = F.col("a") + 0.5, F.col("b") + 0.5, n.get(1, 0) + 1.0, n.get(0, 0) + 1.0
     z = (F.log(a / (na - a + 0.5)) - F.log(b / (nb - b + 0.5))) / F.sqrt(1 / a + 1 / b)
     telling = by_word.orderBy(F.abs(z).desc(), "word").limit(WORDS)
-    groups = by_word.where(F.col("word").isin(list(_GROUP)))
-    vocabulary = sorted({r.word for r in telling.union(groups).select("word").collect()})
+    vocabulary = sorted({r.word for r in telling.select("word").collect()} | _GROUP.keys())
     lookup = Toxicity(vocabulary, np.zeros(0), 0.0)
 
     def placed():
@@ -160,12 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, usable, per_label: int = PER_LABEL
         def run(texts):
             held, pairs = [], []
             for t in texts:
-                tokens, found = words(t), []
-                held.append(place(tokens))
-                if not _GROUP.keys().isdisjoint(tokens):
-                    for s in map(words, _SENTENCE.findall(t)):
-                        found += [{"a": place(s), "b": place(x)} for x in swaps(s)]
-                pairs.append(found)
+                held.append(place(words(t)))
+                pairs.append([{"a": place(s), "b": place(x)} for s, x in counterfactuals(t)])
             return [held, pairs]
 
         return run
@@ -176,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, usable, per_label: int = PER_LABEL
     rows = sorted(((r.key, sorted(r.held.items()), [(p.a, p.b) for p in r.pairs]) for r in got.collect()), key=lambda r: r[:2])
     total = sum(counts.values())
     share = min(0.99, max(0.01, counts.get(1, 0) / total)) if total else 0.01
-    w, bias = train_rows([dict(h) for _, h, _ in rows], np.array([y for y, _, _ in rows], int), len(vocabulary), [q for *_, p in rows for q in p], share)
+    w, bias = train_rows([dict(h) for _, h, _ in rows], np.array([y for y, _, _ in rows], int), len(vocabulary), [q for *_, p in rows for q in p], share, penalty)
+    discard(sample)
     keep = np.abs(w) > 1e-4
     return Toxicity([v for v, k in zip(vocabulary, keep, strict=True) if k], w[keep], bias)
 

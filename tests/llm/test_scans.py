@@ -175,6 +175,39 @@ def test_counterfactuals_take_weight_off_groups():
     assert with_pairs[1] > without[1]
 
 
+def test_counterfactuals_of_a_text():
+    assert toxicity.counterfactuals("") == [] and toxicity.counterfactuals("!?") == []
+    named = toxicity.counterfactuals("No group. The Jews sing. A gay man reads. " * 50)
+    assert len(named) == toxicity.PAIRS and all(len(a) == len(b) and a != b for a, b in named)
+    (s, one), (again, other) = toxicity.counterfactuals("Plain words here. More of them there.")
+    assert one == again and len(one) == len(s) + 1 and sum(x != y for x, y in zip(one, other, strict=True)) == 1
+
+
+def test_the_penalty_lessens_score_changes(spark):
+    """Group terms share beginnings with words that tell; held-out sentences change less with the penalty than without."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [(i, " ".join([word() for _ in range(12)] + (["blackish", "muslin"] if i % 2 else ["bread", "muffin"])) + ".", i % 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    change = []
+    for penalty in (0.0, 1.0):
+        model = toxicity.train(docs, docs, lambda k: k < 150, penalty=penalty)
+        change.append(sum(abs(model.logit(a) - model.logit(b)) for i, t, _ in rows if i >= 150 for a, b in toxicity.counterfactuals(t)))
+        assert sum((model.score([t])[0] >= 0.3) == y for i, t, y in rows if i >= 150) >= 48
+    assert change[1] < 0.2 * change[0]
+
+
+def test_conflicting_labels_and_empty_tables(spark):
+    docs = spark.createDataFrame([(i, f"same words {i % 3}") for i in range(60)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 5 = 0) as toxic", "int(doc_id % 2) as quality")
+    one, two = (sorted((r.doc_id, r.score) for r in toxicity.classify(docs.repartition(n), labels.repartition(n)).collect()) for n in (1, 4))
+    assert one == two
+    none = docs.where("false")
+    for f in (toxicity.classify, quality.classify):
+        assert f(none, labels).count() == f(none, labels.where("false")).count() == 0
+    assert toxicity.filter_documents(none, labels).count() == quality.filter_documents(none, labels).count() == 0
+
+
 def test_templates_of_one_host(spark):
     """A host's pages without an article, and blocks beside the one with most text, keep their text."""
     old = "<html><body><div class=menu>m</div><div class=content><h1>{0}</h1><div class=body><p>{0} one.</p><p>{0} two.</p></div><section class=more><p>{0} three.</p></section></div><div class=small>tiny</div></body></html>"
