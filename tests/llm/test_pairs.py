@@ -134,6 +134,30 @@ def test_no_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_recall_of_planted_links_at_real_key_lengths(spark, monkeypatch):
+    """Keys of eight bits and more over 4,000 vectors with planted links on both sides of the threshold: every link is found, none below it."""
+    assert embedding_dedup.plan(4000, 0.95, bucket=8)[0] >= 8
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 32))
+    for i in range(0, 3000, 3):
+        for k in (1, 2):
+            x[i + k] = x[i] + rng.standard_normal(32) * rng.uniform(0.05, 0.4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    unit = embedding_dedup.scaled(x)
+    near = np.triu(unit @ unit.T >= 0.95, 1)
+    links = [*zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True)]
+    assert len(links) > 1000
+    plan = embedding_dedup.plan
+    monkeypatch.setattr(embedding_dedup, "plan", lambda n, t, r: plan(n, t, r, 8))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    degree, least = (near | near.T).sum(1), reach(range(4000), links)
+    wrong = sum(got[i] != (degree[i], least[i]) for i in range(4000))
+    assert all(got[i][0] <= degree[i] for i in range(4000)) and wrong <= 0.002 * 4000
+    a = embedding_dedup.Codes(unit)
+    i, j = map(np.array, zip(*links, strict=True))
+    assert (a.differing(a)[i, j] <= embedding_dedup.most_differing(32, 0.95)).all() and (a.upper_of(i, a, j) >= 0.95).all()
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((400, 64))
