@@ -8,7 +8,7 @@ a candidate only if its prefixes share needed - max(ceil(t n) - l, ceil(t m) - l
 
 Documents with equal sets are one node, and tokens whose posting lists have the same members are one list with a weight. Only components
 are asked for, so a group of near copies is not expanded into all its pairs: neighbours in the lists are verified first, then stars around the nodes with
-the most links; what links is merged, and only pairs of different components are enumerated with their counts. Of these
+the most links; what links is merged, and only pairs of different components are counted, list by list inside a task, so that no row is made for a token that a pair shares. Of the
 candidates each node's best are verified, then all that are still in different components. So every candidate is either verified or within a component.
 """
 
@@ -29,10 +29,12 @@ from .components import components
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Frequent shingles in the order's broadcast table (12 bytes each; the others are ordered by hash); shingles of a task counted at once; the count from which such a stretch surely reports a shingle; one over the chance by which it reports others; the chance reports from which these count.
 FREQUENT, COUNTED, SURE, RATE, REPORTS = 1 << 19, 1 << 21, 3, 64, 3
-#: Longest prefix extension; cost of verifying a shingle against scanning a posting; postings of a hot token in one sublist; rows of a list held at once.
-MOST_MATCHES, VERIFY, SUBLIST, RUN = 8, 1 / 64, 2000, 1 << 16
+#: Longest prefix extension; costs of a posting and of verifying a shingle against looking at a candidate; candidates that a token not known as frequent brings.
+MOST_MATCHES, POSTING, VERIFY, RARE = 32, 4, 1 / 8, 0.1
+#: Postings of a hot token in one sublist; rows of a list held at once; rows of a list compared at once; lists of a node that travel with it.
+SUBLIST, RUN, BLOCK, LONG = 2000, 1 << 16, 512, 1024
 #: Star rounds; candidates of a node that are verified before the rest, and how often; members a pivot's chunk has; rows broadcast at most.
-STARS, BEST, PASSES, CHUNK, BROADCAST_ROWS = 2, 3, 2, 512, 200_000
+STARS, BEST, PASSES, CHUNK, BROADCAST_ROWS = 2, 4, 1, 512, 200_000
 #: Shingles of sets that a verifying task keeps at hand.
 RECENT = 3_000_000
 
@@ -85,20 +87,21 @@ def least_overlap(n: int) -> int:
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """(tokens, l): the prefix of a set. frequent: sorted hashes; counts: their estimated document counts; other tokens count as one posting."""
+    """(tokens, l): the prefix of a set. frequent: sorted hashes; counts: their estimated document counts."""
     n = len(s)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         hot = frequent[at] == s
         order = np.argsort(counts[at[hot]], kind="stable")
         tokens = np.concatenate([s[~hot], s[hot][order]])
-        weight = np.concatenate([np.ones(n - len(order)), counts[at[hot]][order]])
+        weight = np.concatenate([np.full(n - len(order), RARE), counts[at[hot]][order]])
     else:
-        tokens, weight = s, np.ones(n)
+        tokens, weight = s, np.full(n, RARE)
     first = n - least_overlap(n) + 1
     most = min(MOST_MATCHES, least_overlap(n))
     scanned = np.cumsum(weight)[first - 1 : first - 1 + most]
-    best = int(np.argmin(scanned * (1 + VERIFY * n / np.arange(1, len(scanned) + 1)))) + 1
+    l = np.arange(1, len(scanned) + 1)
+    best = int(np.argmin(POSTING * l + scanned * (1 + VERIFY * n / l))) + 1
     return tokens[: first - 1 + best], best
 
 
@@ -386,6 +389,101 @@ def _shares(c, share: float):
     return c >= share * _least_common("first(n)", "first(matches)", "first(pivot_n)", "1")
 
 
+def _least_common_of(n: np.ndarray, matches: np.ndarray, m: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """_least_common for arrays."""
+    both, beyond = NUMERATOR + DENOMINATOR, lambda k, l: -(-k * NUMERATOR // DENOMINATOR) - l
+    return -(-(n + m) * NUMERATOR // both) - np.maximum(beyond(n, matches), beyond(m, more))
+
+
+def _candidates(lists: DataFrame) -> DataFrame:
+    """(a, b, c): pairs a < b of different components whose prefixes share as many tokens as they need; c: the similarity of the prefixes.
+
+    lists: rows (list, node, n, matches, weight, component). Every row goes to its list with all lists of its node, so that a task counts what the pairs of a list
+    share without a row for each, and gives a pair out once: in the first list that both are in, and only if it is a candidate. Lists of over
+    BLOCK rows are compared block by block. Nodes in over LONG lists come without these; their pairs are given out by list, and counted after.
+    """
+    name = F.shiftright("list", 32).cast("int")  # lists whose names share this half are compared as one
+    each = lists.withColumn("list", name)
+    sets = each.groupBy("node").agg(*(F.first(f).alias(f) for f in ("n", "matches", "component")), F.collect_list(F.struct("list", "weight")).alias("of"))
+    blocks = written(each.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "list-blocks")
+    rows = sets.select("node", "n", "matches", "component", F.when(F.size("of") <= LONG, F.col("of")).alias("of"), F.explode("of").alias("l")).select("*", F.col("l.list").alias("list"), F.col("l.weight").alias("weight")).drop("l")
+    rows = rows.join(_few(blocks), "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("list", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "n", "matches", "component", "weight", "of")
+    names = ("a", "b", "c", "n_x", "matches_x", "n_y", "matches_y")
+    out = pa.schema([pa.field(f, pa.int64()) for f in names])
+
+    def pairs(c: dict, of: list, at: int, low: int, high: int) -> list[np.ndarray]:
+        """The pairs of one cell; its columns, its nodes' lists as (names, weights) or None."""
+        m = len(of)
+        side = c["part"] == low
+        i, j = np.nonzero(np.tri(m, k=-1, dtype=bool).T if low == high else side[:, None] & ~side[None])
+        n, matches = c["n"], c["matches"]
+        fit = (c["component"][i] != c["component"][j]) & (np.minimum(n[i], n[j]) * DENOMINATOR >= np.maximum(n[i], n[j]) * NUMERATOR)
+        i, j = i[fit], j[fit]
+        if not len(i):
+            return []
+        whole = np.array([x is not None for x in of])
+        names_ = np.concatenate([x[0] for x in of if x is not None] or [np.zeros(0, np.int32)])
+        used, place, seen = np.unique(names_, return_inverse=True, return_counts=True)
+        row = np.repeat(np.flatnonzero(whole), [len(x[0]) for x in of if x is not None])
+        met = seen[place] > 1  # what only one of the nodes is in, no pair shares
+        fresh = np.cumsum(seen > 1) - 1
+        weight = np.zeros((m, int((seen > 1).sum())), np.float32)
+        if met.any():
+            np.add.at(weight, (row[met], fresh[place[met]]), np.concatenate([x[1] for x in of if x is not None])[met])
+        before, held = used[seen > 1] < at, weight > 0
+        both = whole[i] & whole[j]
+        count = np.where(both, np.minimum(c["weight"][i], c["weight"][j]), 0)
+        good = ~both
+        x, y = i[both], j[both]
+        for s in range(0, len(x), 4096):
+            p, q = x[s : s + 4096], y[s : s + 4096]
+            common = held[p] & held[q]
+            k = (weight[p] * common).sum(1).astype(np.int64)
+            ok = ~common[:, before].any(1) & (k >= _least_common_of(n[p], matches[p], n[q], matches[q]))
+            where = np.flatnonzero(both)[s : s + 4096]
+            good[where], count[where] = ok, k
+        count[~both] = np.maximum(c["weight"][i], c["weight"][j])[~both]
+        i, j, count = i[good], j[good], count[good]
+        first = c["node"][i] < c["node"][j]
+        a, b = np.where(first, i, j), np.where(first, j, i)
+        return [c["node"][a], c["node"][b], count, n[a], matches[a], n[b], matches[b]]
+
+    def run(batches):
+        hold("jaccard_join", _hashes.clear)
+        cell, held = None, []  # rows of the cell that is not complete yet
+
+        def done():
+            c = {f: np.array([h[k] for h in held], np.int64) for k, f in enumerate(("part", "node", "n", "matches", "component", "weight"))}
+            return pairs(c, [h[6] for h in held], *cell) if len(held) > 1 else []
+
+        for batch in batches:
+            found: list[list[np.ndarray]] = []
+            col = {f: batch.column(f).to_numpy(zero_copy_only=False).tolist() for f in ("list", "low", "high", "part", "node", "n", "matches", "component", "weight")}
+            of = batch.column("of")
+            valid, ends = of.is_valid().to_pylist(), of.offsets.to_numpy()
+            flat_names, flat_weights = (of.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for k in range(batch.num_rows):
+                own = col["list"][k], col["low"][k], col["high"][k]
+                if own != cell:
+                    if got := done():
+                        found.append(got)
+                    cell = own
+                    held.clear()
+                s = slice(ends[k], ends[k + 1])
+                held.append((*(col[f][k] for f in ("part", "node", "n", "matches", "component", "weight")), (flat_names[s], flat_weights[s]) if valid[k] else None))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], schema=out)
+        if got := done():
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in got], schema=out)
+
+    near = rows.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
+    counted = near.mapInArrow(trimmed(run), ", ".join(f"{f} bigint" for f in names)).groupBy("a", "b").agg(F.sum("c").alias("c"), *(F.first(f).alias(f) for f in names[3:]))
+    alike = F.expr("c / (" + " + ".join(f"n_{s} - ({NUMERATOR} * n_{s} + {DENOMINATOR - 1}) div {DENOMINATOR} + matches_{s}" for s in "xy") + " - c)")
+    return counted.where(F.col("c") >= _least_common("n_x", "matches_x", "n_y", "matches_y")).select("a", "b", alike.alias("c"))
+
+
 def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, node, n, component_id, stays) for every row; stays: the row's key and node are those that stand for its component."""
     facts = written(_facts(docs, key, text), "shingle-facts")
@@ -414,13 +512,7 @@ def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
     own = _labelled(lists, found.label)
     open_lists = written(own.groupBy("list").agg(more_than_one.alias("open")).where("open").select("list"), "open-names")
     now = written(own.join(_few(open_lists), "list", "left_semi"), "open-lists")
-    left, right = now.alias("x"), now.alias("y")
-    meet = left.join(right, F.col("x.list") == F.col("y.list")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _fits("x.n", "y.n"))
-    counted = meet.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
-        F.sum(F.greatest("x.weight", "y.weight")).alias("c"), *(F.first(f"{s}.{f}").alias(f"{f}_{s}") for s in "xy" for f in ("n", "matches"))
-    )
-    alike = F.expr("c / (" + " + ".join(f"n_{s} - ({NUMERATOR} * n_{s} + {DENOMINATOR - 1}) div {DENOMINATOR} + matches_{s}" for s in "xy") + " - c)")  # of the prefixes
-    rest = written(counted.where(F.col("c") >= _least_common("n_x", "matches_x", "n_y", "matches_y")).select("a", "b", alike.alias("c")), "candidates")
+    rest = written(_candidates(now), "candidates")
     discard(lists_, open_lists, now)
     for turn in range(PASSES + 1):
         found.verify(_best(rest, BEST) if turn < PASSES else rest.select("a", "b"))
