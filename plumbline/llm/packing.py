@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import hold, slices, trimmed
 from .token_counts import _tokenizer
 
-WINDOW, OPEN_LIMIT, CACHED, PIECES = 2048, 4096, 500_000, 350_000
+WINDOW, OPEN_LIMIT, CACHED, PIECES = 2048, 4096, 450_000, 50_000
 
 _made: dict = {}
 
@@ -56,17 +56,19 @@ class WordIds:
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
+        if (ids := self.pieces.get(piece)) is not None:
+            return ids
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         at = piece.encode().decode("latin-1").translate(self.letters)
         ids = b"".join([t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(at)])
-        if len(piece) <= 256:
+        if len(piece) <= 256 and not piece.isalpha():  # letters are kept as words
             self.pieces[piece] = ids
         return ids
 
     def learn(self, wanted: set[str]) -> dict[str, bytes]:
         """The cache after it has got all wanted words; what it held beyond CACHED goes first."""
-        words, pieces, split, piece = self.words, self.pieces, self.pattern.findall, self._piece
+        words, split, piece = self.words, self.pattern.findall, self._piece
         for w in self.long:
             words.pop(w, None)
         self.long = [w for w in wanted if len(w) > 256]  # held for these texts only: the cache is bounded in bytes, too
@@ -78,10 +80,10 @@ class WordIds:
             if w.isascii() or max(w) < "Ā":
                 low = w.lower()
                 if low.isalpha():  # one piece; letters of the apostrophe endings come after an apostrophe only
-                    words[w] = pieces.get(low) or piece(low)
+                    words[w] = (words.get(low) if low != w else None) or piece(low)
                     continue
                 if not any(map(w.__contains__, self.special)):
-                    words[w] = b"".join([pieces.get(p) or piece(p) for p in split(low)])
+                    words[w] = b"".join([(words.get(p) if p.isalpha() else None) or piece(p) for p in split(low)])
                     continue
             words[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         return words

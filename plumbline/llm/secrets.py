@@ -206,8 +206,8 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.pattern), spans).otherwise(none)
 
 
-def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...] = ADDED, key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Secrets of every whole text: the columns of docs and found: array of (start, kind, end), by start, then kind.
+def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...] = ADDED, key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS, found: str = "found") -> DataFrame:
+    """Secrets of every whole text: the columns of docs and found: array of (start, kind, end), by start, then kind. A column of docs named like found gives way to it.
 
     kind counts base, then added rules; offsets are code points, end exclusive. A null or empty text has none.
     Rows of one key, repeated or not, share a candidate entry and are each verified on their own text; a null key is a
@@ -225,7 +225,7 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...]
     bits = F.coalesce(F.col("candidate_rules_"), F.lit(0))
     none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
     each = [_spans(whole, r, i) if q is None else F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, _spans(whole, r, i)).otherwise(none) for i, (r, q) in enumerate(zip(rules, queries, strict=True))]
-    return joined.select(*(docs[c] for c in docs.columns), F.array_sort(F.concat(*each)).alias("found"))
+    return joined.select(*(docs[c] for c in docs.columns if c.lower() != found.lower()), F.array_sort(F.concat(*each)).alias(found))
 
 
 def as_text(found: Column, kinds: list[str]) -> Column:
@@ -236,7 +236,8 @@ def as_text(found: Column, kinds: list[str]) -> Column:
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
     """docs with every found span in text replaced by mark; overlapping spans count as one. Null stays null."""
-    scanned = scan(docs, rules, (), key, text)
+    spans = "_spans_"
+    scanned = scan(docs, rules, (), key, text, found=spans)
     whole = F.col(text)
 
     def step(state, x):
@@ -248,8 +249,8 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
         return F.struct(F.when(fresh, x["end"]).otherwise(state["at"]).alias("at"), F.when(fresh, F.concat(state["out"], add)).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    clean = F.aggregate(F.col("found"), start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(whole, (s["at"] + 1).cast("int"), F.length(whole))))
-    return scanned.select(*(F.when(F.size("found") > 0, clean).otherwise(whole).alias(c) if c == text else F.col(c) for c in docs.columns))
+    clean = F.aggregate(F.col(spans), start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(whole, (s["at"] + 1).cast("int"), F.length(whole))))
+    return scanned.select(*(F.when(F.size(spans) > 0, clean).otherwise(whole).alias(c) if c == text else F.col(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
