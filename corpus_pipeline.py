@@ -16,29 +16,42 @@ from plumbline.llm import jaccard_join, packing, quality, secrets, toxicity
 from plumbline.llm.common import table, written
 
 
+#: Rows of an Arrow batch in these stages: rows are whole texts, and both sides of a Python worker hold a batch.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on this stage's labelled input, does not reject."""
+    _small_batches(spark)
     return quality.filter_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier, fitted on this stage's labelled input, does not call toxic."""
+    _small_batches(spark)
     return toxicity.filter_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least doc_id, of each group of near copies."""
+    _small_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets replaced by a mark; n_chars is that of the new text."""
+    _small_batches(spark)
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed training sequences."""
+    _small_batches(spark)
     return packing.pack(docs, Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
 
 
@@ -50,7 +63,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Trained models and a tokenizer can't be said in SQL; tests hold the stages against brute force.
+#: Trained models and a tokenizer can't be said in SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
