@@ -546,17 +546,25 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     What goes is found first and written: as many keys as BROADCAST_ROWS are broadcast, beyond that the join is by key. Rows
     that share a key are told apart by their sets; of those with equal sets one stays. Rows with a null key stay.
     """
-    found = written(_linked(docs, key, text).where("key is not null").select(F.col("key").alias("gone_key_"), "node", "stays"), "near-copies")
-    out = _without(docs, found.where("not stays").select("gone_key_").distinct(), key)
-    again = found.groupBy("gone_key_").count().where("count > 1").select("gone_key_")
+    gone, node = (_free(n, docs) for n in ("gone_key_", "near_node_"))
+    found = written(_linked(docs, key, text).where("key is not null").select(F.col("key").alias(gone), F.col("node").alias(node), F.col("stays").alias("stays")), "near-copies")
+    out = _without(docs, found.where("not stays").select(gone).distinct(), key, gone)
+    again = found.groupBy(gone).count().where("count > 1").select(gone)
     if again.isEmpty():
         return out
     name = F.udf(lambda t: node_of(shingles(t or "")), "bigint")
-    repeated = docs.join(again, docs[key] == F.col("gone_key_"), "left_semi").withColumn("node_", name(text))
-    stay = found.where("stays").select("gone_key_", "node").distinct()
-    own = repeated.join(stay, (F.col(key) == F.col("gone_key_")) & (F.col("node_") == F.col("node")), "left_semi").dropDuplicates([key, "node_"])
-    return _without(out, again, key).unionByName(own.drop("node_"))
+    repeated = docs.join(again, docs[key] == again[gone], "left_semi").withColumn(node, name(docs[text]))
+    stay = found.where("stays").select(gone, F.col(node).alias("stays_")).distinct()
+    own = repeated.join(stay, (repeated[key] == stay[gone]) & (repeated[node] == stay["stays_"]), "left_semi").dropDuplicates([key, node])
+    return _without(out, again, key, gone).unionByName(own.drop(node))
 
 
-def _without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return docs.join(_few(keys), docs[key] == keys["gone_key_"], "left_anti")
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, with a mark added where docs has such a column."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
+def _without(docs: DataFrame, keys: DataFrame, key: str, gone: str) -> DataFrame:
+    return docs.join(_few(keys), docs[key] == keys[gone], "left_anti")
