@@ -92,11 +92,12 @@ def compression_ratio(texts: pd.Series) -> pd.Series:
 def coded_distance(a: Column, b: Column) -> Column:
     """Edit distance of two token arrays (substitutions, deletions and insertions together), by the built-in on coded strings.
 
-    Every distinct token of the pair becomes one character, so words are the unit."""
+    Every distinct token of the pair becomes one character (surrogates are left out; a million tokens fit), so words are the unit."""
     known = F.array_distinct(F.concat(a, b))
+    place = lambda n: F.when(n < 0xD800, n).otherwise(n + 0x800)
 
     def code(words: Column) -> Column:
-        return F.array_join(F.transform(words, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0x4E00), 4, "0")), "UTF-16BE")), "")
+        return F.array_join(F.transform(words, lambda t: F.decode(F.unhex(F.lpad(F.hex(place(F.array_position(known, t) + 0x4E00)), 8, "0")), "UTF-32")), "")
 
     return F.levenshtein(code(a), code(b))
 
@@ -130,33 +131,31 @@ def edit_operations(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame
     return pd.DataFrame([one(r, h) for r, h in zip(reference, hypothesis, strict=True)], columns=["substitutions", "deletions", "insertions"])
 
 
+#: How an edit is put, by the sequence matcher's name for it, and what stands where there is none.
+_EDIT, _NO_EDIT = {"replace": "{0} -> {1}", "delete": "deleted: {0}", "insert": "inserted: {1}"}, "(no token-level difference)"
+
+
 @pandas_udf(StructType([StructField(k, StringType()) for k in ("edits", "signals")]))
 def described_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    """What a sequence matcher says was replaced, deleted or inserted, and flags: lost or added negations, fewer or more tokens, Latin letters; substitution_only without any."""
-    import difflib
-    from collections import Counter
-
-    def one(ref, hyp):
-        ref, hyp = list(ref), list(hyp)
-        edits, gone, new = [], Counter(), Counter()
-        for op, a, b, c, d in difflib.SequenceMatcher(None, ref, hyp, autojunk=False).get_opcodes():
-            if op == "equal":
-                continue
-            gone.update(ref[a:b])
-            new.update(hyp[c:d])
-            was, now = " ".join(ref[a:b]), " ".join(hyp[c:d])
-            edits.append(f"{was} -> {now}" if op == "replace" else f"deleted: {was}" if op == "delete" else f"inserted: {now}")
-        flags = []
-        for name, words in (("negation_lost", gone.keys() - new.keys()), ("negation_added", new.keys() - gone.keys())):
-            if hit := sorted(words & set(NEGATIONS)):
-                flags.append(f"{name}:{'/'.join(hit)}")
-        if len(hyp) != len(ref):
-            flags.append("content_deleted" if len(hyp) < len(ref) else "content_inserted")
-        if any(c.isascii() and c.isalpha() for w in hyp for c in w):
-            flags.append("latin_script_leak")
-        return "; ".join(edits), ", ".join(flags) or "substitution_only"
-
-    return pd.DataFrame([one(r, h) for r, h in zip(reference, hypothesis, strict=True)], columns=["edits", "signals"])
+    """What a sequence matcher says was replaced, deleted or inserted, and flags: lost (with the words) or added negations, fewer or more tokens, Latin letters; substitution_only without any."""
+    from difflib import SequenceMatcher
+
+    def one(pair):
+        ref, hyp = map(list, pair)
+        spans = [(kind, ref[a:b], hyp[c:d]) for kind, a, b, c, d in SequenceMatcher(None, ref, hyp, autojunk=False).get_opcodes() if kind in _EDIT]
+        was, now = ({w for span in spans for w in span[k]} for k in (1, 2))
+        lost, gained = ((x - y) & set(NEGATIONS) for x, y in ((was, now), (now, was)))
+        flags = {
+            f"negation_lost({'/'.join(sorted(lost))})": lost,
+            "negation_added": gained,
+            "content_deleted": len(hyp) < len(ref),
+            "content_inserted": len(hyp) > len(ref),
+            "latin_script_leak": any(c.isascii() and c.isalpha() for w in hyp for c in w),
+        }
+        told = "; ".join(_EDIT[kind].format(" ".join(x), " ".join(y)) for kind, x, y in spans)
+        return told or _NO_EDIT, ", ".join(k for k, on in flags.items() if on) or "substitution_only"
+
+    return pd.DataFrame(map(one, zip(reference, hypothesis, strict=True)), columns=["edits", "signals"])
 
 
 def canonicalize(text: Column, characters: dict[str, str], sequences: dict[str, str]) -> Column:

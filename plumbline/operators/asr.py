@@ -21,6 +21,14 @@ def corpus_rates(rows: DataFrame, system: str, speaker: str) -> DataFrame:
     return both.withColumn(speaker, F.coalesce(speaker, F.lit("all")))
 
 
+def corpus_char_rates(rows: DataFrame, system: str, speaker: str) -> DataFrame:
+    """Character error rates by system and speaker, and by system as speaker 'all'."""
+    both = rows.groupingSets([[system, speaker], [system]], system, speaker).agg(
+        F.sum("char_errors").alias("char_errors"), F.sum("n_chars").alias("n_chars"), F.round(F.sum("char_errors") / F.sum("n_chars"), 9).alias("cer")
+    )
+    return both.withColumn(speaker, F.coalesce(speaker, F.lit("all")))
+
+
 def score(rows: DataFrame, keys: list[str]) -> DataFrame:
     rate = lambda c: F.round(F.avg(c.cast("double")), 9)
     return rows.groupBy(*keys).agg(F.round(F.sum("errors") / F.sum("n_ref"), 9).alias("wer"), rate(F.col("n_hyp") == 0).alias("empty_rate"), rate(F.array_join("hyp", " ").rlike("[A-Za-z]")).alias("latin_rate"))

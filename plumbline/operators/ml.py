@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def terms(words):
+    """An array of words, and of neighbours joined by a space."""
+    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(words, pairs)
+
+
 def tfidf(df: DataFrame, key: str, words: str) -> DataFrame:
     """(key, term, weight) of unigrams and bigrams: tf * (ln((1 + n) / (1 + df)) + 1), each document of length one."""
-    w = F.col(words)
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
-    terms = df.select(key, F.explode(F.concat(w, pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    seen = terms.groupBy("term").agg(F.count("*").alias("df"))
+    each = df.select(key, F.explode(terms(F.col(words))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    seen = each.groupBy("term").agg(F.count("*").alias("df"))
     n = df.agg(F.count("*").alias("n"))
-    raw = terms.join(seen, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    raw = each.join(seen, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -31,30 +35,46 @@ def train_only_encoder(df: DataFrame, training: str, numeric: list[str], categor
     return medians.crossJoin(stats)
 
 
-def encode(df: DataFrame, encoder: DataFrame, key: str, numeric: list[str], categorical: list[str], levels: dict[str, list[str]]) -> DataFrame:
-    """(key, features): scaled numerics and dummies of length one; a level unseen in training gives zeros only."""
+def encode(df: DataFrame, encoder: DataFrame, key: str | list[str], numeric: list[str], categorical: list[str], levels: dict[str, list[str]]) -> DataFrame:
+    """(key or keys, features): scaled numerics and dummies of length one; a level unseen in training gives zeros only."""
     both = df.crossJoin(F.broadcast(encoder))
     scaled = [(F.coalesce(c, F.col(f"{c}_median")) - F.col(f"{c}_mean")) / F.when(F.col(f"{c}_sd") > 0, F.col(f"{c}_sd")).otherwise(F.lit(1.0)) for c in numeric]
     dummies = [F.when((F.col(c) == x) & F.array_contains(f"{c}_levels", x), 1.0).otherwise(0.0) for c in categorical for x in levels[c]]
     raw = F.array(*scaled, *dummies)
     norm = F.greatest(F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-9))
-    return both.select(key, F.transform(raw, lambda x: x / norm).alias("features"))
+    return both.select(*([key] if isinstance(key, str) else key), F.transform(raw, lambda x: x / norm).alias("features"))
+
 
+def logistic_folds(df: DataFrame, fold: str, label: str, features, folds: list[int], grid: tuple[float, ...] = (1.0,)) -> DataFrame:
+    """Out-of-fold probabilities of MLlib's logistic regression, its regularisation 1 / (c n): (all columns, c, prob).
 
-def logistic_folds(df: DataFrame, fold: str, label: str, features: str, folds: list[int], c: float = 1.0) -> DataFrame:
-    """Out-of-fold probabilities of MLlib's logistic regression, its regularisation 1 / (c n): (all columns, prob)."""
+    features names a vector column, or makes (all columns, vector_) of rows and the fold to be tested, so that nothing is
+    fitted on rows under test. Of a grid of c, the one with the best macro-F1 on the fold after the tested one is taken, the smallest of equals; its
+    model is fitted on the remaining folds."""
     from functools import reduce
 
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import vector_to_array
 
-    rows = df.withColumn("vector_", array_to_vector(features)).persist()  # every iteration reads it
+    sizes = {r[fold]: r["count"] for r in df.groupBy(fold).count().collect()}
     out = []
-    for k in folds:
-        train = rows.where(F.col(fold) != k)
-        model = LogisticRegression(featuresCol="vector_", labelCol=label, regParam=1.0 / (c * max(1, train.count())), elasticNetParam=0.0, standardization=False, maxIter=60).fit(train)
-        test = model.transform(rows.where(F.col(fold) == k))
-        out.append(test.select(*df.columns, vector_to_array("probability")[1].alias("prob")))
+    for at, k in enumerate(folds):
+        rows = (df.withColumn("vector_", F.col(features)) if isinstance(features, str) else features(df, k)).persist()  # every iteration reads it
+        held = {k, folds[(at + 1) % len(folds)]} if len(grid) > 1 else {k}
+        train = rows.where(~F.col(fold).isin(*held))
+        n = max(1, sum(v for f, v in sizes.items() if f not in held))
+        fit = lambda c: LogisticRegression(featuresCol="vector_", labelCol=label, regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=60).fit(train)  # noqa: B023, E731
+        models = {c: fit(c) for c in sorted(grid)}
+
+        def validated(c):
+            said = models[c].transform(rows.where(F.col(fold) == folds[(at + 1) % len(folds)])).groupBy(label, "prediction").count().collect()  # noqa: B023
+            n = {(int(r[label]), int(r["prediction"])): r["count"] for r in said}
+            return sum(2 * n.get((y, y), 0) / max(1, 2 * n.get((y, y), 0) + n.get((y, 1 - y), 0) + n.get((1 - y, y), 0)) for y in (0, 1))
+
+        best = max(sorted(grid), key=validated) if len(grid) > 1 else grid[0]  # the first of equals is the smallest
+        test = models[best].transform(rows.where(F.col(fold) == k))
+        out.append(test.select(*df.columns, F.lit(best).alias("c"), vector_to_array("probability")[1].alias("prob")))
+        rows.unpersist()
     return reduce(DataFrame.unionByName, out)
 
 
@@ -73,8 +93,12 @@ class Head:
 
     @staticmethod
     def _phi(x):
-        t = np.tanh(0.7978845608 * (x + 0.044715 * x**3))
-        return 0.5 * x * (1 + t), 0.5 * (1 + t) + 0.5 * x * (1 - t * t) * 0.7978845608 * (1 + 0.134145 * x * x)
+        """GELU and its derivative, by the normal distribution (erf within 2e-7, a rational approximation)."""
+        z = np.abs(x) / np.sqrt(2)
+        t = 1 / (1 + 0.3275911 * z)
+        tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-z * z)
+        below = 0.5 * (1 + np.sign(x) * (1 - tail))
+        return x * below, below + x * np.exp(-x * x / 2) / np.sqrt(2 * np.pi)
 
     def _forward(self, x, train=False):
         p = self.p
@@ -134,7 +158,7 @@ def macro_f1(y, p) -> float:
     return sum(out) / 2
 
 
-def train_heads(rows: DataFrame, jobs: list[tuple[int, int]], key: str = "id", hidden: int = 64) -> DataFrame:
+def train_heads(rows: DataFrame, jobs: list[tuple[int, int]], key: str = "id", hidden: int = 256) -> DataFrame:
     """Out-of-fold probabilities of a head for each (seed, fold): one task trains one head on rows with columns key, features, label, fold, inner.
 
     rows is the labelled training set, which each task takes whole: its size bounds a task's memory."""
@@ -148,7 +172,7 @@ def train_heads(rows: DataFrame, jobs: list[tuple[int, int]], key: str = "id", h
         x, y = np.array(pdf.features.tolist(), float), pdf.label.to_numpy(int)
         test, inner = (pdf.fold == fold).to_numpy(), (pdf.inner == 1).to_numpy()
         fit = ~test & ~inner
-        head = Head(x.shape[1], hidden, seed=seed).fit(x[fit], y[fit], x[~test & inner], y[~test & inner], epochs=12)
+        head = Head(x.shape[1], hidden, seed=seed).fit(x[fit], y[fit], x[~test & inner], y[~test & inner])
         prob = head.probabilities(x[test])
         return pd.DataFrame({key: pdf[key][test].to_numpy(), "seed": seed, "fold": fold, "label": y[test], "prob_negative": prob[:, 0], "prob_positive": prob[:, 1], "predicted": prob.argmax(1)})
 

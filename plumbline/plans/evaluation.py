@@ -295,6 +295,21 @@ def corpus_rates(spark, d):
     return asr.corpus_rates(asr.utterance_rates(v.asr_errors(spark, d)), "system", "speaker_id")
 
 
+@register("utterance_cer", f"WITH {v.CER} SELECT utterance_id, system, n_chars, char_errors, round(char_errors / CAST(greatest(n_chars, 1) AS DOUBLE), 9) AS cer FROM cer")
+def utterance_cer(spark, d):
+    return v.char_errors(spark, d).select("utterance_id", "system", "n_chars", "char_errors", F.round(F.col("char_errors") / F.greatest("n_chars", F.lit(1)), 9).alias("cer"))
+
+
+@register("corpus_cer", f"WITH {v.CER} SELECT system, coalesce(speaker_id, 'all') AS speaker_id, CAST(sum(char_errors) AS BIGINT) AS char_errors, CAST(sum(n_chars) AS BIGINT) AS n_chars, round(sum(char_errors) / sum(n_chars), 9) AS cer FROM cer GROUP BY GROUPING SETS ((system, speaker_id), (system))")
+def corpus_cer(spark, d):
+    return asr.corpus_char_rates(v.char_errors(spark, d), "system", "speaker_id")
+
+
+@register("cer_class_gap", f"WITH {v.CER}, c AS (SELECT system, label, sum(char_errors) / sum(n_chars) AS cer FROM cer GROUP BY ALL) SELECT system, round(max(CASE WHEN label = 1 THEN cer END), 9) AS positive, round(max(CASE WHEN label = 0 THEN cer END), 9) AS negative, round(max(CASE WHEN label = 1 THEN cer END) - max(CASE WHEN label = 0 THEN cer END), 9) AS gap, abs(max(CASE WHEN label = 1 THEN cer END) - max(CASE WHEN label = 0 THEN cer END)) >= 0.05 AS clear FROM c GROUP BY system")
+def cer_class_gap(spark, d):
+    return asr.class_gap(v.char_errors(spark, d).withColumnsRenamed({"char_errors": "errors", "n_chars": "n_ref"}))
+
+
 @register("operation_rates")
 def operation_rates(spark, d):
     """Substitutions, deletions and insertions for each system over its reference words."""

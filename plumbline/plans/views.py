@@ -120,6 +120,18 @@ def asr_errors(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("utterance_id", "speaker_id", "label", "system", F.size("gold").cast("long").alias("n_ref"), F.size("hyp").cast("long").alias("n_hyp"), text.coded_distance(F.col("gold"), F.col("hyp")).cast("long").alias("errors"), "gold", "hyp")
 
 
+_CHARS = "array_to_string(list_transform(string_split(array_to_string({0}, ''), ''), lambda t: chr(CAST(32 + list_position(list_distinct(list_concat(string_split(array_to_string(gold, ''), ''), string_split(array_to_string(hyp, ''), ''))), t) AS INTEGER))), '')"
+#: Characters here are composed letters, one grapheme each, of which a pair has far fewer than the 94 codes.
+CER = HYP + f", cer AS (SELECT utterance_id, speaker_id, label, system, CAST(length(array_to_string(gold, '')) AS BIGINT) AS n_chars, CAST(CASE WHEN len(hyp) = 0 THEN length(array_to_string(gold, '')) ELSE levenshtein({_CHARS.format('gold')}, {_CHARS.format('hyp')}) END AS BIGINT) AS char_errors FROM hyp)"
+
+
+def char_errors(spark: SparkSession, d: str) -> DataFrame:
+    """By system and utterance: n_chars and char_errors, both in grapheme clusters without spaces."""
+    chars = lambda c: text.graphemes(F.array_join(c, ""))
+    rows = hypotheses(spark, d).withColumn("x", chars("gold")).withColumn("y", chars("hyp"))
+    return rows.select("utterance_id", "speaker_id", "label", "system", F.size("x").cast("long").alias("n_chars"), text.coded_distance(F.col("x"), F.col("y")).cast("long").alias("char_errors"))
+
+
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.windows import sessionize
 

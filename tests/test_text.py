@@ -76,12 +76,26 @@ def test_compression_ratio(spark):
 
 
 def test_signals(spark):
-    df = spark.createDataFrame([(0, ["ক", "খ"], ["ক"]), (1, ["x", "y"], ["x"]), (2, ["ক"], ["খ"]), (3, ["না", "ক"], ["খ", "ক"])], "i int, a array<string>, b array<string>")
+    df = spark.createDataFrame([(0, ["ক", "খ"], ["ক"]), (1, ["x", "y"], ["x"]), (2, ["ক"], ["খ"]), (3, ["না", "ক"], ["খ", "ক"]), (4, ["ক"], ["ক"]), (5, ["ক", "খ"], ["নেই", "না", "ক", "খ"])], "i int, a array<string>, b array<string>")
     got = {r.i: tuple(r.x) for r in df.select("i", text.described_edits("a", "b").alias("x")).collect()}
     assert got[0] == ("deleted: খ", "content_deleted")
     assert got[1][1] == "content_deleted, latin_script_leak"
     assert got[2] == ("ক -> খ", "substitution_only")
-    assert got[3][1] == "negation_lost:না"
+    assert got[3][1] == "negation_lost(না)"
+
+
+    assert got[4] == ("(no token-level difference)", "substitution_only")
+    assert got[5] == ("inserted: নেই না", "negation_added, content_inserted")
+
+
+def test_distance_of_pairs_with_very_many_words(spark):
+    a = [f"w{i}" for i in range(36_000)]
+    df = spark.createDataFrame([(a[35_300:35_420], a[:35_420][-100:], a)], "x array<string>, y array<string>, all array<string>")
+    # the words of all come first, so the pair's places reach over the surrogates
+    row = df.select(text.coded_distance(F.col("x"), F.col("y")).alias("d"), text.coded_distance(F.slice("all", 35_000, 900), F.slice("all", 35_001, 900)).alias("e")).first()
+    assert (row.d, row.e) == (20, 2)
+    wide = spark.createDataFrame([(a, [*a[:-2], "x"])], "x array<string>, y array<string>").select(F.slice("x", 35_900, 101).alias("x"), F.slice("y", 35_900, 101).alias("y"))
+    assert wide.select(text.coded_distance(F.col("x"), F.col("y"))).first()[0] == 2
 
 
 def test_canonicalize(spark):
