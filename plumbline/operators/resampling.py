@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_bucket
 from .metrics import COUNTS, confusion_counts, macro_f1
+from .windows import by_hash
 
 #: Groups whose counts are broadcast (some 200 bytes each); draws a task makes.
 BROADCAST_GROUPS, DRAWS = 100_000, 4_000_000
@@ -84,8 +85,6 @@ def _interval_of(_, digits):
 def permuted_labels(groups: DataFrame, group: str, label: str, replicates: int, seed: int) -> DataFrame:
     """(replicate, group, label, permuted): labels dealt anew between groups, as many of each as there were."""
     grid = groups.crossJoin(F.broadcast(groups.sparkSession.range(replicates).withColumnRenamed("id", "replicate")))
-    order = hash_bucket(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(group).cast("string")))
-    by_rep = Window.partitionBy("replicate")
-    ranked = grid.withColumn("at_", F.row_number().over(by_rep.orderBy(order, group)))
-    ones = F.sum(label).over(by_rep)
-    return ranked.select("replicate", group, label, F.when(F.col("at_") <= ones, 1).otherwise(0).alias("permuted"))
+    ones = groups.agg(F.sum(label).alias("ones_"))
+    ranked = by_hash(grid, ["replicate"], F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(group).cast("string")), group, hashes=1 << 26)
+    return ranked.crossJoin(F.broadcast(ones)).select("replicate", group, label, F.when(F.col("rank_") < F.col("ones_"), 1).otherwise(0).alias("permuted"))

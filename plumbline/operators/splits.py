@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import hash_bucket
+from .windows import by_hash
 
 
 def group_labels(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -15,19 +15,16 @@ def group_labels(df: DataFrame, group: str, label: str) -> DataFrame:
 
 def grouped_folds(groups: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42, out: str = "outer_fold") -> DataFrame:
     """Folds dealt round robin within each label in the order of a hash: whole groups, stratified to within one."""
-    order = hash_bucket(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")))
-    at = F.row_number().over(Window.partitionBy(label).orderBy(order, group))
-    return groups.withColumn(out, ((at - 1) % folds).cast("int"))
+    ranked = by_hash(groups, [label], F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")), group)
+    return ranked.withColumn(out, (F.col("rank_") % folds).cast("int")).drop("rank_", "total_")
 
 
 def inner_validation(folds: DataFrame, group: str, label: str, n_folds: int = 5, share: float = 0.1, seed: int = 1000, fold: str = "outer_fold") -> DataFrame:
     """(outer_fold, group, label, is_inner_validation) over each fold's training groups: the first share of each label by a hash."""
     each = folds.sparkSession.range(n_folds).select(F.col("id").cast("int").alias("fold_"))
     rows = folds.crossJoin(F.broadcast(each)).where(F.col(fold) != F.col("fold_")).drop(fold).withColumnRenamed("fold_", fold)
-    order = hash_bucket(F.concat_ws("|", (F.lit(seed) + F.col(fold)).cast("string"), F.col(group).cast("string")))
-    w = Window.partitionBy(fold, label)
-    taken = F.row_number().over(w.orderBy(order, group)) <= F.floor(F.count("*").over(w) * share)
-    return rows.select(fold, group, label, taken.cast("int").alias("is_inner_validation"))
+    ranked = by_hash(rows, [fold, label], F.concat_ws("|", (F.lit(seed) + F.col(fold)).cast("string"), F.col(group).cast("string")), group)
+    return ranked.select(fold, group, label, (F.col("rank_") < F.floor(F.col("total_") * share)).cast("int").alias("is_inner_validation"))
 
 
 def leakage_checks(rows: DataFrame, folds: DataFrame, inner: DataFrame, group: str, label: str, n_folds: int = 5, fold: str = "outer_fold") -> DataFrame:

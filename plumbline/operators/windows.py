@@ -32,18 +32,42 @@ def label_switches(df: DataFrame, key: str, order: list[str], label: str) -> Dat
     return df.withColumn("before_", before).groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("before_").isNotNull() & (F.col("before_") != F.col(label))).alias("switches"))
 
 
+#: Hashes below 2**32 that share a bucket of numbered().
+HASHES = 1 << 20
+
+
+def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column | str], keep: Column | None = None) -> DataFrame:
+    """Adds rank_, from 0 in the key's order, and total_, the key's rows. bucket is a function that never falls along the order.
+
+    Rows are numbered within their bucket and offset by the sizes of the buckets before, so a key with very many rows is no hot task; only
+    the sizes, one for each bucket that there is, meet by key. keep: a condition on before_ (the least rank of a bucket) and total_ by which buckets are left out first."""
+    marked = df.withColumn("bucket_", bucket)
+    sizes = marked.groupBy(*keys, "bucket_").agg(F.count("*").alias("n_"))
+    w, names = Window.partitionBy(*keys), [*keys, "bucket_"]
+    before = F.sum("n_").over(w.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_")
+    placed = sizes.select(*(F.col(k).alias(f"of_{i}_") for i, k in enumerate(names)), before.alias("before_"), F.sum("n_").over(w).alias("total_"))
+    same = [F.col(k).eqNullSafe(F.col(f"of_{i}_")) for i, k in enumerate(names)]
+    joined = marked.join(placed, same).drop(*(f"of_{i}_" for i in range(len(names))))
+    within = F.row_number().over(Window.partitionBy(*names).orderBy(*order)) - 1
+    return (joined if keep is None else joined.where(keep)).withColumn("rank_", F.col("before_") + within).drop("bucket_", "before_")
+
+
+def by_hash(df: DataFrame, keys: list[str], text: Column, tie: str, hashes: int = HASHES, keep: Column | None = None) -> DataFrame:
+    """numbered() in the order of a hash of text, then tie."""
+    marked = df.withColumn("hash_", hash_bucket(text))
+    return numbered(marked, keys, F.floor(F.col("hash_") / hashes), ["hash_", tie], keep).drop("hash_")
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
     """n rows of each stratum in the order of a hash of seed and key."""
-    order = hash_bucket(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    ranked = df.withColumn("rank_", F.row_number().over(Window.partitionBy(stratum).orderBy(order, key)))
-    return ranked.where(F.col("rank_") <= n).drop("rank_")
+    ranked = by_hash(df, [stratum], F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), key, keep=F.col("before_") < n)
+    return ranked.where(F.col("rank_") < n).drop("rank_", "total_")
 
 
-def stride_sample(df: DataFrame, stratum: str, order: list[Column | str], n: int) -> DataFrame:
-    """Every max(1, size // n)-th row of each stratum from the first on, n at most."""
-    w = Window.partitionBy(stratum)
-    ranked = df.withColumn("rank_", F.row_number().over(w.orderBy(*order)) - 1).withColumn("stride_", F.greatest(F.lit(1), F.floor(F.count("*").over(w) / n)))
-    return ranked.where((F.col("rank_") % F.col("stride_") == 0) & (F.col("rank_") < F.col("stride_") * n)).drop("rank_", "stride_")
+def stride_sample(df: DataFrame, stratum: str, order: list[str], n: int) -> DataFrame:
+    """Every max(1, size // n)-th row of each stratum from the first on, n at most. Rows are numbered by the first column of the order, value by value."""
+    ranked = numbered(df, [stratum], F.col(order[0]), order).withColumn("stride_", F.greatest(F.lit(1), F.floor(F.col("total_") / n)))
+    return ranked.where((F.col("rank_") % F.col("stride_") == 0) & (F.col("rank_") < F.col("stride_") * n)).drop("rank_", "total_", "stride_")
 
 
 def top_k(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:

@@ -53,8 +53,13 @@ def json_props(spark, d):
 @register("run_summary", "SELECT source, count(*) AS n, count(*) FILTER (WHERE length(coalesce(text, '')) < 300) AS short, coalesce(array_to_string(list_sort(list(doc_id) FILTER (WHERE length(coalesce(text, '')) < 300))[1:50], ','), '') AS first_short FROM documents GROUP BY source")
 def run_summary(spark, d):
     short = F.length(F.coalesce("text", F.lit(""))) < 300
-    ids = F.slice(F.array_sort(F.collect_list(F.when(short, F.col("doc_id")))), 1, 50)
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(short).alias("short"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("first_short"))
+    docs = table(spark, d, "documents").select("doc_id", "source", short.alias("short"))
+    # the ids shown are numbered and cut first, so no list of all of them is made
+    shown = windows.numbered(docs.where("short"), ["source"], F.floor(F.col("doc_id") / 65_536), ["doc_id"], keep=F.col("before_") < 50).where("rank_ < 50")
+    ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
+    listed = shown.groupBy("source").agg(F.array_join(ids, ",").alias("first_short")).withColumnRenamed("source", "of")
+    counted = docs.groupBy("source").agg(F.count("*").alias("n"), F.count_if("short").alias("short"))
+    return counted.join(listed, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "n", "short", F.coalesce("first_short", F.lit("")).alias("first_short"))
 
 
 @register("label_encode", "SELECT event_id, CASE WHEN value >= 50 THEN 1 ELSE 0 END AS label FROM events")
