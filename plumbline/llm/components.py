@@ -48,7 +48,7 @@ def _small(edges: DataFrame, spark) -> DataFrame:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for r in edges.toLocalIterator():
+    for r in edges.collect():
         a, b = find(r.a), find(r.b)
         if a != b:
             parent[max(a, b)] = min(a, b)

@@ -272,7 +272,7 @@ def _fits(a: str, b: str):
     return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
 
 
-def _verify(docs: DataFrame, facts: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough, written.
 
     a is a pivot whose members go to chunks. Texts travel, as they are smaller than sets: one of each member goes
@@ -282,8 +282,9 @@ def _verify(docs: DataFrame, facts: DataFrame, pairs: DataFrame, key: str, text:
     members = pairs.join(many, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), F.lit(1).alias("turn"))
     pivots = many.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("turn"))
     roles = members.union(pivots)
-    source = facts.where("kind = 0").join(roles.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key_"))
-    places = written(roles.join(source, "node"), "verify-places")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    source = written(nodes.join(wanted, "node", "left_semi").select("node", F.col("first").alias("key_")), "verify-sources")
+    places = written(roles.join(_few(source), "node"), "verify-places")
     rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     sent = rows.join(_few(places), F.col("key").eqNullSafe(F.col("key_"))).select("a", "chunk", "turn", "node", "text")
     out = pa.schema([pa.field("a", pa.int64()), pa.field("b", pa.int64())])
@@ -318,7 +319,7 @@ def _verify(docs: DataFrame, facts: DataFrame, pairs: DataFrame, key: str, text:
 
     near = sent.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "turn").select("a", "turn", "node", "text")
     out_ = written(near.mapInArrow(trimmed(run), "a bigint, b bigint"), "similar-pairs")
-    discard(places)
+    discard(source, places)
     return out_
 
 
@@ -352,8 +353,8 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
 class _Found:
     """The pairs verified so far, those of them that link, and the components they make."""
 
-    def __init__(self, docs: DataFrame, facts: DataFrame, key: str, text: str):
-        self.docs, self.facts, self.key, self.text = docs, facts, key, text
+    def __init__(self, docs: DataFrame, nodes: DataFrame, key: str, text: str):
+        self.docs, self.nodes, self.key, self.text = docs, nodes, key, text
         self.tried: list[DataFrame] = []
         self.links: list[DataFrame] = []
         self.label: DataFrame | None = None
@@ -365,7 +366,7 @@ class _Found:
             pairs = pairs.join(_few(t.select("x", "y")), ["x", "y"], "left_anti")
         pairs = written(pairs, "pairs")
         self.tried.append(pairs)
-        self.links.append(_verify(self.docs, self.facts, pairs.select("a", "b"), self.key, self.text))
+        self.links.append(_verify(self.docs, self.nodes, pairs.select("a", "b"), self.key, self.text))
         # a written label stands for all links before it
         old = [] if self.label is None else [self.label.select(F.col("node").alias("a"), F.col("component").alias("b"))]
         label = written(components(_union([self.links[-1], *old])), "labels")
@@ -493,7 +494,9 @@ def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
     hot = often.node.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
     order = np.argsort(hot)
     lists = written(_lists(_postings(docs, text, hot[order], often.n.to_numpy(np.float64)[order])), "posting-lists")
-    found = _Found(docs, facts, key, text)
+    rows = facts.where("kind = 0").select("key", "node", "n")
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("rows")), "nodes")  # each set and a row that has it
+    found = _Found(docs, nodes, key, text)
     # neighbours: for each node the one that most of its lists agree on
     near = lists.where("node <> pivot").where(_fits("n", "pivot_n")).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("c"), _shares(F.sum("weight"), 0.2).alias("enough"))
     found.verify(near.where("enough").groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"))
@@ -525,10 +528,10 @@ def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
     found.close()
     discard(rest)
     # sets of several rows or with links; all other rows are their own component
-    rows = facts.where("kind = 0").select("key", "node", "n")
-    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("rows")).join(found.label, "node", "left"), "nodes").where("rows > 1 or component is not null")
-    least = written(nodes.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "node"))).alias("least")), "least")
-    named = written(nodes.select("node", F.coalesce("component", "node").alias("component")).join(_few(least), "component").select("node", "least"), "named")
+    several = nodes.join(_few(found.label), "node", "left").where("rows > 1 or component is not null")
+    least = written(several.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.when(F.col("first").isNotNull(), F.struct("first", "node"))).alias("least")), "least")
+    named = written(several.select("node", F.coalesce("component", "node").alias("component")).join(_few(least), "component").select("node", "least"), "named")
+    discard(least, nodes)
     joined = rows.join(_few(named), "node", "left").withColumn("stays", F.coalesce(F.struct("key", "node") == F.col("least"), F.col("least").isNull()))
     return joined.select("key", "node", "n", F.when(F.col("least").isNull(), F.col("key")).otherwise(F.col("least.first")).alias("component_id"), "stays")
 
