@@ -221,3 +221,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     valid = marked.where("vector is not null").join(of, "vector").select("key", "n_links", "component_id")
     alone = marked.where("vector is null").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
     return valid.unionByName(alone).select(F.col("key").alias(key), "n_links", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def near_duplicates_sql() -> str:
+    """DuckDB SQL for near_duplicates() over embeddings: the cosine of all pairs in doubles; components by a recursion."""
+    return """WITH RECURSIVE vectors AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (SELECT vec_id, e FROM vectors WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reached(x, y) AS (SELECT vec_id, vec_id FROM vectors UNION SELECT reached.x, links.y FROM reached JOIN links ON links.x = reached.y),
+least AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x), degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM vectors JOIN least ON least.x = vec_id LEFT JOIN degree ON degree.x = vec_id"""

@@ -571,3 +571,16 @@ def _free(name: str, docs: DataFrame) -> str:
 
 def _without(docs: DataFrame, keys: DataFrame, key: str, gone: str) -> DataFrame:
     return docs.join(_few(keys), docs[key] == keys[gone], "left_anti")
+
+
+def components_sql() -> str:
+    """DuckDB SQL for similarity_components() over documents: all pairs that share a shingle, counted; components by a recursion."""
+    return r"""WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS MATERIALIZED (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM docs),
+shingles AS (SELECT rid, unnest(s) AS g FROM sets),
+sizes AS (SELECT rid, doc_id, len(s) AS n FROM sets),
+common AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+near AS (SELECT x, y FROM common JOIN sizes p ON p.rid = x JOIN sizes q ON q.rid = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+links AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reached(x, y) AS (SELECT rid, rid FROM sizes UNION SELECT reached.x, links.y FROM reached JOIN links ON links.x = reached.y)
+SELECT p.doc_id, CAST(p.n AS BIGINT) AS n_shingles, min(q.doc_id) AS component_id FROM reached JOIN sizes p ON p.rid = x JOIN sizes q ON q.rid = y GROUP BY p.rid, p.doc_id, p.n"""

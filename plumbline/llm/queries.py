@@ -57,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": secrets.digest_sql()}
+    return {"op1_embedding_near_dedup": embedding_dedup.near_duplicates_sql(), "op2_secret_scans": secrets.digest_sql(), "op3_jaccard_join": jaccard_join.components_sql()}

@@ -51,8 +51,8 @@ def _segments(text: str, special: list[str]) -> list[str]:
 def frequent_runs(df: DataFrame, text: str = "text", keep: int = FREQUENT) -> list[str]:
     """The runs with the largest counts over all documents, by summaries.
 
-    Every task counts all its runs, and keeps lossy counts: whenever its table is four times SUMMARY,
-    the rarest go. A run that has over a fraction 1/SUMMARY of some task's runs is never lost there.
+    Every task counts all its runs, and keeps lossy counts: whenever its table is 64 times SUMMARY, it goes on
+    with the 16 * SUMMARY most frequent ones; in the end it reports the SUMMARY most frequent that it has met twice.
     Which runs are found decides about speed only, never about a result.
     """
 
