@@ -27,8 +27,31 @@ def inner_validation(folds: DataFrame, group: str, label: str, n_folds: int = 5,
     return ranked.select(fold, group, label, (F.col("rank_") < F.floor(F.col("total_") * share)).cast("int").alias("is_inner_validation"))
 
 
-def leakage_checks(rows: DataFrame, folds: DataFrame, inner: DataFrame, group: str, label: str, n_folds: int = 5, fold: str = "outer_fold") -> DataFrame:
-    """(name, passed): structure, disjointness, inner splits, coverage and balance, one row for each check. All in a few aggregates."""
+def leakage_checks(rows: DataFrame, folds: DataFrame, inner: DataFrame, group: str, label: str, n_folds: int = 5, fold: str = "outer_fold", row_id: str | None = None, text: str | None = None) -> DataFrame:
+    """(name, passed): structure, disjointness, inner splits, coverage and balance, one row for each check. All in a few aggregates.
+
+    row_id names what is unique in rows, text what rows of equal texts share; without them their checks are left out."""
+    placed = rows.join(folds.select(group, fold), group)
+
+    def disjoint(df, key, name):
+        of = df.groupBy(key).agg(F.collect_set(fold).alias("of_"))  # n_folds values at most
+        return of.select(F.explode("of_").alias(fold), (F.size("of_") > 1).alias("bad_")).groupBy(fold).agg(F.count_if("bad_").alias("n_")).select(F.concat(F.lit(name), F.col(fold).cast("string")).alias("name"), (F.col("n_") == 0).alias("passed"))
+
+    apart = disjoint(folds, group, "groups_disjoint_")
+    if text:
+        apart = apart.unionByName(disjoint(placed, text, "texts_disjoint_"))
+    sizes = rows.agg(F.count("*").alias("all_"), (F.count_distinct(row_id) if row_id else F.lit(None)).alias("ids_")).crossJoin(placed.agg(F.count("*").alias("placed_"))).crossJoin(folds.groupBy(group).count().agg(F.min("count").alias("least_")))
+    covered = sizes.select(
+        F.inline(
+            F.array(
+                *(
+                    F.struct(F.lit(name).alias("name"), ok.alias("passed"))
+                    for name, ok in (("every_group_is_tested", F.col("least_") >= 1), ("fold_counts_sum_to_all", F.col("placed_") == F.col("all_")), ("utterances_unique", F.col("ids_") == F.col("all_")))
+                    if row_id or name != "utterances_unique"
+                )
+            )
+        )
+    )
     facts = folds.agg(F.count("*").alias("n"), F.count_distinct(group).alias("groups"), F.count_distinct(fold).alias("folds"), F.min(fold).alias("first"), F.max(fold).alias("last"))
     lost = rows.select(group).distinct().join(folds, group, "left_anti").agg(F.count("*").alias("lost"))
     strange = folds.join(rows.select(group).distinct(), group, "left_anti").agg(F.count("*").alias("strange"))
@@ -60,4 +83,4 @@ def leakage_checks(rows: DataFrame, folds: DataFrame, inner: DataFrame, group: s
     ).select("x.*")
     overall = folds.agg(F.avg(label).alias("all_"))
     balance = folds.groupBy(fold).agg(F.avg(label).alias("own_")).crossJoin(overall).select(F.concat(F.lit("balance_"), F.col(fold).cast("string")).alias("name"), (F.abs(F.col("own_") - F.col("all_")) <= 0.1).alias("passed"))
-    return first.unionByName(per).unionByName(balance)
+    return first.unionByName(apart).unionByName(per).unionByName(covered).unionByName(balance)

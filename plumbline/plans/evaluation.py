@@ -99,11 +99,11 @@ def inner_validation(spark, d):
     return splits.inner_validation(folds(spark, d), "group_id", "label")
 
 
-@register("leakage_checks", f"WITH {INNER}, i AS (SELECT inr.outer_fold, count(*) FILTER (WHERE f.outer_fold = inr.outer_fold) AS leaks, count(*) FILTER (WHERE is_inner_validation = 1) AS held, count(*) AS size, count(DISTINCT group_id) AS distinct_groups FROM inr JOIN fold f USING (group_id) GROUP BY inr.outer_fold), good AS (SELECT rec.* FROM rec JOIN grp USING (group_id)) SELECT 'one_fold_per_group' AS name, count(*) = count(DISTINCT group_id) AS passed FROM fold UNION ALL SELECT 'fold_count', count(DISTINCT outer_fold) = 5 FROM fold UNION ALL SELECT 'fold_range', min(outer_fold) = 0 AND max(outer_fold) = 4 FROM fold UNION ALL SELECT 'every_group_has_a_fold', count(*) = 0 FROM good WHERE group_id NOT IN (SELECT group_id FROM fold) UNION ALL SELECT 'no_unknown_group', count(*) = 0 FROM fold WHERE group_id NOT IN (SELECT group_id FROM good) UNION ALL SELECT 'groups_agree_on_label', count(*) = 0 FROM (SELECT group_id FROM good GROUP BY group_id HAVING count(DISTINCT label) > 1) UNION ALL SELECT 'inner_without_test_groups_' || outer_fold, leaks = 0 FROM i UNION ALL SELECT 'inner_has_validation_' || outer_fold, held > 0 FROM i UNION ALL SELECT 'inner_keeps_training_' || outer_fold, held < size FROM i UNION ALL SELECT 'inner_groups_once_' || outer_fold, size = distinct_groups FROM i UNION ALL SELECT 'balance_' || outer_fold, abs(avg(label) - (SELECT avg(label) FROM fold)) <= 0.1 FROM fold GROUP BY outer_fold")
+@register("leakage_checks", f"WITH {INNER}, i AS (SELECT inr.outer_fold, count(*) FILTER (WHERE f.outer_fold = inr.outer_fold) AS leaks, count(*) FILTER (WHERE is_inner_validation = 1) AS held, count(*) AS size, count(DISTINCT group_id) AS distinct_groups FROM inr JOIN fold f USING (group_id) GROUP BY inr.outer_fold), good AS (SELECT rec.* FROM rec JOIN grp USING (group_id)), placed AS (SELECT good.*, outer_fold FROM good JOIN fold USING (group_id)), gk AS (SELECT group_id, count(DISTINCT outer_fold) AS k FROM fold GROUP BY group_id), tk AS (SELECT token_key, count(DISTINCT outer_fold) AS k FROM placed GROUP BY token_key) SELECT 'groups_disjoint_' || outer_fold AS name, count(*) FILTER (WHERE k > 1) = 0 AS passed FROM fold JOIN gk USING (group_id) GROUP BY outer_fold UNION ALL SELECT 'texts_disjoint_' || outer_fold, count(*) FILTER (WHERE k > 1) = 0 FROM placed JOIN tk USING (token_key) GROUP BY outer_fold UNION ALL SELECT 'every_group_is_tested', min(n) >= 1 FROM (SELECT count(*) AS n FROM fold GROUP BY group_id) UNION ALL SELECT 'fold_counts_sum_to_all', (SELECT count(*) FROM placed) = count(*) FROM good UNION ALL SELECT 'utterances_unique', count(*) = count(DISTINCT utterance_id) FROM good UNION ALL SELECT 'one_fold_per_group' AS name, count(*) = count(DISTINCT group_id) AS passed FROM fold UNION ALL SELECT 'fold_count', count(DISTINCT outer_fold) = 5 FROM fold UNION ALL SELECT 'fold_range', min(outer_fold) = 0 AND max(outer_fold) = 4 FROM fold UNION ALL SELECT 'every_group_has_a_fold', count(*) = 0 FROM good WHERE group_id NOT IN (SELECT group_id FROM fold) UNION ALL SELECT 'no_unknown_group', count(*) = 0 FROM fold WHERE group_id NOT IN (SELECT group_id FROM good) UNION ALL SELECT 'groups_agree_on_label', count(*) = 0 FROM (SELECT group_id FROM good GROUP BY group_id HAVING count(DISTINCT label) > 1) UNION ALL SELECT 'inner_without_test_groups_' || outer_fold, leaks = 0 FROM i UNION ALL SELECT 'inner_has_validation_' || outer_fold, held > 0 FROM i UNION ALL SELECT 'inner_keeps_training_' || outer_fold, held < size FROM i UNION ALL SELECT 'inner_groups_once_' || outer_fold, size = distinct_groups FROM i UNION ALL SELECT 'balance_' || outer_fold, abs(avg(label) - (SELECT avg(label) FROM fold)) <= 0.1 FROM fold GROUP BY outer_fold")
 def leakage_checks(spark, d):
     made = folds(spark, d)
     rows = v.recordings(spark, d).join(groups(spark, d).select("group_id"), "group_id", "left_semi")
-    return splits.leakage_checks(rows, made, splits.inner_validation(made, "group_id", "label"), "group_id", "label")
+    return splits.leakage_checks(rows, made, splits.inner_validation(made, "group_id", "label"), "group_id", "label", row_id="utterance_id", text="token_key")
 
 
 @register("joint_holdout_split", f"WITH {FOLDS} SELECT s.held_speaker, f.held_fold, count(*) FILTER (WHERE speaker_id = s.held_speaker AND outer_fold = f.held_fold) AS test, count(*) FILTER (WHERE speaker_id <> s.held_speaker AND outer_fold <> f.held_fold) AS train FROM rec JOIN fold USING (group_id) CROSS JOIN (SELECT DISTINCT speaker_id AS held_speaker FROM rec) s CROSS JOIN (SELECT CAST(unnest(range(5)) AS INTEGER) AS held_fold) f GROUP BY ALL")
@@ -127,6 +127,16 @@ def training_rows(spark, d):
 FOLD_F1 = FOLDS.replace(v.REC, v.ENS) + ", fm AS (" + f"SELECT condition, outer_fold, {_MACRO} AS m FROM (" + counts_sql("ens JOIN fold USING (group_id, label)", "condition, outer_fold") + "))"
 
 
+@register("pooled_scores", f"WITH {FOLD_F1}, pooled AS (SELECT condition, {_MACRO} AS m FROM (" + counts_sql("ens JOIN fold USING (group_id, label)", "condition") + ")) SELECT condition, round(pooled.m, 9) AS pooled, round(avg(fm.m), 9) AS fold_mean, round(pooled.m - avg(fm.m), 9) AS difference FROM pooled JOIN fm USING (condition) GROUP BY condition, pooled.m")
+def pooled_scores(spark, d):
+    """Macro-F1 of all folds' predictions together against the mean of the folds' own, from one table of counts."""
+    rows = v.ensemble(spark, d).join(folds(spark, d), ["group_id", "label"])
+    per = rows.groupBy("condition", "outer_fold").agg(*metrics.confusion_counts())
+    mean = per.select("condition", metrics.macro_f1().alias("m")).groupBy("condition").agg(F.avg("m").alias("mean"))
+    whole = per.groupBy("condition").agg(*(F.sum(k).alias(k) for k in metrics.COUNTS)).select("condition", metrics.macro_f1().alias("pooled"))
+    return whole.join(mean, "condition").select("condition", F.round("pooled", 9).alias("pooled"), F.round("mean", 9).alias("fold_mean"), F.round(F.col("pooled") - F.col("mean"), 9).alias("difference"))
+
+
 @register("fold_mean_sd", f"WITH {FOLD_F1} SELECT condition, round(avg(m), 9) AS mean, round(stddev_samp(m), 9) AS sd FROM fm GROUP BY condition")
 def fold_mean_sd(spark, d):
     rows = v.ensemble(spark, d).join(folds(spark, d), ["group_id", "label"])

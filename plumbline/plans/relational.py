@@ -286,6 +286,13 @@ def stride_sample(spark, d):
     return windows.stride_sample(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "source", ["n_chars", "doc_id"], 15).select("doc_id", "source")
 
 
+@register("duration_batches", "SELECT doc_id, CAST((row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 16 AS BIGINT) AS batch FROM documents")
+def duration_batches(spark, d):
+    """Batches of 16 rows of like length, so that padding is little: rows are numbered by length, value by value."""
+    ranked = windows.numbered(table(spark, d, "documents").select("doc_id", "n_chars"), [], F.col("n_chars"), ["n_chars", "doc_id"])
+    return ranked.select("doc_id", F.floor(F.col("rank_") / 16).cast("long").alias("batch"))
+
+
 @register("union_systems", f"WITH {v.ASR} SELECT utterance_id, system, n_hyp FROM asr")
 def union_systems(spark, d):
     rows = v.asr_errors(spark, d).select("utterance_id", "system", "n_hyp")
