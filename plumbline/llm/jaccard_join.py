@@ -362,8 +362,10 @@ class _Found:
     def verify(self, pairs: DataFrame) -> None:
         """Verifies pairs (a, b), a having most partners, but those already tried."""
         pairs = pairs.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        for t in self.tried:
-            pairs = pairs.join(_few(t.select("x", "y")), ["x", "y"], "left_anti")
+        if self.tried:
+            tried = _union([t.select("x", "y") for t in self.tried])
+            few = sum(t.count() for t in self.tried) <= BROADCAST_ROWS
+            pairs = pairs.join(F.broadcast(tried) if few else tried.hint("merge"), ["x", "y"], "left_anti")
         pairs = written(pairs, "pairs")
         self.tried.append(pairs)
         self.links.append(_verify(self.docs, self.nodes, pairs.select("a", "b"), self.key, self.text))
