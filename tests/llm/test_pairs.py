@@ -53,6 +53,9 @@ def test_jaccard_components(spark, monkeypatch, rows_at_once):
     monkeypatch.setattr(jaccard_join, "SUBLIST", 8 if rows_at_once > 5 else 100)
     monkeypatch.setattr(jaccard_join, "COUNTED", 3000)
     monkeypatch.setattr(jaccard_join, "REPORTS", 1)
+    if rows_at_once == 5:
+        monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+        monkeypatch.setattr(jaccard_join, "LONG", 3)
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 200_000 if rows_at_once > 5 else 10)
     rows = copies()
     df = spark.createDataFrame([(100 + i, t, "x") for i, t in enumerate(rows)], "doc_id bigint, text string, n string").repartition(3)
