@@ -6,7 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -66,6 +66,17 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with marks added where a column of that name is there already."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 _holds: dict[str, Callable[[], None]] = {}
 
 

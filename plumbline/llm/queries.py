@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: op1 to op10 and the pipeline."""
+"""The registered queries of this subpackage: op1 to op13 and the pipeline."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, html_text, jaccard_join, media, packing, quality, secrets, token_counts, toxicity
+from . import bpe, embedding_dedup, html_text, jaccard_join, line_dedup, media, packing, quality, secrets, spelling, token_counts, toxicity, whitening
 from .common import table
 
 
@@ -52,9 +52,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_secret_scans, op3_jaccard_join, op4_byte_bpe, op5_toxicity, op6_packing, op7_html_extraction, op8_quality, op9_media_columns, op10_token_counts)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_secret_scans, op3_jaccard_join, op4_byte_bpe, op5_toxicity, op6_packing, op7_html_extraction, op8_quality, op9_media_columns, op10_token_counts, op11_line_dedup, op12_spelling_variants, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": embedding_dedup.near_duplicates_sql(), "op2_secret_scans": secrets.digest_sql(), "op3_jaccard_join": jaccard_join.components_sql()}
+    return {"op1_embedding_near_dedup": embedding_dedup.near_duplicates_sql(), "op2_secret_scans": secrets.digest_sql(), "op3_jaccard_join": jaccard_join.components_sql(), "op11_line_dedup": line_dedup.digest_sql(), "op12_spelling_variants": spelling.variants_sql()}
