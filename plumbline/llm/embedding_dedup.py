@@ -153,7 +153,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     count = classes.count()
     bits, tables = plan(count, threshold, recall)
 
-    out = pa.schema([pa.field("table", pa.int32()), pa.field("bucket", pa.int64()), pa.field("class", pa.int64()), pa.field("n", pa.int64()), pa.field("keys", pa.binary()), pa.field("code", pa.binary()), pa.field("factor", pa.float32()), pa.field("raw", pa.binary())])
+    out = pa.schema([pa.field("table", pa.int32()), pa.field("d", pa.int32()), pa.field("bucket", pa.int64()), pa.field("class", pa.int64()), pa.field("n", pa.int64()), pa.field("keys", pa.binary()), pa.field("code", pa.binary()), pa.field("factor", pa.float32()), pa.field("raw", pa.binary())])
 
     def keyed(batches):
         hold("embedding_dedup")
@@ -170,23 +170,23 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 narrow = keys.astype(np.int32 if bits < 32 else np.int64)
                 raw, code = [u.tobytes() for u in x], [c.tobytes() for c in codes.packed]
                 for t in range(tables):
-                    # the length is part of the bucket, so only equal ones meet
-                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int32()), pa.array(keys[:, t] * 4096 + d % 4096), pa.array(ids[at]), pa.array(n[at]), pa.array([k[:t].tobytes() for k in narrow], pa.binary()), pa.array(code, pa.binary()), pa.array(codes.factor, pa.float32()), pa.array(raw, pa.binary())], schema=out)
+                    # the length d is a column of the bucket, so only equal ones meet
+                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int32()), pa.array([d] * len(at), pa.int32()), pa.array(keys[:, t]), pa.array(ids[at]), pa.array(n[at]), pa.array([k[:t].tobytes() for k in narrow], pa.binary()), pa.array(code, pa.binary()), pa.array(codes.factor, pa.float32()), pa.array(raw, pa.binary())], schema=out)
 
-    entries = written(classes.select("vector", "class", "n").mapInArrow(trimmed(keyed), "table int, bucket bigint, class bigint, n bigint, keys binary, code binary, factor float, raw binary"), "vector-buckets")
-    sizes = entries.groupBy("table", "bucket").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    entries = written(classes.select("vector", "class", "n").mapInArrow(trimmed(keyed), "table int, d int, bucket bigint, class bigint, n bigint, keys binary, code binary, factor float, raw binary"), "vector-buckets")
+    sizes = entries.groupBy("table", "d", "bucket").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     part = F.pmod(F.xxhash64("class"), F.col("blocks"))
     # a row joins its own block with every other: cell (low, high) is worked by the task that gets it
     cells = (
-        entries.join(sizes.drop("size"), ["table", "bucket"])
+        entries.join(sizes.drop("size"), ["table", "d", "bucket"])
         .withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("table", "bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class", "n", "keys", "code", "factor", "raw")
+        .select("table", "d", "bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class", "n", "keys", "code", "factor", "raw")
     )
     found = pa.schema([pa.field("class", pa.int64()), pa.field("links", pa.int64()), pa.field("to", pa.int64())])
 
     def compared(key_, rows_):
-        t, _, low, high = (k.as_py() for k in key_)
+        t, _, _, low, high = (k.as_py() for k in key_)
         ids, n = rows_.column("class").to_numpy(), rows_.column("n").to_numpy()
         # the keys of the tables before this one: a pair counts in the first table where it meets
         keys = np.frombuffer(b"".join(rows_.column("keys").to_pylist()), np.int32 if bits < 32 else np.int64).reshape(len(ids), t)
@@ -209,7 +209,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         a, b = ids[i[kept]], ids[j[kept]]
         return pa.table([pa.array(np.concatenate([ids[some], a])), pa.array(np.concatenate([links[some].astype(np.int64), np.zeros(len(a), np.int64)])), pa.array(np.concatenate([np.full(len(some), 0, np.int64), b]), mask=np.arange(len(some) + len(a)) < len(some))], schema=found)
 
-    results = written(cells.groupBy("table", "bucket", "low", "high").applyInArrow(compared, "class bigint, links bigint, to bigint"), "vector-links")
+    results = written(cells.groupBy("table", "d", "bucket", "low", "high").applyInArrow(compared, "class bigint, links bigint, to bigint"), "vector-links")
     linked = results.groupBy("class").agg(F.sum("links").alias("links"))
     group = components(results.where("to is not null").select(F.col("class").alias("a"), F.col("to").alias("b")))
     of = classes.select("class", "vector", "first", "n").join(linked, "class", "left").join(group.withColumnRenamed("node", "class"), "class", "left")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_names, written
 
 #: Strings that a part of an expression may stand for before it counts as anything; candidates that are broadcast (16 bytes each); bits of a mask word.
 EXACT, BROADCAST_ROWS, WORD = 24, 200_000, 62
@@ -217,12 +217,13 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...]
     rules = base + added
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({g for q in queries if q for c in q for g in c})
-    entry = written(candidates(build_index(docs, trigrams, key, text), trigrams, queries), "secret-candidates").withColumnsRenamed({"key": "candidate_key_", "rules": "candidate_rules_"})
+    of, met = free_names([*docs.columns, found], "candidate_key", "candidate_rules")
+    entry = written(candidates(build_index(docs, trigrams, key, text), trigrams, queries), "secret-candidates").withColumnsRenamed({"key": of, "rules": met})
     small = entry.limit(broadcast_rows + 1).count() <= broadcast_rows
     side = F.broadcast(entry) if small else entry.hint("merge")
-    joined = docs.join(side, docs[key].eqNullSafe(entry["candidate_key_"]), "left")
+    joined = docs.join(side, docs[key].eqNullSafe(entry[of]), "left")
     whole = F.coalesce(docs[text], F.lit(""))
-    bits = F.coalesce(F.col("candidate_rules_"), F.lit(0))
+    bits = F.coalesce(F.col(met), F.lit(0))
     none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
     each = [_spans(whole, r, i) if q is None else F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, _spans(whole, r, i)).otherwise(none) for i, (r, q) in enumerate(zip(rules, queries, strict=True))]
     return joined.select(*(docs[c] for c in docs.columns if c.lower() != found.lower()), F.array_sort(F.concat(*each)).alias(found))
@@ -236,7 +237,7 @@ def as_text(found: Column, kinds: list[str]) -> Column:
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
     """docs with every found span in text replaced by mark; overlapping spans count as one. Null stays null."""
-    spans = "_spans_"
+    (spans,) = free_names(docs.columns, "spans")
     scanned = scan(docs, rules, (), key, text, found=spans)
     whole = F.col(text)
 

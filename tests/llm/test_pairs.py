@@ -198,3 +198,13 @@ def test_keys_of_different_texts(spark):
     rows = [(1, a), (1, b), (1, b), (2, c), (5, a), (5, "s t u v w x"), (7, c), (7, "y z y z y z"), (8, "y z y z y z"), (None, a), (9, ""), (9, None)]
     kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(0, a), (1, a), (1, b), (2, c), (5, "s t u v w x"), (7, "y z y z y z"), (9, "")])
+
+
+def test_lengths_never_share_a_bucket(spark):
+    near = np.r_[np.ones(4097), np.zeros(0)]
+    other = near.copy()
+    other[:20] = 0.0
+    rows = [(1, [1.0]), (2, [2.0]), (3, near.tolist()), (4, other.tolist()), (5, [1.0, 0.0]), (6, [1.0, 0.01])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5)}

@@ -39,6 +39,14 @@ def test_secrets_against_scanning_everything(spark, rows):
         assert [tuple(x) for x in r.found] == matches(r.text), r.text
 
 
+def test_secrets_where_names_clash(spark):
+    names = ["candidate_key", "candidate_rules", "candidate_rules_", "spans", "_spans_", "found", "whole", "low"]
+    df = spark.createDataFrame([(1, "token=abcdefgh x", *names), (2, None, *names)], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    got = sorted(tuple(r) for r in secrets.redact(df).collect())
+    assert got == [(1, "[SECRET] x", *names), (2, None, *names)]
+    assert [c for c in secrets.scan(df).columns if c != "found"] == [c for c in df.columns if c != "found"]
+
+
 def test_queries_hold_for_every_match():
     for rule in secrets.BASE + secrets.ADDED:
         query = secrets.trigram_query(rule.pattern)
