@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # Character sets of the frozen normal form.
 ZERO_WIDTH = "​‌‍⁠﻿"
@@ -89,46 +89,65 @@ def compression_ratio(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: len(t.encode()) / len(zlib.compress(t.encode())) if t else 0.0)
 
 
+#: The characters that stand for the first tokens of a pair in coded_distance.
+CODES = "".join(chr(0x4E00 + i) for i in range(1, 513))
+
+
 def coded_distance(a: Column, b: Column) -> Column:
     """Edit distance of two token arrays (substitutions, deletions and insertions together), by the built-in on coded strings.
 
-    Every distinct token of the pair becomes one character (surrogates are left out; a million tokens fit), so words are the unit."""
-    known = F.array_distinct(F.concat(a, b))
+    Every distinct token of the pair becomes one character (surrogates are left out; a million tokens fit), so words are the unit.
+    The distinct tokens are bound to a name once for a pair; a character comes out of a constant while they are few."""
     place = lambda n: F.when(n < 0xD800, n).otherwise(n + 0x800)
+    far = lambda n: F.decode(F.unhex(F.lpad(F.hex(place(n + 0x4E00)), 8, "0")), "UTF-32")
+
+    def code(words: Column, known: Column) -> Column:
+        at = F.transform(words, lambda t: F.array_position(known, t).cast("int"))
+        return F.array_join(F.transform(at, lambda n: F.when(n <= len(CODES), F.substring(F.lit(CODES), n, F.lit(1))).otherwise(far(n))), "")
+
+    pair = F.array(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("known")))
+    return F.get(F.transform(pair, lambda p: F.levenshtein(code(p["a"], p["known"]), code(p["b"], p["known"]))), F.lit(0))
+
+
+def edit_operations(reference: Column | str, hypothesis: Column | str) -> Column:
+    """Struct of substitutions, deletions and insertions of the alignment that prefers a match, then substitution, deletion, insertion. Null counts as empty.
+
+    A fold over the anti-diagonals of the table of prefixes, whose cells depend on the two diagonals before and so are
+    made by one transform each, in the JVM. A cell is cost * 2^32 + substitutions; as cost, substitutions and the lengths give the
+    other two counts, nothing else is carried, and only three diagonals are held."""
+    one, low = F.lit(1 << 32), lambda cell: cell % (1 << 32)
+    none = F.array().cast("array<string>")
+
+    def aligned(pair: Column) -> Column:
+        ref, hyp = pair["r"], pair["h"]
+        n, m = F.size(ref), F.size(hyp)
+
+        def diagonal(state: Column, k: Column) -> Column:
+            first = lambda back: F.greatest(F.lit(0), k - back - m)
+
+            def cell(i: Column) -> Column:
+                j = k - i
+                diag, up, left = F.get(state["b"], i - 1 - first(2)), F.get(state["a"], i - 1 - first(1)), F.get(state["a"], i - first(1))
+                cost = lambda x: F.floor(x / one)
+                edge = F.when(i == 0, j.cast("long") * one).when(j == 0, i.cast("long") * one)
+                same = edge.when(F.get(ref, i - 1).eqNullSafe(F.get(hyp, j - 1)), diag)
+                return same.when(cost(diag) <= F.least(cost(up), cost(left)), diag + one + 1).when(cost(up) <= cost(left), up + one).otherwise(left + one)
+
+            return F.struct(F.transform(F.sequence(first(0), F.least(n, k)), cell).alias("a"), state["a"].alias("b"))
+
+        start = F.struct(F.array(F.lit(0).cast("long")).alias("a"), F.array().cast("array<bigint>").alias("b"))
+        last = F.aggregate(F.when(n + m > 0, F.sequence(F.lit(1), n + m)).otherwise(F.array().cast("array<int>")), start, diagonal, lambda s: F.get(s["a"], F.lit(0)))
+        return F.struct(last.alias("cell"), (n - m).alias("longer"))
+
+    def counts(x: Column) -> Column:
+        subs = low(x["cell"])
+        inserted = (F.floor(x["cell"] / one) - subs - x["longer"]) / 2
+        return F.struct(subs.cast("int").alias("substitutions"), (inserted + x["longer"]).cast("int").alias("deletions"), inserted.cast("int").alias("insertions"))
 
-    def code(words: Column) -> Column:
-        return F.array_join(F.transform(words, lambda t: F.decode(F.unhex(F.lpad(F.hex(place(F.array_position(known, t) + 0x4E00)), 8, "0")), "UTF-32")), "")
-
-    return F.levenshtein(code(a), code(b))
-
-
-@pandas_udf(StructType([StructField(k, IntegerType()) for k in ("substitutions", "deletions", "insertions")]))
-def edit_operations(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    """Substitutions, deletions and insertions of the alignment that prefers a match, then substitution, deletion, insertion.
-
-    A forward table of (cost, s, d, i), one row kept at a time."""
-
-    def one(ref, hyp):
-        ref = [] if ref is None else list(ref)
-        hyp = [] if hyp is None else list(hyp)
-        row = [(j, 0, 0, j) for j in range(len(hyp) + 1)]
-        for i, r in enumerate(ref, 1):
-            before, row = row, [(i, 0, i, 0)]
-            for j, h in enumerate(hyp, 1):
-                diag, up, left = before[j - 1], before[j], row[j - 1]
-                if r == h:
-                    row.append(diag)
-                    continue
-                cost = 1 + min(diag[0], up[0], left[0])
-                if cost == diag[0] + 1:
-                    row.append((cost, diag[1] + 1, diag[2], diag[3]))
-                elif cost == up[0] + 1:
-                    row.append((cost, up[1], up[2] + 1, up[3]))
-                else:
-                    row.append((cost, left[1], left[2], left[3] + 1))
-        return row[-1][1:]
-
-    return pd.DataFrame([one(r, h) for r, h in zip(reference, hypothesis, strict=True)], columns=["substitutions", "deletions", "insertions"])
+    as_column = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, none)
+    # bound to names by transforms over one element, so that nothing is computed again for every cell
+    pair = F.array(F.struct(as_column(reference).alias("r"), as_column(hypothesis).alias("h")))
+    return F.get(F.transform(F.transform(pair, aligned), counts), F.lit(0))
 
 
 #: How an edit is put, by the sequence matcher's name for it, and what stands where there is none.

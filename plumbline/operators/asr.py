@@ -42,15 +42,40 @@ def class_gap(rows: DataFrame, threshold: float = 0.05) -> DataFrame:
 
 
 def tertile_bins(rows: DataFrame) -> DataFrame:
-    """Adds bin: zero, or low, middle, high by the tertiles of a system's positive rates, right-closed."""
+    """Adds bin: zero, or low, middle, high by the tertiles of a system's positive rates, right-closed. A system without errors has zero only."""
     edges = rows.where("errors > 0").groupBy("system").agg(F.percentile("wer", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("edges"))
     bins = F.when(F.col("errors") == 0, "zero").when(F.col("wer") <= F.col("edges")[0], "low").when(F.col("wer") <= F.col("edges")[1], "middle").otherwise("high")
-    return rows.join(F.broadcast(edges), "system").withColumn("bin", bins).drop("edges")
+    return rows.join(F.broadcast(edges), "system", "left").withColumn("bin", bins).drop("edges")
 
 
-def decoding_audit(rows: DataFrame, compressed: float = 2.4, longer: float = 1.5) -> DataFrame:
-    """By system: loops, strongly compressible outputs, outputs much longer than the reference, quantiles of the length ratio."""
+def decoding_facts(rows: DataFrame, compressed: float | None = 2.4, longer: float = 1.5, cap: int | None = None, text_: str = "hyp", operations: str | None = None) -> DataFrame:
+    """rows (system, gold, hyp, n_ref, n_hyp) as (system, n_ref, n_hyp, insertions, loop, compressible, flagged, long, latin, empty, capped, ratio).
+
+    A row is flagged for a loop or, unless compressed is None, for a text that zlib makes more than that many times smaller. capped: as many
+    tokens as cap, or one less; false without a cap. operations names a column of edit_operations that is there already."""
+    joined = F.array_join(text_, " ")
+    loop = text.has_repetition_loop(F.col(text_))
+    compressible = text.compression_ratio(joined) > compressed if compressed is not None else F.lit(False)
+    made = rows.withColumn("e_", F.col(operations) if operations else text.edit_operations("gold", text_)).withColumn("loop", loop).withColumn("compressible", compressible)
     ratio = F.col("n_hyp") / F.greatest("n_ref", F.lit(1))
-    flagged = rows.select("system", text.has_repetition_loop(F.col("hyp")).alias("loop"), text.compression_ratio(F.array_join("hyp", " ")).alias("compression"), ratio.alias("ratio"))
-    quantiles = [F.round(F.percentile("ratio", q), 9).alias(f"ratio_p{round(100 * q)}") for q in (0.5, 0.9, 0.99)]
-    return flagged.groupBy("system").agg(F.count("*").alias("n"), F.count_if("loop").alias("loops"), F.count_if(F.col("compression") > compressed).alias("compressible"), F.count_if(F.col("ratio") > longer).alias("long"), *quantiles)
+    return made.select(
+        "system", "n_ref", "n_hyp", F.col("e_.insertions").alias("insertions"), "loop", "compressible", (F.col("loop") | F.col("compressible")).alias("flagged"),
+        (F.col("n_hyp") > longer * F.col("n_ref")).alias("long"), joined.rlike("[A-Za-z]").alias("latin"), (F.col("n_hyp") == 0).alias("empty"),
+        (F.col("n_hyp") >= cap - 1 if cap is not None else F.lit(False)).alias("capped"), ratio.alias("ratio"),
+    )
+
+
+def decoding_audit(facts: DataFrame, defect: float = 0.01, digits: int = 9) -> DataFrame:
+    """decoding_facts() by system: flags, insertion rates of all and of unflagged rows, the share of insertions that flagged rows hold, quantiles of the length ratio, and
+    truncation_defect, which is a share of at least defect of the rows at the cap."""
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), digits)
+    clean = F.when(~F.col("flagged"), F.col("insertions")), F.when(~F.col("flagged"), F.col("n_ref"))
+    inserted = F.sum("insertions")
+    quantiles = [F.round(F.percentile("ratio", q), digits).alias(f"ratio_p{round(100 * q)}") for q in (0.5, 0.9, 0.99, 1.0)]
+    return facts.groupBy("system").agg(
+        F.count("*").alias("n"), *(F.count_if(c).alias(name) for c, name in (("loop", "loops"), ("compressible", "compressible"), ("flagged", "flagged"), ("long", "long"), ("latin", "latin"), ("empty", "empty"), ("capped", "capped"))),
+        share(inserted, F.sum("n_ref")).alias("insertion_rate"), share(F.sum(clean[0]), F.sum(clean[1])).alias("unflagged_insertion_rate"),
+        share(F.sum(F.when(F.col("flagged"), F.col("insertions")).otherwise(0)), F.greatest(inserted, F.lit(1))).alias("flagged_insertion_share"),
+        *quantiles, (F.count_if("capped") >= defect * F.count("*")).alias("truncation_defect"),
+    )
+

@@ -284,7 +284,7 @@ def printed_numbers(spark, d):
 # Transcripts.
 
 
-@register("edit_ops")
+@register("edit_ops", f"WITH RECURSIVE {v.OPS} SELECT utterance_id, system, CAST(substitutions AS INTEGER) AS substitutions, CAST(deletions AS INTEGER) AS deletions, CAST(insertions AS INTEGER) AS insertions FROM ops")
 def edit_ops(spark, d):
     rows = v.hypotheses(spark, d)
     return rows.select("utterance_id", "system", text.edit_operations("gold", "hyp").alias("e")).select("utterance_id", "system", "e.*")
@@ -320,7 +320,7 @@ def cer_class_gap(spark, d):
     return asr.class_gap(v.char_errors(spark, d).withColumnsRenamed({"char_errors": "errors", "n_chars": "n_ref"}))
 
 
-@register("operation_rates")
+@register("operation_rates", f"WITH RECURSIVE {v.OPS} SELECT system, " + ", ".join(f"round(sum({k}) / sum(n), 9) AS {k}" for k in ("substitutions", "deletions", "insertions")) + " FROM ops GROUP BY system")
 def operation_rates(spark, d):
     """Substitutions, deletions and insertions for each system over its reference words."""
     e = v.hypotheses(spark, d).select("system", F.size("gold").alias("n"), text.edit_operations("gold", "hyp").alias("e"))
@@ -337,9 +337,32 @@ def class_gap(spark, d):
     return asr.class_gap(v.asr_errors(spark, d))
 
 
+#: Words that a decoder may give at most in the audits; a row at it, or one short of it, is capped.
+CAP = 24
+
+
 @register("decoding_audit")
 def decoding_audit(spark, d):
-    return asr.decoding_audit(v.asr_errors(spark, d))
+    """By system, rows flagged for loops or strong compression, what insertions they hold, caps and the truncation rule."""
+    return asr.decoding_audit(asr.decoding_facts(v.asr_errors(spark, d), cap=CAP))
+
+
+_DEC = f"dec AS (SELECT system, n AS n_ref, m AS n_hyp, insertions, list_has_any([true], [{v.LOOP.replace('len(w)', 'len(hyp)').replace('w[', 'hyp[')}]) AS flagged, hyp, m / CAST(greatest(n, 1) AS DOUBLE) AS ratio FROM ops)"
+_SHARE = "round(coalesce({0} / CAST(nullif({1}, 0) AS DOUBLE), 0), 9)"
+
+
+@register(
+    "decoding_loops",
+    f"WITH RECURSIVE {v.OPS}, {_DEC} SELECT system, count(*) AS n, count(*) FILTER (WHERE flagged) AS loops, CAST(0 AS BIGINT) AS compressible, count(*) FILTER (WHERE flagged) AS flagged, count(*) FILTER (WHERE n_hyp > 1.5 * n_ref) AS long, "
+    f"count(*) FILTER (WHERE regexp_matches(array_to_string(hyp, ' '), '[A-Za-z]')) AS latin, count(*) FILTER (WHERE n_hyp = 0) AS empty, count(*) FILTER (WHERE n_hyp >= {CAP - 1}) AS capped, "
+    f"{_SHARE.format('sum(insertions)', 'sum(n_ref)')} AS insertion_rate, {_SHARE.format('sum(insertions) FILTER (WHERE NOT flagged)', 'sum(n_ref) FILTER (WHERE NOT flagged)')} AS unflagged_insertion_rate, "
+    f"{_SHARE.format('coalesce(sum(insertions) FILTER (WHERE flagged), 0)', 'greatest(sum(insertions), 1)')} AS flagged_insertion_share, "
+    + ", ".join(f"round(quantile_cont(ratio, {q}), 9) AS ratio_p{round(100 * q)}" for q in (0.5, 0.9, 0.99, 1.0))
+    + f", count(*) FILTER (WHERE n_hyp >= {CAP - 1}) >= 0.01 * count(*) AS truncation_defect FROM dec GROUP BY system",
+)
+def decoding_loops(spark, d):
+    """The decoding audit by loops alone, which other engines can repeat."""
+    return asr.decoding_audit(asr.decoding_facts(v.asr_errors(spark, d), compressed=None, cap=CAP))
 
 
 @register("same_sample_rescore", f"WITH {v.ASR}, pick AS (SELECT utterance_id FROM (SELECT utterance_id, row_number() OVER (PARTITION BY speaker_id ORDER BY {v.bucket_sql('concat_ws(chr(124), 5, utterance_id)')}, utterance_id) AS k FROM sent) WHERE k <= 100) SELECT system, count(*) AS n, round(sum(errors) / sum(n_ref), 9) AS wer FROM asr SEMI JOIN pick USING (utterance_id) GROUP BY system")
@@ -351,7 +374,7 @@ def same_sample_rescore(spark, d):
 _WER = "errors / CAST(greatest(n_ref, 1) AS DOUBLE)"
 
 
-@register("wer_bins", f"WITH {v.ASR}, q AS (SELECT system, quantile_cont({_WER}, CAST(1 AS DOUBLE) / 3) AS e1, quantile_cont({_WER}, CAST(2 AS DOUBLE) / 3) AS e2 FROM asr WHERE errors > 0 GROUP BY system) SELECT system, CASE WHEN errors = 0 THEN 'zero' WHEN {_WER} <= e1 THEN 'low' WHEN {_WER} <= e2 THEN 'middle' ELSE 'high' END AS bin, count(*) AS n, round(avg(label), 9) AS positive_rate FROM asr JOIN q USING (system) GROUP BY ALL")
+@register("wer_bins", f"WITH {v.ASR}, q AS (SELECT system, quantile_cont({_WER}, CAST(1 AS DOUBLE) / 3) AS e1, quantile_cont({_WER}, CAST(2 AS DOUBLE) / 3) AS e2 FROM asr WHERE errors > 0 GROUP BY system) SELECT system, CASE WHEN errors = 0 THEN 'zero' WHEN {_WER} <= e1 THEN 'low' WHEN {_WER} <= e2 THEN 'middle' ELSE 'high' END AS bin, count(*) AS n, round(avg(label), 9) AS positive_rate FROM asr LEFT JOIN q USING (system) GROUP BY ALL")
 def wer_bins(spark, d):
     return asr.tertile_bins(asr.utterance_rates(v.asr_errors(spark, d))).groupBy("system", "bin").agg(F.count("*").alias("n"), F.round(F.avg("label"), 9).alias("positive_rate"))
 

@@ -41,7 +41,7 @@ def token_multiset_groups(spark, d):
     return v.recordings(spark, d).groupBy("token_key").agg(F.count("*").alias("n"), F.min("utterance_id").alias("first_id"), F.max("utterance_id").alias("last_id")).where("n > 1")
 
 
-_LOOP = " OR ".join(f"list_has_any([true], list_transform(range(1, greatest(len(w) - {3 * n} + 2, 1)), lambda s: w[s:s + {n - 1}] = w[s + {n}:s + {2 * n - 1}] AND w[s:s + {n - 1}] = w[s + {2 * n}:s + {3 * n - 1}]))" for n in range(1, 5))
+_LOOP = v.LOOP
 
 
 @register("repetition_loops", f"WITH x AS (SELECT conv_id, turn, list_filter(string_split(lower(coalesce(text, '')), ' '), lambda t: t <> '') AS w FROM conversations) SELECT conv_id, turn, {_LOOP} AS has_loop FROM x")

@@ -313,14 +313,14 @@ def set_operations(spark, d):
     return v.union_all([counted(a.intersect(b), "common"), counted(a.subtract(b), "only_left"), counted(a.union(b).distinct(), "either")])
 
 
-@register("multi_key_sort", "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) AS place FROM customer")
+@register("multi_key_sort", "SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment NULLS FIRST, c_acctbal DESC NULLS LAST, c_custkey) AS place FROM customer")
 def multi_key_sort(spark, d):
-    """A global order numbered without one task for all rows: ranges are sorted, then offset by the counts before them."""
+    """A global order numbered without one task for all rows: stretches of the order are sorted apart, then offset by the counts before them. Null segments come first, null balances last."""
     rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    within = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
-    sizes = rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    before = sizes.alias("x").join(F.broadcast(sizes).alias("y"), F.col("y.c_mktsegment") < F.col("x.c_mktsegment"), "left").groupBy("x.c_mktsegment").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(before), "c_mktsegment").select("c_custkey", (F.row_number().over(within) + F.col("before")).alias("place"))
+    last = F.lit(1 << 62)
+    stretch = F.struct("c_mktsegment", F.coalesce(F.floor(-F.col("c_acctbal") / 100).cast("long"), last).alias("balance"))
+    ranked = windows.numbered(rows, [], stretch, [F.asc_nulls_first("c_mktsegment"), F.desc_nulls_last("c_acctbal"), "c_custkey"])
+    return ranked.select("c_custkey", (F.col("rank_") + 1).alias("place"))
 
 
 @register("fallback_chain", "SELECT conv_id, turn, coalesce(nullif(trim(role), ''), nullif(text, ''), '') AS first_of FROM conversations")

@@ -131,6 +131,23 @@ def char_errors(spark: SparkSession, d: str) -> DataFrame:
     rows = hypotheses(spark, d).withColumn("x", chars("gold")).withColumn("y", chars("hyp"))
     return rows.select("utterance_id", "speaker_id", "label", "system", F.size("x").cast("long").alias("n_chars"), text.coded_distance(F.col("x"), F.col("y")).cast("long").alias("char_errors"))
 
+#: Whether the list w holds one to four words three times back to back.
+LOOP = " OR ".join(f"list_has_any([true], list_transform(range(1, greatest(len(w) - {3 * n} + 2, 1)), lambda s: w[s:s + {n - 1}] = w[s + {n}:s + {2 * n - 1}] AND w[s:s + {n - 1}] = w[s + {2 * n}:s + {3 * n - 1}]))" for n in range(1, 5))
+
+#: Cells of the table of edit operations by anti-diagonals, as structs: cost, substitutions, deletions, insertions.
+_CELL = "CAST({{'c': {0}, 's': {1}, 'd': {2}, 'x': {3}}} AS STRUCT(c BIGINT, s BIGINT, d BIGINT, x BIGINT))"
+_DIAG, _UP, _LEFT = "b[i - greatest(0, k - 1 - m)]", "a[i - greatest(0, k - m)]", "a[i - greatest(0, k - m) + 1]"
+OPS = (
+    HYP
+    + f""", ed(utterance_id, system, gold, hyp, n, m, k, a, b) AS (SELECT utterance_id, system, gold, hyp, len(gold), len(hyp), 0, [{_CELL.format(0, 0, 0, 0)}], CAST([] AS STRUCT(c BIGINT, s BIGINT, d BIGINT, x BIGINT)[]) FROM hyp
+UNION ALL SELECT utterance_id, system, gold, hyp, n, m, k + 1, list_transform(range(greatest(0, k + 1 - m), least(n, k + 1) + 1), lambda i: CASE
+WHEN i = 0 THEN {_CELL.format("k + 1", 0, 0, "k + 1")} WHEN k + 1 - i = 0 THEN {_CELL.format("i", 0, "i", 0)} WHEN gold[i] = hyp[k + 1 - i] THEN {_DIAG}
+WHEN {_DIAG}.c <= least({_UP}.c, {_LEFT}.c) THEN {_CELL.format(f"{_DIAG}.c + 1", f"{_DIAG}.s + 1", f"{_DIAG}.d", f"{_DIAG}.x")}
+WHEN {_UP}.c <= {_LEFT}.c THEN {_CELL.format(f"{_UP}.c + 1", f"{_UP}.s", f"{_UP}.d + 1", f"{_UP}.x")}
+ELSE {_CELL.format(f"{_LEFT}.c + 1", f"{_LEFT}.s", f"{_LEFT}.d", f"{_LEFT}.x + 1")} END), a FROM ed WHERE k < n + m),
+ops AS (SELECT utterance_id, system, n, m, hyp, a[1].s AS substitutions, a[1].d AS deletions, a[1].x AS insertions FROM ed WHERE k = n + m)"""
+)
+
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.windows import sessionize

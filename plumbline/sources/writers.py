@@ -73,3 +73,36 @@ def run_record(spark: SparkSession, seeds: dict, order: list[str], outputs: Data
 
     conf = {k: v for k, v in spark.sparkContext.getConf().getAll() if k.startswith("spark.sql")}
     return {"python": platform.python_version(), "spark": spark.version, "conf": conf, "seeds": seeds, "run_order": order, "outputs": {r.path: r.sha256 for r in outputs.select("path", "sha256").toLocalIterator()}}
+
+
+_own_dir: list[str] = []
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """df as Parquet in the folder that spark.checkpoint.dir names, read again: what several jobs read is made once and survives lost executors.
+
+    Where that is unset and the session is one process, as in tests, a temporary folder; on a cluster, an error."""
+    import re
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="plumbline-"))
+        top = _own_dir[0]
+    path = f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes what kept() wrote, once no later plan reads it."""
+    for df in frames:
+        fs, p = _files(df.sparkSession, df._kept_path)
+        fs.delete(p, True)

@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from plumbline.plans import evaluation, features, registry, relational  # noqa: F401
+from plumbline.plans import evaluation, features, inference, registry, relational  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"lexical_baseline", "nuisance_classifier", "mlp_heads"}
+SLOW = {"lexical_baseline", "nuisance_classifier", "mlp_heads", "permutation_refit"}
 
 
 @pytest.fixture(scope="module")
