@@ -175,17 +175,3 @@ def described_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame
         return told or _NO_EDIT, ", ".join(k for k, on in flags.items() if on) or "substitution_only"
 
     return pd.DataFrame(map(one, zip(reference, hypothesis, strict=True)), columns=["edits", "signals"])
-
-
-def canonicalize(text: Column, characters: dict[str, str], sequences: dict[str, str]) -> Column:
-    """Sequences, longest first, then single characters replaced, then the normal form; '' for null."""
-    out = F.coalesce(text, F.lit(""))
-    for s in sorted(sequences, key=lambda s: (-len(s), s)):
-        out = F.replace(out, F.lit(s), F.lit(sequences[s]))
-    single = {k: v for k, v in characters.items() if len(v) == 1}
-    if single:
-        out = F.translate(out, "".join(single), "".join(single.values()))
-    for k, v in characters.items():
-        if len(v) != 1:
-            out = F.replace(out, F.lit(k), F.lit(v))
-    return normalize(out)

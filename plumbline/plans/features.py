@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import numeric, text
+from ..functions import canonical, numeric, text
 from ..operators import metrics, ml, vectors
 from . import evaluation as ev
 from . import views as v
@@ -57,12 +57,29 @@ def compression_flags(spark, d):
 
 
 #: A small example map; callers pass their own.
-CHARACTERS, SEQUENCES = {"é": "e", "è": "e", "ê": "e", "ß": "ss", "ñ": "n"}, {"qu": "k", "ue": "u"}
+#: Marked letters by rule, and sequences of two and three letters, longest first.
+MAPPING = canonical.latin_map() | {"qu": "k", "que": "ke", "ung": "ing"}
 
 
 @register("canonicalize_text")
 def canonicalize_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(text.canonicalize(F.col("text"), CHARACTERS, SEQUENCES)).alias("canonical_md5"))
+    """The compatibility form, the map and the frozen normal form of whole texts; DuckDB has no such form."""
+    return table(spark, d, "documents").select("doc_id", F.md5(canonical.canonical(F.col("text"), MAPPING)).alias("canonical_md5"))
+
+
+_MAP = "MAP {" + ", ".join(f"'{k}': '{x}'" for k, x in sorted(MAPPING.items())) + "}"
+_KEYS = canonical.pattern_of(list(MAPPING))
+
+
+@register(
+    "replace_by_map",
+    f"WITH mp AS (SELECT {_MAP} AS m), x AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{_KEYS}') AS gaps, regexp_extract_all(coalesce(text, ''), '{_KEYS}') AS hits FROM documents) "
+    "SELECT doc_id, len(hits) AS n_replaced, md5(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(m[hits[i]], '')), '')) AS replaced_md5 FROM x CROSS JOIN mp",
+)
+def replace_by_map(spark, d):
+    """Whole texts with the longest key of the map replaced wherever one stands, and how many were."""
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", F.regexp_count(t, F.lit(_KEYS)).cast("long").alias("n_replaced"), F.md5(canonical.replaced(t, MAPPING)).alias("replaced_md5"))
 
 
 # Vectors.

@@ -7,7 +7,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from plumbline.functions import text
+from plumbline.functions import canonical, text
 
 
 def one(spark, value, f, kind="string"):
@@ -98,6 +98,36 @@ def test_distance_of_pairs_with_very_many_words(spark):
     assert wide.select(text.coded_distance(F.col("x"), F.col("y"))).first()[0] == 2
 
 
-def test_canonicalize(spark):
-    assert one(spark, "quéß", lambda c: text.canonicalize(c, {"é": "e", "ß": "ss"}, {"qu": "k"})) == "kess"
-    assert one(spark, None, lambda c: text.canonicalize(c, {}, {})) == ""
+MAP = {"é": "e", "ß": "ss", "qu": "k", "que": "ke", "quell": "", "a.b": "dot", "x": "y", "y": "x", "é!": "?"}
+
+
+def replaced_plainly(text, mapping):
+    out, i = [], 0
+    while i < len(text):
+        key = max((k for k in mapping if text.startswith(k, i)), key=len, default=None)
+        out.append(text[i] if key is None else mapping[key])
+        i += len(key or "x")
+    return "".join(out)
+
+
+def test_longest_key_first_in_one_pass(spark):
+    rng = random.Random(5)
+    parts = ["qu", "e", "ll", "é", "!", "a", ".", "b", "x", "y", "ß", " ", "\n", "🎉", "aXb"]
+    texts = ["", "quell", "quelque", "a.b axb", *("".join(rng.choice(parts) for _ in range(rng.randrange(20))) for _ in range(200))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for mapping in (MAP, {"x": "y", "y": "x"}, {}, canonical.latin_map()):
+        for r in df.select("t", canonical.replaced(F.col("t"), mapping).alias("r")).collect():
+            assert r.r == replaced_plainly(r.t, mapping)
+
+
+def test_canonical(spark):
+    assert one(spark, "quéß ﬁ", lambda c: canonical.canonical(c, MAP)) == "kess fi"
+    assert one(spark, None, lambda c: canonical.canonical(c, MAP)) == ""
+    assert one(spark, "plain", lambda c: canonical.is_altered(c, {"a": "a", "z": "s"}), ) is False
+    assert one(spark, "maze", lambda c: canonical.is_altered(c, {"a": "a", "z": "s"})) is True
+    assert len(canonical.latin_map()) > 200 and canonical.latin_map()["ě"] == "e"
+
+
+def test_map_from_a_file(spark, tmp_path):
+    (tmp_path / "map.json").write_text('{"char_replacements": {"U+00E9 é": "e", "U+200B z": null}, "unicode_replacements": {"qu": "k"}}')
+    assert canonical.read_map(spark, str(tmp_path / "map.json")) == {"é": "e", "\u200b": "", "qu": "k"}
