@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .quantiles import wide_quantiles
 
 
 def utterance_rates(errors: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def class_gap(rows: DataFrame, threshold: float = 0.05) -> DataFrame:
 
 def tertile_bins(rows: DataFrame) -> DataFrame:
     """Adds bin: zero, or low, middle, high by the tertiles of a system's positive rates, right-closed. A system without errors has zero only."""
-    edges = rows.where("errors > 0").groupBy("system").agg(F.percentile("wer", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("edges"))
+    edges = wide_quantiles(rows.where("errors > 0"), ["system"], "wer", {"e1_": 1 / 3, "e2_": 2 / 3}).select("system", F.array("e1_", "e2_").alias("edges"))
     bins = F.when(F.col("errors") == 0, "zero").when(F.col("wer") <= F.col("edges")[0], "low").when(F.col("wer") <= F.col("edges")[1], "middle").otherwise("high")
     return rows.join(F.broadcast(edges), "system", "left").withColumn("bin", bins).drop("edges")
 

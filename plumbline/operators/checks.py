@@ -63,3 +63,23 @@ def encoded_labels(df: DataFrame, column: str, positive: str, negative: str, out
     """1 and 0 for the two names; any other fails the job."""
     name = F.lower(F.trim(column))
     return df.withColumn(out, F.when(name == positive, 1).when(name == negative, 0).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(F.col(column), F.lit("null"))))).cast("int"))
+
+
+def published(values: DataFrame, registry: DataFrame) -> DataFrame:
+    """(key, expected, recomputed, ok): what a registry (key, expected, digits, tolerance) says against values (key, value).
+
+    A value counts as recomputed once it is rounded to digits (null: as it is); it may then differ by tolerance (null: not at all). A key without a value is not ok."""
+    met = registry.join(values.select(F.col("key").alias("of_"), F.col("value").cast("double").alias("value_")), F.col("key") == F.col("of_"), "left")
+    # a column can't be round()'s second argument: scaled, rounded and scaled back
+    scale = F.pow(F.lit(10.0), F.col("digits"))
+    rounded = F.when(F.col("digits").isNull(), F.col("value_")).otherwise(F.round(F.col("value_") * scale) / scale)
+    ok = F.coalesce(F.abs(rounded - F.col("expected")) <= F.coalesce("tolerance", F.lit(0.0)) + 1e-12, F.lit(False))
+    return met.select("key", "expected", rounded.alias("recomputed"), ok.alias("ok"))
+
+
+def assert_published(checked: DataFrame) -> DataFrame:
+    """checked, if all of published() is ok; else an error that names up to ten keys with both numbers."""
+    bad = checked.where("not ok").orderBy("key").limit(10).collect()
+    if bad:
+        raise GateError("published numbers are not reproduced: " + "; ".join(f"{r.key}: {r.expected}, recomputed {r.recomputed}" for r in bad))
+    return checked

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def terms(words):
     """An array of words, and of neighbours joined by a space."""
@@ -27,7 +29,8 @@ def tfidf(df: DataFrame, key: str, words: str) -> DataFrame:
 def train_only_encoder(df: DataFrame, training: str, numeric: list[str], categorical: list[str]) -> DataFrame:
     """One row of statistics made from rows whose training flag is set: medians, means and population deviations, and the levels of each categorical."""
     rows = df.where(F.col(training))
-    medians = rows.agg(*(F.percentile(c, 0.5).alias(f"{c}_median") for c in numeric))
+    long = rows.unpivot([], numeric, "feature_", "value_")  # one selection for all of them
+    medians = exact_quantiles(long, ["feature_"], "value_", [0.5]).agg(*(F.max(F.when(F.col("feature_") == c, F.col("value"))).alias(f"{c}_median") for c in numeric))
     filled = rows.crossJoin(F.broadcast(medians)).select(*categorical, *(F.coalesce(c, F.col(f"{c}_median")).alias(c) for c in numeric))
     stats = filled.agg(
         *(F.avg(c).alias(f"{c}_mean") for c in numeric), *(F.stddev_pop(c).alias(f"{c}_sd") for c in numeric), *(F.array_sort(F.collect_set(c)).alias(f"{c}_levels") for c in categorical)

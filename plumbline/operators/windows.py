@@ -8,16 +8,34 @@ from pyspark.sql import functions as F
 from ..functions.numeric import hash_bucket
 
 
-def sessionize(df: DataFrame, key: str, ts: str, gap_minutes: float, tie: str | None = None, out: str = "session_id") -> DataFrame:
+#: Minutes of a stretch of time within which a key's rows are ordered by one task.
+STRETCH = 7 * 24 * 60
+
+
+def _placed(df: DataFrame, keys: list[str], side: DataFrame) -> DataFrame:
+    """df joined with side on keys, null with null; side's own columns are added."""
+    renamed = side.withColumnsRenamed({k: f"{k}of_" for k in keys})
+    return df.join(renamed, [F.col(k).eqNullSafe(F.col(f"{k}of_")) for k in keys]).drop(*(f"{k}of_" for k in keys))
+
+
+def sessionize(df: DataFrame, key: str, ts: str, gap_minutes: float, tie: str | None = None, out: str = "session_id", stretch_minutes: int = STRETCH) -> DataFrame:
     """A new session where the gap to the key's previous row is longer than gap_minutes; ids are key_s0, key_s1 and so on.
 
-    Adds order_within_speaker, from 0. Rows of equal time are ordered by tie."""
-    w = Window.partitionBy(key).orderBy(ts, *([tie] if tie else []))
-    gap = F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(w)
-    opens = F.when(gap > int(gap_minutes * 60_000_000), 1).otherwise(0)
-    at = F.sum("opens_").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = df.withColumn("opens_", opens)
-    return marked.select(*df.columns, F.concat(F.col(key).cast("string"), F.lit("_s"), at.cast("string")).alias(out), (F.row_number().over(w) - 1).cast("long").alias("order_within_speaker"))
+    Adds order_within_speaker, from 0. Rows of equal time are ordered by tie. A segmented scan: each stretch of time of a key is scanned
+    by itself, and a second scan over stretches, one row each, carries the last time, sessions and rows on, so a key with most rows is many tasks."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    marked = df.withColumn("stretch_", F.floor(micros / (stretch_minutes * 60_000_000)))
+    w = Window.partitionBy(key, "stretch_").orderBy(ts, *([tie] if tie else []))
+    longer = lambda a, b: F.when(a - b > int(gap_minutes * 60_000_000), 1).otherwise(0)
+    inner = marked.withColumn("micros_", micros).withColumn("opens_", longer(F.col("micros_"), F.lag("micros_").over(w))).withColumn("at_", F.sum("opens_").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("row_", F.row_number().over(w))
+    of = inner.groupBy(key, "stretch_").agg(F.min("micros_").alias("first_"), F.max("micros_").alias("last_"), F.sum("opens_").alias("inside_"), F.count("*").alias("rows_"))
+    over = Window.partitionBy(key).orderBy("stretch_")
+    upto = over.rowsBetween(Window.unboundedPreceding, -1)
+    opened = of.withColumn("joint_", longer(F.col("first_"), F.lag("last_").over(over)))
+    carried = opened.select(key, "stretch_", (F.coalesce(F.sum(F.col("inside_") + F.col("joint_")).over(upto), F.lit(0)) + F.col("joint_")).alias("sessions_"), F.coalesce(F.sum("rows_").over(upto), F.lit(0)).alias("before_"))
+    joined = _placed(inner, [key, "stretch_"], carried)
+    number = (F.col("sessions_") + F.col("at_")).cast("string")
+    return joined.select(*df.columns, F.concat(F.col(key).cast("string"), F.lit("_s"), number).alias(out), (F.col("before_") + F.col("row_") - 1).cast("long").alias("order_within_speaker"))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -26,10 +44,16 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataF
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row_")).select(*keys, *(F.col(f"row_.{c}").alias(c) for c in rest))
 
 
-def label_switches(df: DataFrame, key: str, order: list[str], label: str) -> DataFrame:
-    """By key: rows and changes of the label from one row to the next."""
-    before = F.lag(label).over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("before_", before).groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("before_").isNotNull() & (F.col("before_") != F.col(label))).alias("switches"))
+def label_switches(df: DataFrame, key: str, order: list[str], label: str, stretch: Column | None = None) -> DataFrame:
+    """By key: rows and changes of the label from one row to the next. stretch, a function that never falls along the order, cuts a key into parts that are
+    scanned apart; their first and last labels meet in a second scan."""
+    marked = df.withColumn("stretch_", F.lit(0) if stretch is None else stretch)
+    changed = lambda a, b: F.count_if(a.isNotNull() & (a != b))
+    before = F.lag(label).over(Window.partitionBy(key, "stretch_").orderBy(*order))
+    at = F.struct(*order)
+    of = marked.withColumn("before_", before).groupBy(key, "stretch_").agg(F.count("*").alias("n_"), changed(F.col("before_"), F.col(label)).alias("inside_"), F.min_by(label, at).alias("first_"), F.max_by(label, at).alias("last_"))
+    joint = of.withColumn("left_", F.lag("last_").over(Window.partitionBy(key).orderBy("stretch_")))
+    return joint.groupBy(key).agg(F.sum("n_").alias("n"), (F.sum("inside_") + changed(F.col("left_"), F.col("first_"))).alias("switches"))
 
 
 #: Hashes below 2**32 that share a bucket of numbered().

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import asr, joins, metrics, resampling, selection, splits, windows
+from ..sources.writers import kept
 from . import views as v
 from .registry import register
 from .views import table
@@ -376,7 +377,8 @@ _WER = "errors / CAST(greatest(n_ref, 1) AS DOUBLE)"
 
 @register("wer_bins", f"WITH {v.ASR}, q AS (SELECT system, quantile_cont({_WER}, CAST(1 AS DOUBLE) / 3) AS e1, quantile_cont({_WER}, CAST(2 AS DOUBLE) / 3) AS e2 FROM asr WHERE errors > 0 GROUP BY system) SELECT system, CASE WHEN errors = 0 THEN 'zero' WHEN {_WER} <= e1 THEN 'low' WHEN {_WER} <= e2 THEN 'middle' ELSE 'high' END AS bin, count(*) AS n, round(avg(label), 9) AS positive_rate FROM asr LEFT JOIN q USING (system) GROUP BY ALL")
 def wer_bins(spark, d):
-    return asr.tertile_bins(asr.utterance_rates(v.asr_errors(spark, d))).groupBy("system", "bin").agg(F.count("*").alias("n"), F.round(F.avg("label"), 9).alias("positive_rate"))
+    rows = kept(asr.utterance_rates(v.asr_errors(spark, d)).select("system", "label", "errors", "wer"), "rates")
+    return asr.tertile_bins(rows).groupBy("system", "bin").agg(F.count("*").alias("n"), F.round(F.avg("label"), 9).alias("positive_rate"))
 
 
 @register("speaker_table", f"WITH {v.ASR} SELECT speaker_id, round(sum(errors) FILTER (WHERE system = 'asr_a') / sum(n_ref) FILTER (WHERE system = 'asr_a'), 9) AS asr_a, round(sum(errors) FILTER (WHERE system = 'asr_b') / sum(n_ref) FILTER (WHERE system = 'asr_b'), 9) AS asr_b FROM asr GROUP BY speaker_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import canonical, numeric, text
-from ..operators import metrics, ml, vectors
+from ..operators import metrics, ml, quantiles, vectors
 from . import evaluation as ev
 from . import views as v
 from .registry import register
@@ -128,7 +128,9 @@ def db_levels(spark, d):
     stats = numeric.signal_stats(F.col("embedding"))
     x = table(spark, d, "embeddings").select(numeric.decibels(stats["leading_rms"], stats["full_rms"]).alias("db"))
     share = lambda t: F.round(F.avg((F.col("db") > t).cast("double")), 6)
-    return x.agg(F.count("*").alias("n"), F.round(F.percentile("db", 0.5), 6).alias("median"), F.round(F.percentile("db", 0.95), 6).alias("p95"), share(-10).alias("above_10"), share(-20).alias("above_20"))
+    ranks = {"median": 0.5, "p95": 0.95}
+    found = quantiles.wide_quantiles(x, [], "db", ranks).select(*(F.round(k, 6).alias(k) for k in ranks))
+    return x.agg(F.count("*").alias("n"), share(-10).alias("above_10"), share(-20).alias("above_20")).crossJoin(F.broadcast(found))
 
 
 # Models.

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import checks, joins, windows
+from ..operators import checks, joins, quantiles, windows
 from . import views as v
 from .registry import register
 from .views import table
@@ -84,7 +84,7 @@ def label_map(spark, d):
 @register("impute_median", "WITH x AS (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events) SELECT event_id, round(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM x)), 6) AS value FROM x")
 def impute_median(spark, d):
     x = table(spark, d, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
-    median = x.agg(F.percentile("value", 0.5).alias("median"))
+    median = quantiles.wide_quantiles(x, [], "value", {"median": 0.5})
     return x.crossJoin(F.broadcast(median)).select("event_id", F.round(F.coalesce("value", "median"), 6).alias("value"))
 
 
@@ -201,9 +201,12 @@ def label_balance(spark, d):
 
 @register("duration_profile", "SELECT lang, CAST(min(n_chars) AS DOUBLE) AS least, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.05), 6) AS p05, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.95), 6) AS p95, CAST(max(n_chars) AS DOUBLE) AS most, CAST(sum(n_chars) AS BIGINT) AS total FROM documents GROUP BY lang")
 def duration_profile(spark, d):
-    q = lambda p: F.round(F.percentile("n_chars", p), 6)
+    rows = table(spark, d, "documents").select("lang", "n_chars")
     x = F.col("n_chars").cast("double")
-    return table(spark, d, "documents").groupBy("lang").agg(F.min(x).alias("least"), q(0.05).alias("p05"), q(0.5).alias("median"), q(0.95).alias("p95"), F.max(x).alias("most"), F.sum("n_chars").alias("total"))
+    ranks = {"p05": 0.05, "median": 0.5, "p95": 0.95}
+    found = quantiles.wide_quantiles(rows, ["lang"], "n_chars", ranks).select(F.col("lang").alias("of_"), *(F.round(k, 6).alias(k) for k in ranks))
+    whole = rows.groupBy("lang").agg(F.min(x).alias("least"), F.max(x).alias("most"), F.sum("n_chars").alias("total"))
+    return whole.join(F.broadcast(found), F.col("lang").eqNullSafe(F.col("of_")), "left").drop("of_")
 
 
 @register("feature_label_crosstab", " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, count(*) FILTER (WHERE l_quantity <= 25) AS negative, count(*) FILTER (WHERE l_quantity > 25) AS positive, round(avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END), 4) AS positive_rate FROM lineitem GROUP BY {c}" for c in ("l_returnflag", "l_linestatus")))
@@ -257,7 +260,8 @@ def session_span(spark, d):
 
 @register("label_switches", f"WITH {v.SESS}, x AS (SELECT speaker_id, label, lag(label) OVER (PARTITION BY speaker_id ORDER BY created_at, event_id) AS before FROM sess) SELECT speaker_id, count(*) AS n, count(*) FILTER (WHERE before <> label) AS switches FROM x GROUP BY speaker_id")
 def label_switches(spark, d):
-    return windows.label_switches(v.sessions(spark, d), "speaker_id", ["created_at", "event_id"], "label")
+    rows = v.sessions(spark, d)
+    return windows.label_switches(rows, "speaker_id", ["created_at", "event_id"], "label", F.to_date("created_at"))
 
 
 @register("order_label_corr", f"WITH {v.SESS} SELECT speaker_id, round(corr(order_within_speaker, label), 6) AS r FROM sess GROUP BY speaker_id HAVING min(label) <> max(label)")
