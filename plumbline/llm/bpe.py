@@ -25,6 +25,8 @@ from .common import WHITE, hold, map_texts
 WIDEST, SIDE_BY_SIDE = 256, 1 << 19
 #: Runs kept in a worker's cache, and runs of one text held at once.
 CACHED, HELD = 700_000, 400_000
+#: Characters of a run that stays in the cache after its slice of texts, so that CACHED bounds bytes too.
+KEPT = 64
 #: A run is a stretch that no match of the split pattern crosses: at most one space and what follows
 #: up to white space, or white space.
 RUNS = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -64,6 +66,7 @@ class SegmentTreeBPE:
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.cache: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def _lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id (and so the rank) that each pair merges into; negative where none. Negative sides have none."""
@@ -193,12 +196,21 @@ class SegmentTreeBPE:
         ids = dict(zip(pieces, self.encode_pieces([p.encode() for p in pieces]), strict=True))
         for w, s in zip(missing, split, strict=True):
             cache[w] = ids[s[0]] if len(s) == 1 else b"".join(map(ids.__getitem__, s))
+        self.long += [w for w in missing if len(w) > KEPT]
         return cache
 
+    def forget(self, start: int = 0) -> None:
+        """Takes the long runs learnt since start out of the cache again."""
+        for w in self.long[start:]:
+            self.cache.pop(w, None)
+        del self.long[start:]
+
     def ids(self, text: str) -> Iterator[bytes]:
         """The ids of one text, in parts of bounded size."""
         for part in runs(text):
+            start = len(self.long)
             yield b"".join(map(self.learn(set(part)).__getitem__, part))
+            self.forget(start)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -222,7 +234,7 @@ def encode_documents(df: DataFrame, rank_file: bytes, pattern: str, key: str = "
     text has no tokens and the digests of nothing. Rows, repeated ones too, stay as they are; other
     columns are not carried. with_ids adds the ids as binary (little-endian unsigned 32-bit).
     Narrow: no shuffle. The rank file (under 1 MB) is broadcast; a worker keeps one encoder and a
-    cache of at most CACHED runs plus those of one slice of texts.
+    cache of at most CACHED runs of KEPT characters at most, plus those of one slice of texts.
     """
     shipped = df.sparkSession.sparkContext.broadcast(rank_file)
 
@@ -247,6 +259,7 @@ def encode_documents(df: DataFrame, rank_file: bytes, pattern: str, key: str = "
                 enc.append(a.hexdigest())
                 dec.append(b.hexdigest())
                 raw.append(b"".join(whole))
+            bpe.forget()
             return [n, enc, dec, raw] if with_ids else [n, enc, dec]
 
         return run

@@ -22,6 +22,8 @@ from .common import hold, map_texts, slices
 
 #: Rows of the broadcast table (about 20 bytes each); runs a task's summary keeps; runs in a worker's cache.
 FREQUENT, SUMMARY, CACHED = 1 << 16, 1 << 12, 900_000
+#: Characters of a run that stays in the cache after its slice of texts, so that CACHED bounds bytes too.
+KEPT = 64
 
 _made: dict = {}
 
@@ -35,7 +37,7 @@ def _tokenizer(content: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     key = hash(content)
     if _made.get("key") != key:
-        _made.update(key=key, tokenizer=Tokenizer.from_str(content), cache={})
+        _made.update(key=key, tokenizer=Tokenizer.from_str(content), cache={}, long=[])
     return _made["tokenizer"]
 
 
@@ -103,7 +105,7 @@ def count_tokens(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
         tok = _tokenizer(shipped.value)
         if _made.get("tier_one") != tier_name:
             names, packed = tier_one.value
-            _made.update(tier_one=tier_name, frequent=dict(zip(names, np.frombuffer(packed, np.uint16).tolist(), strict=True)), cache={})
+            _made.update(tier_one=tier_name, frequent=dict(zip(names, np.frombuffer(packed, np.uint16).tolist(), strict=True)), cache={}, long=[])
         frequent = _made["frequent"]
 
         def learnt(wanted):
@@ -116,8 +118,22 @@ def count_tokens(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
             missing = [w for w in wanted if w not in cache]
             for w, e in zip(missing, tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
                 cache[w] = len(e)
+            _made["long"] += [w for w in missing if len(w) > KEPT]
             return cache
 
+        def forget(start=0):
+            """Takes the long runs learnt since start out of the cache again."""
+            for w in _made["long"][start:]:
+                _made["cache"].pop(w, None)
+            del _made["long"][start:]
+
+        def in_parts(p):
+            """Tokens of a very long segment, part by part."""
+            for part in runs(p):
+                start = len(_made["long"])
+                yield sum(map(learnt(set(part)).__getitem__, part))
+                forget(start)
+
         def run(texts):
             cut = []
             for t in texts:
@@ -130,7 +146,8 @@ def count_tokens(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
                     n.append(c[0] + sum(sum(map(known.__getitem__, part)) for part in c[1]))
                 else:
                     parts = _segments(t, special)
-                    n.append(len(parts) - 1 + sum(sum(map(learnt(set(part)).__getitem__, part)) for p in parts for part in runs(p)))
+                    n.append(len(parts) - 1 + sum(k for p in parts for k in in_parts(p)))
+            forget()
             return [[len(t.encode()) for t in texts], n, [x > limit for x in n]]
 
         return run

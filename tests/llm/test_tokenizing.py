@@ -63,6 +63,25 @@ def test_caches_stay_bounded(monkeypatch):
     assert len(b.cache) <= 80
 
 
+def test_long_runs_leave_the_caches(spark):
+    rng = random.Random(9)
+    b, enc = bpe.SegmentTreeBPE(RANKS, public_tokenizers.PATTERN), encoding()
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(3000)) for _ in range(30))
+    assert np.frombuffer(b"".join(b.ids(long)), "<u4").tolist() == enc.encode_ordinary(long)
+    assert not b.long and sum(map(len, b.cache)) <= bpe.KEPT * len(b.cache) and max(map(len, b.cache), default=0) <= bpe.KEPT
+    # texts beyond what is cut at once, whose parts go through the caches one by one, beside short ones of the same slice
+    words = [("w%d" % (i % 977)) + ("z" * 90 + str(i) if i % 5000 == 0 else "") for i in range(450_000)]
+    texts = ["short " + words[0], " ".join(words), "again " + " ".join(words[:3]), words[5000] + " " + words[5000]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r for r in bpe.encode_documents(df, RANKS, public_tokenizers.PATTERN).collect()}
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, BYTE_JSON).collect()}
+    assert len(texts[1]) > 2_000_000
+    for i, t in enumerate(texts):
+        ids = np.array(enc.encode_ordinary(t), "<u4")
+        assert got[i].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest() and got[i].n_tokens == len(ids)
+        assert counts[i] == len(Tokenizer.from_str(BYTE_JSON).encode(t, add_special_tokens=False).ids)
+
+
 def test_counts_equal_library(docs):
     tok = Tokenizer.from_str(BYTE_JSON)
     want = sorted((r.doc_id or -1, len((r.text or "").encode()), n := len(tok.encode(r.text or "", add_special_tokens=False).ids), n > 512) for r in docs.collect())
