@@ -84,9 +84,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 def nearest(pairs: DataFrame, times: int = TIMES) -> DataFrame:
     """(word, n_near, form, form_n): how many near words each has, and the most frequent of them (ties: the first in code-point order) where it is times as frequent."""
-    both = pairs.select(F.col("a").alias("word"), F.col("n_a").alias("n"), F.col("b").alias("other"), F.col("n_b").alias("m")).unionByName(
-        pairs.select(F.col("b").alias("word"), F.col("n_b").alias("n"), F.col("a").alias("other"), F.col("n_a").alias("m"))
-    )
+    side = lambda x, y: F.struct(F.col(x).alias("word"), F.col(f"n_{x}").alias("n"), F.col(y).alias("other"), F.col(f"n_{y}").alias("m"))
+    both = pairs.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("x")).select("x.*")  # not a union, which would make the pairs twice
     best = F.min(F.struct((-F.col("m")).alias("m"), F.col("other").alias("other")))
     found = both.groupBy("word").agg(F.count("*").alias("n_near"), F.first("n").alias("n"), best.alias("best"))
     formed = -F.col("best.m") >= times * F.col("n")
