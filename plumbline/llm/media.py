@@ -146,33 +146,40 @@ def image_features(stored: bytes, tile: tuple[int, int] = TILE) -> tuple[np.ndar
     return pixels, npy(small), difference_hash(small)
 
 
-def text_media(df: DataFrame, key: str = "doc_id", text: str = "text", form: str = "pgm", with_media: bool = False) -> DataFrame:
+def form_of(payload: bytes) -> str:
+    """The format that a payload is stored in where both are used, by its checksum, so equal payloads go into one."""
+    return ("pgm", "bmp")[zlib.crc32(payload) & 1]
+
+
+def text_media(df: DataFrame, key: str = "doc_id", text: str = "text", form: str = "both", with_media: bool = False) -> DataFrame:
     """Each text as a stored image and what is read back from it.
 
-    Returns (key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature[,
-    media, tile]). The payload is the UTF-8 text with bytes 0 up to a positive multiple of WIDTH, so a null or
+    Returns (key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, form, tile[,
+    media]): tile is the NPY file of the resized image, which feature hashes. The payload is the UTF-8 text with bytes 0 up to a positive multiple of WIDTH, so a null or
     empty text is one row of zeros; the digests are of what the decoder gives back. Equal texts give equal values;
-    repeated rows stay; other columns are not carried; nothing is shuffled. form: pgm or bmp.
+    repeated rows stay; other columns are not carried; nothing is shuffled. form: pgm, bmp, or both, see form_of.
     """
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    names = {"n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "form": "string", "tile": "binary"}
+    names |= {"media": "binary"} if with_media else {}
 
     def work():
         hold("media")
 
         def run(texts):
-            cols = [[] for _ in range(9)]
+            cols = [[] for _ in names]
             for t in texts:
                 raw = t.encode()
                 payload = raw + b"\0" * ((-len(raw)) % WIDTH or WIDTH * (not raw))
-                stored = as_image(payload, form=form)
+                kind = form_of(payload) if form == "both" else form
+                stored = as_image(payload, form=kind)
                 pixels, tile, feature = image_features(stored)
                 back = pixels.tobytes()
-                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{feature}:{hashlib.sha256(tile).hexdigest()[:16]}", stored, tile)
-                for c, x in zip(cols, row if with_media else (*row[:7], None, None), strict=True):
+                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{feature}:{hashlib.sha256(tile).hexdigest()[:16]}", kind, tile, stored)
+                for c, x in zip(cols, row[: len(names)], strict=True):
                     c.append(x)
-            return cols if with_media else cols[:7]
+            return cols
 
         return run
 
-    fields = [("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string"), ("media", "binary"), ("tile", "binary")][: 9 if with_media else 7]
-    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    return map_texts(df, key, text, work, ", ".join(f"{a} {b}" for a, b in fields), [pa.field(a, kinds[b]) for a, b in fields]).withColumnRenamed("key", key)
+    return map_texts(df, key, text, work, ", ".join(f"{a} {b}" for a, b in names.items()), [pa.field(a, kinds[b]) for a, b in names.items()]).withColumnRenamed("key", key)

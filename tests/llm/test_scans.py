@@ -1,6 +1,7 @@
 """Secrets, pages, media and classifiers on small fixtures."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -125,7 +126,7 @@ def test_area_resize_equals_exact_means(monkeypatch):
     assert np.abs(media.area_resize(x, 8, 9) - want).max() < 1e-9
 
 
-@pytest.mark.parametrize("form", ["pgm", "bmp"])
+@pytest.mark.parametrize("form", ["pgm", "bmp", "both"])
 def test_media_round_trip(spark, form):
     rows = [(1, None), (2, ""), (3, "a" * 64), (4, "é" * 33), (4, "é" * 33), (None, "z" * 1_000_000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("feature", F.lit(1))
@@ -136,6 +137,10 @@ def test_media_round_trip(spark, form):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
         assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
         assert media.read_image(bytes(r.media)).tobytes() == payload
+        assert (bytes(r.media)[:2] == b"BM") == (r.form == "bmp") and r.form == (media.form_of(payload) if form == "both" else form)
+        tile = np.load(io.BytesIO(bytes(r.tile)))
+        assert tile.shape == media.TILE and r.feature == f"{media.difference_hash(tile)}:{hashlib.sha256(r.tile).hexdigest()[:16]}"
+    assert {media.form_of(str(i).encode()) for i in range(9)} == {"pgm", "bmp"}
 
 
 def labelled(spark, n=400):
