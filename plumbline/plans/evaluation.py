@@ -434,7 +434,7 @@ def manifest(spark, d):
     hashed = table(spark, d, "documents").select(F.col("doc_id").alias("utterance_id"), F.md5(F.coalesce("text", F.lit(""))).alias("file_hash"))
     rows = v.recordings(spark, d).join(hashed, "utterance_id")
     ambiguous = rows.groupBy("file_hash").agg(F.count_distinct("speaker_id").alias("k")).where("k > 1").select("file_hash")
-    return rows.join(ambiguous, "file_hash", "left_anti").withColumn("sentence_group_id", F.min("utterance_id").over(Window.partitionBy("token_key")))
+    return v.grouped(rows.join(ambiguous, "file_hash", "left_anti"), "token_key", "utterance_id", "sentence_group_id")
 
 
 @register("build_manifest", f"WITH {_MANIFEST} SELECT utterance_id, speaker_id, label, sentence_group_id, file_hash FROM man2")

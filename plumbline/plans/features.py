@@ -117,12 +117,31 @@ def _ms(e):
 _TAIL = "embedding[len(embedding) - 7:len(embedding)]"
 
 
-@register("signal_stats", f"SELECT vec_id, round(list_avg(list_transform(embedding, lambda x: CASE WHEN abs(x) >= 0.99 THEN 1.0 ELSE 0.0 END)), 8) AS clipping_fraction, round(list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 8) AS dc_offset, round({_ms('embedding[1:8]')}, 8) AS leading_rms, round({_ms(_TAIL)}, 8) AS trailing_rms, round({_ms('embedding')}, 8) AS full_rms FROM embeddings")
+def _p10(e):
+    s = f"list_sort(list_transform({e}, lambda x: abs(CAST(x AS DOUBLE))))"
+    at = f"(len({e}) - 1) * CAST(0.1 AS DOUBLE)"
+    low, high = (f"({s})[1 + CAST({f}({at}) AS INTEGER)]" for f in ("floor", "ceil"))
+    return f"({low} + ({high} - {low}) * ({at} - floor({at})))"
+
+
+@register("signal_stats", f"SELECT vec_id, round(list_avg(list_transform(embedding, lambda x: CASE WHEN abs(x) >= 0.99 THEN 1.0 ELSE 0.0 END)), 8) AS clipping_fraction, round(list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 8) AS dc_offset, round({_ms('embedding[1:8]')}, 8) AS leading_rms, round({_ms(_TAIL)}, 8) AS trailing_rms, round({_ms('embedding')}, 8) AS full_rms, round({_p10('embedding[1:8]')}, 8) AS leading_noise_floor, round({_p10(_TAIL)}, 8) AS trailing_noise_floor FROM embeddings")
 def signal_stats(spark, d):
     stats = numeric.signal_stats(F.col("embedding"))
     return table(spark, d, "embeddings").select("vec_id", *(F.round(c, 8).alias(k) for k, c in stats.items()))
 
 
+_WAVE = "list_sum(list_transform(range(0, len(e)), lambda i: e[i + 1] * {0}(2 * pi() * k * i / len(e))))"
+
+
+@register(
+    "spectral_centroid",
+    f"WITH x AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT vec_id, len(e) AS n, k, sqrt(pow({_WAVE.format('cos')}, 2) + pow({_WAVE.format('sin')}, 2)) AS m FROM (SELECT vec_id, e, unnest(range(0, len(e) // 2 + 1)) AS k FROM x)) "
+    "SELECT vec_id, round(sum(m * k * 16000 / n) / greatest(sum(m), 1e-9), 4) AS centroid FROM s GROUP BY vec_id",
+)
+def spectral_centroid(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(numeric.spectral_centroid()("embedding"), 4).alias("centroid"))
+
+
 @register("db_levels", f"WITH x AS (SELECT vec_id, 20 * log10(greatest({_ms('embedding[1:8]')}, 1e-12) / greatest({_ms('embedding')}, 1e-12)) AS db FROM embeddings) SELECT count(*) AS n, round(quantile_cont(db, 0.5), 6) AS median, round(quantile_cont(db, 0.95), 6) AS p95, round(avg(CASE WHEN db > -10 THEN 1.0 ELSE 0.0 END), 6) AS above_10, round(avg(CASE WHEN db > -20 THEN 1.0 ELSE 0.0 END), 6) AS above_20 FROM x")
 def db_levels(spark, d):
     stats = numeric.signal_stats(F.col("embedding"))

@@ -25,13 +25,13 @@ def recordings(spark: SparkSession, d: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-zà-ÿ0-9]+"), F.lit(0))
     rows = docs.join(labels, "doc_id").select(F.col("doc_id").alias("utterance_id"), F.col("source").alias("speaker_id"), F.col("quality").alias("label"), words.alias("words"))
     keyed = rows.select("utterance_id", "speaker_id", "label", F.md5(text.token_key(F.col("words"))).alias("token_key"), F.size("words").cast("long").alias("n_words"))
-    return keyed.withColumn("group_id", F.min("utterance_id").over(_by("token_key")))
+    return grouped(keyed, "token_key", "utterance_id", "group_id")
 
 
-def _by(*cols):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
+def grouped(rows: DataFrame, key: str, least: str, out: str) -> DataFrame:
+    """rows with the least value among those of the same key. An aggregate joined back, so the rows of a hot key can be split, which those of a window can't."""
+    of = rows.groupBy(key).agg(F.min(least).alias(out))
+    return rows.join(of, key).select(*rows.columns, out)
 
 
 REC = """rec0 AS (SELECT doc_id AS utterance_id, source AS speaker_id, quality AS label, regexp_extract_all(lower(coalesce(text, '')), '[a-zà-ÿ0-9]+') AS words FROM documents JOIN labels USING (doc_id)),
