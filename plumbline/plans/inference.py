@@ -39,9 +39,9 @@ def acquisition_rows(spark, d):
     return rows.select("utterance_id", F.col("group_id").alias("key"), "speaker_id", "label", "x"), len(numeric) + len(dummies)
 
 
-def content_rows(spark, d):
-    """(rows, width) as above, x being the shares of a text's words in BUCKETS buckets by hash."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-zà-ÿ0-9]+"), F.lit(0))
+def content_rows(spark, d, words=None):
+    """(rows, width) as above, x being the shares of a text's words (an array made from documents' columns) in BUCKETS buckets by hash."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-zà-ÿ0-9]+"), F.lit(0)) if words is None else words
     each = table(spark, d, "documents").select(F.col("doc_id").alias("utterance_id"), F.explode(words).alias("w")).select("utterance_id", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
     n = F.count("*")
     x = each.groupBy("utterance_id").agg(F.array(*((F.count_if(F.col("b") == i) / n) for i in range(BUCKETS))).alias("x"))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from plumbline.plans import auditing, evaluation, features, inference, registry, relational  # noqa: F401
+from plumbline.plans import auditing, evaluation, features, inference, registry, relational, transcripts  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"lexical_baseline", "nuisance_classifier", "mlp_heads", "permutation_refit"}
