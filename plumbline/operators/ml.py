@@ -26,6 +26,19 @@ def tfidf(df: DataFrame, key: str, words: str) -> DataFrame:
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def tfidf_vectors(df: DataFrame, terms: str, training) -> DataFrame:
+    """df with vector_: TF-IDF of the array of terms, of length one, over every term of the training rows; terms that these lack play no part.
+
+    The vocabulary is exact, no term is hashed into another's place; the driver holds it, as it holds a weight for each term in what is fitted on it."""
+    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    counted = CountVectorizer(inputCol=terms, outputCol="tf_", vocabSize=(1 << 31) - 1, minDF=1.0).fit(df.where(training)).transform(df)
+    idf = IDF(inputCol="tf_", outputCol="x_").fit(counted.where(training)).idf.toArray() + 1
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf_", outputCol="raw_").transform(counted)
+    return Normalizer(p=2.0, inputCol="raw_", outputCol="vector_").transform(scaled).drop("tf_", "raw_")
+
+
 def train_only_encoder(df: DataFrame, training: str, numeric: list[str], categorical: list[str]) -> DataFrame:
     """One row of statistics made from rows whose training flag is set: medians, means and population deviations, and the levels of each categorical."""
     rows = df.where(F.col(training))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, numeric, text
 from ..operators import metrics, ml, quantiles, vectors
+from ..sources.writers import kept
 from . import evaluation as ev
 from . import views as v
 from .registry import register
@@ -165,21 +166,13 @@ def tfidf(spark, d):
 
 @register("lexical_baseline")
 def lexical_baseline(spark, d):
-    """Out-of-fold metrics of a logistic regression on TF-IDF of words and word pairs (hashed to 2^16 places), its c of a grid by validation macro-F1."""
-    from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer
-    from pyspark.ml.linalg import Vectors
-
+    """Out-of-fold metrics of a logistic regression on TF-IDF of all words and word pairs of the training folds, its c of a grid by validation macro-F1."""
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     words = docs.select(F.col("doc_id").alias("utterance_id"), text.tokens(F.lower(F.coalesce("text", F.lit("")))).alias("words"))
-    counted = HashingTF(numFeatures=1 << 16, inputCol="terms", outputCol="tf").transform(words.select("utterance_id", ml.terms(F.col("words")).alias("terms"))).select("utterance_id", "tf")
-    rows = v.recordings(spark, d).select("utterance_id", "group_id", "label").join(ev.folds(spark, d), ["group_id", "label"]).join(counted, "utterance_id")
-
-    def weighted(data, k):
-        idf = IDF(inputCol="tf", outputCol="x").fit(data.where(F.col("outer_fold") != k)).idf.toArray() + 1
-        scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="raw").transform(data)
-        return Normalizer(p=2.0, inputCol="raw", outputCol="vector_").transform(scaled).drop("raw")
+    rows = v.recordings(spark, d).select("utterance_id", "group_id", "label").join(ev.folds(spark, d), ["group_id", "label"]).join(words.select("utterance_id", ml.terms(F.col("words")).alias("terms")), "utterance_id")
+    rows = kept(rows, "lexical")
 
-    scored = ml.logistic_folds(rows, "outer_fold", "label", weighted, list(range(5)), grid=(0.1, 1.0, 10.0))
+    scored = ml.logistic_folds(rows, "outer_fold", "label", lambda data, k: ml.tfidf_vectors(data, "terms", F.col("outer_fold") != k), list(range(5)), grid=(0.1, 1.0, 10.0))
     return metrics.scored(scored.withColumn("predicted", (F.col("prob") >= 0.5).cast("int")), ["outer_fold"], 6)
 
 

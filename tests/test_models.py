@@ -1,5 +1,8 @@
 """The models on small tables: they learn what is there, and nothing of the rows under test."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,3 +50,35 @@ def test_grid_takes_the_smallest_of_equals_and_sees_no_test_row(spark):
     got = ml.logistic_folds(df, "fold", "label", coded, list(range(5)), grid=(10.0, 0.1, 1.0)).collect()
     assert seen == list(range(5)) and len(got) == 200
     assert {r.c for r in got} == {0.1} and all((r.prob > 0.5) == r.label for r in got)
+
+
+def test_tfidf_vectors_hold_every_training_term(spark):
+    """Against weights worked out term by term, and a fit on them against one of the same loss by Newton steps."""
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(6)
+    docs = []
+    for i in range(60):
+        w = [f"w{k}" for k in rng.integers(0, 25, rng.integers(1, 12))] + ["yes" if i % 2 else "no"] * int(rng.integers(0, 3)) + (["onlytest"] if i % 5 == 0 else [])
+        docs.append((i, w, i % 5, i % 2))
+    df = spark.createDataFrame(docs, "id int, terms array<string>, fold int, label int")
+    got = {r.id: np.array(r.v) for r in ml.tfidf_vectors(df, "terms", F.col("fold") != 0).select("id", vector_to_array("vector_").alias("v")).collect()}
+    train = [d for d in docs if d[2] != 0]
+    seen = Counter(t for d in train for t in set(d[1]))
+    weight = {t: math.log((len(train) + 1) / (n + 1)) + 1 for t, n in seen.items()}
+    assert "onlytest" not in weight and len(got[0]) == len(weight)
+    plain = {}
+    for i, w, *_ in docs:
+        x = {t: k * weight[t] for t, k in Counter(w).items() if t in weight}
+        norm = math.sqrt(sum(v * v for v in x.values())) or 1.0
+        plain[i] = {t: v / norm for t, v in x.items()}
+        assert sorted(got[i][got[i] > 0].round(9)) == pytest.approx(sorted(round(v / norm, 9) for v in x.values()), abs=1e-8)
+    said = {r.id: r.prob for r in ml.logistic_folds(df, "fold", "label", lambda data, k: ml.tfidf_vectors(data, "terms", F.col("fold") != k), [0]).collect()}
+    names = sorted(weight)
+    x = np.array([[plain[i].get(t, 0.0) for t in names] + [1.0] for i, *_ in docs])
+    y, fit = np.array([d[3] for d in docs]), np.array([d[2] != 0 for d in docs])
+    w, ridge = np.zeros(len(names) + 1), np.r_[np.ones(len(names)), 0]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x[fit] @ w))
+        w -= np.linalg.solve((x[fit] * (p * (1 - p))[:, None]).T @ x[fit] + np.diag(ridge + 1e-12), x[fit].T @ (p - y[fit]) + ridge * w)
+    assert max(abs(said[i] - 1 / (1 + np.exp(-x[i] @ w))) for i in said) < 1e-3
