@@ -182,10 +182,12 @@ def label_conflicts(spark, d):
     return v.recordings(spark, d).groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"))
 
 
-@register("dup_members", f"WITH {FILES} SELECT file_hash, array_to_string(list_sort(list(doc_id)), ',') AS members FROM files GROUP BY file_hash HAVING count(*) > 1")
+@register("dup_members", f"WITH {FILES} SELECT file_hash, min(doc_id) OVER (PARTITION BY file_hash) AS representative, doc_id AS member, count(*) OVER (PARTITION BY file_hash) AS copies FROM files QUALIFY copies > 1")
 def dup_members(spark, d):
-    members = F.array_sort(F.collect_list("doc_id"))
-    return files(spark, d).groupBy("file_hash").agg(members.alias("m")).where(F.size("m") > 1).select("file_hash", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"))
+    """A row for each member of a hash that several files have, with the class's least member and size: a class of any size is no list in one row."""
+    rows = files(spark, d).select("file_hash", F.col("doc_id").alias("member"))
+    of = rows.groupBy("file_hash").agg(F.min("member").alias("representative"), F.count("*").alias("copies")).where("copies > 1")
+    return rows.join(of, "file_hash").select("file_hash", "representative", "member", "copies")
 
 
 @register("surplus_duplicates", f"WITH {FILES}, g AS (SELECT file_hash, count(*) AS n FROM files GROUP BY 1) SELECT n, count(*) AS hashes, CAST(sum(n - 1) AS BIGINT) AS surplus FROM g GROUP BY n")
