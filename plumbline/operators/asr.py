@@ -68,15 +68,17 @@ def decoding_facts(rows: DataFrame, compressed: float | None = 2.4, longer: floa
 
 def decoding_audit(facts: DataFrame, defect: float = 0.01, digits: int = 9) -> DataFrame:
     """decoding_facts() by system: flags, insertion rates of all and of unflagged rows, the share of insertions that flagged rows hold, quantiles of the length ratio, and
-    truncation_defect, which is a share of at least defect of the rows at the cap."""
+    truncation_defect, which is a share of at least defect of the rows at the cap. facts should be stored, as its ratios are read a few times."""
     share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), digits)
     clean = F.when(~F.col("flagged"), F.col("insertions")), F.when(~F.col("flagged"), F.col("n_ref"))
     inserted = F.sum("insertions")
-    quantiles = [F.round(F.percentile("ratio", q), digits).alias(f"ratio_p{round(100 * q)}") for q in (0.5, 0.9, 0.99, 1.0)]
-    return facts.groupBy("system").agg(
+    ranks = {f"ratio_p{round(100 * q)}": q for q in (0.5, 0.9, 0.99, 1.0)}
+    found = wide_quantiles(facts, ["system"], "ratio", ranks).select("system", *(F.round(k, digits).alias(k) for k in ranks))
+    out = facts.groupBy("system").agg(
         F.count("*").alias("n"), *(F.count_if(c).alias(name) for c, name in (("loop", "loops"), ("compressible", "compressible"), ("flagged", "flagged"), ("long", "long"), ("latin", "latin"), ("empty", "empty"), ("capped", "capped"))),
         share(inserted, F.sum("n_ref")).alias("insertion_rate"), share(F.sum(clean[0]), F.sum(clean[1])).alias("unflagged_insertion_rate"),
         share(F.sum(F.when(F.col("flagged"), F.col("insertions")).otherwise(0)), F.greatest(inserted, F.lit(1))).alias("flagged_insertion_share"),
-        *quantiles, (F.count_if("capped") >= defect * F.count("*")).alias("truncation_defect"),
+        (F.count_if("capped") >= defect * F.count("*")).alias("truncation_defect"),
     )
+    return out.join(F.broadcast(found), "system")
 

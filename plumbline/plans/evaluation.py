@@ -345,7 +345,7 @@ CAP = 24
 @register("decoding_audit")
 def decoding_audit(spark, d):
     """By system, rows flagged for loops or strong compression, what insertions they hold, caps and the truncation rule."""
-    return asr.decoding_audit(asr.decoding_facts(v.asr_errors(spark, d), cap=CAP))
+    return asr.decoding_audit(kept(asr.decoding_facts(v.asr_errors(spark, d), cap=CAP), "decoding"))
 
 
 _DEC = f"dec AS (SELECT system, n AS n_ref, m AS n_hyp, insertions, list_has_any([true], [{v.LOOP.replace('len(w)', 'len(hyp)').replace('w[', 'hyp[')}]) AS flagged, hyp, m / CAST(greatest(n, 1) AS DOUBLE) AS ratio FROM ops)"
@@ -363,7 +363,7 @@ _SHARE = "round(coalesce({0} / CAST(nullif({1}, 0) AS DOUBLE), 0), 9)"
 )
 def decoding_loops(spark, d):
     """The decoding audit by loops alone, which other engines can repeat."""
-    return asr.decoding_audit(asr.decoding_facts(v.asr_errors(spark, d), compressed=None, cap=CAP))
+    return asr.decoding_audit(kept(asr.decoding_facts(v.asr_errors(spark, d), compressed=None, cap=CAP), "decoding"))
 
 
 @register("same_sample_rescore", f"WITH {v.ASR}, pick AS (SELECT utterance_id FROM (SELECT utterance_id, row_number() OVER (PARTITION BY speaker_id ORDER BY {v.bucket_sql('concat_ws(chr(124), 5, utterance_id)')}, utterance_id) AS k FROM sent) WHERE k <= 100) SELECT system, count(*) AS n, round(sum(errors) / sum(n_ref), 9) AS wer FROM asr SEMI JOIN pick USING (utterance_id) GROUP BY system")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical, numeric, text
 from ..operators import holdout, metrics, permutation, resampling, selection
 from ..operators.checks import GateError
-from ..sources.writers import kept
+from ..sources.writers import dropped, kept
 from . import evaluation as ev
 from . import features
 from . import views as v
@@ -56,6 +56,7 @@ def permutation_refit(spark, d):
     rows = kept(rows, "acquisition")
     groups = kept(rows.select("key", "label").distinct(), "acquisition-groups")
     pooled, mean = permutation.null_scores(rows, groups, width, ev.PERMUTATIONS)
+    dropped(rows, groups)
     null = pooled[1:]
     exceed = int((null >= pooled[0]).sum())
     facts = {"observed_pooled": pooled[0], "observed_mean_fold": mean[0], "null_mean": null.mean(), "null_sd": null.std(ddof=1)}

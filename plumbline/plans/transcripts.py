@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, numeric, text
 from ..operators import asr, holdout, many_models, metrics
-from ..sources.writers import kept
+from ..sources.writers import dropped, kept
 from . import evaluation as ev
 from . import features, inference
 from . import views as v
@@ -114,6 +114,7 @@ def head_on_sources(spark, d):
         rows = kept(rows.join(place, "key").withColumns({"speaker": F.lit(0), "fold": F.col("outer_fold")}), f"source-{name}")
         fits = fits or many_models.fit(rows, width, design)
         counts = many_models.tested_counts(rows, fits, design)
+        dropped(rows)
         f1 = many_models.macro_f1
         total = counts.sum(0)
         out.append((name, int(total.sum()), round(float(f1(total)), 9), round(float(f1(counts).mean()), 9), round(float((total[0] + total[3]) / max(1, total.sum())), 9)))
@@ -128,5 +129,6 @@ def pooled_acquisition(spark, d):
     rows = kept(rows.join(place, "key").withColumns({"speaker": F.lit(0), "fold": F.col("outer_fold")}), "acquisition-folds")
     design = holdout.Holdout(0, 5)
     counts = many_models.tested_counts(rows, many_models.fit(rows, width, design), design)
+    dropped(rows)
     pooled, mean = float(many_models.macro_f1(counts.sum(0))), float(many_models.macro_f1(counts).mean())
     return spark.createDataFrame([(int(counts.sum()), round(pooled, 9), round(mean, 9), round(pooled - mean, 9))], "n bigint, pooled double, fold_mean double, difference double")
