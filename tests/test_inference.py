@@ -106,3 +106,12 @@ def test_a_model_without_rows_and_one_class(spark):
     rows = spark.createDataFrame([(1, 1, "a", 1, [1.0]), (2, 2, "a", 1, [2.0]), (3, 3, "b", 1, [0.5])], ROWS).selectExpr("*", "0 as outer_fold")
     said = holdout.holdout_predictions(rows, "utterance_id", 1)
     assert said.count() == 6 and all(0 <= r.prob <= 1 for r in said.collect())
+
+
+def test_empty_tables(spark):
+    rows = spark.createDataFrame([], ROWS)
+    pooled, mean = permutation.null_scores(rows, rows.select("key", "label"), 2, 3)
+    assert pooled.tolist() == mean.tolist() == [0.0] * 4
+    one = spark.createDataFrame(sample(n=6, groups=3), ROWS).where("label = 0")
+    pooled, _ = permutation.null_scores(one, one.select("key", "label").distinct(), 4, 2)
+    assert len(pooled) == 3 and all(0 <= p <= 1 for p in pooled)
