@@ -34,8 +34,9 @@ def read_vectors(spark: SparkSession, path: str, vector: str = "embedding") -> D
     return df.withColumn(vector, l2_normalized(F.col(vector)))
 
 
-def scan_folder(spark: SparkSession, path: str, pattern: str, parts: dict[str, int], extensions: list[str], content: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) files below a folder. parts names groups of the file name's pattern; a rejected file has an issue.
+def scan_folder(spark: SparkSession, path: str, pattern: str, parts: dict[str, int], extensions: list[str], content: bool = False, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) files below a folder. parts names groups of the file name's pattern; a rejected file has an issue: extension, name or,
+    where folder names the part that a file's own folder is called after, folder_mismatch.
 
     Only names, sizes and times are read unless content is asked for, which adds the md5 and sha256 of each file."""
     columns = ["path", "length", "modificationTime"] + (["content"] if content else [])
@@ -46,5 +47,7 @@ def scan_folder(spark: SparkSession, path: str, pattern: str, parts: dict[str, i
     if content:
         made = made.withColumns({"md5": F.md5("content"), "sha256": F.sha2("content", 256)}).drop("content")
     issue = F.when(~extension.isin(extensions), "extension").when(~name.rlike(pattern), "name")
+    if folder:
+        issue = issue.when(F.lower(F.element_at(F.split("path", "/"), -2)) != F.lower(folder), "folder_mismatch")
     marked = made.withColumn("issue", issue)
     return marked.where("issue is null").drop("issue"), marked.where("issue is not null")

@@ -115,6 +115,12 @@ def test_sources_and_sinks(spark, tmp_path):
     good, bad = readers.scan_folder(spark, str(tmp_path / "audio"), r"(\d+)_(\w+)\.", {"number": 1, "speaker": 2}, ["wav"], content=True)
     assert [(r.number, r.speaker, r.md5) for r in good.collect()] == [("12", "ab", "9dd4e461268c8034f5c8564e155c67a6")]
     assert [r.issue for r in bad.collect()] == ["extension"]
+    (tmp_path / "audio" / "ab").mkdir()
+    (tmp_path / "audio" / "ab" / "13_AB.wav").write_bytes(b"x")
+    (tmp_path / "audio" / "ab" / "14_cd.wav").write_bytes(b"x")
+    good, bad = readers.scan_folder(spark, str(tmp_path / "audio"), r"(\d+)_(\w+)\.", {"number": 1, "speaker": 2}, ["wav"], folder="speaker")
+    assert [r.number for r in good.collect()] == ["13"]
+    assert sorted((r.issue, r.number) for r in bad.collect()) == [("extension", ""), ("folder_mismatch", "12"), ("folder_mismatch", "14")]
     out = str(tmp_path / "table")
     assert writers.write_once(spark.range(3), out) is None
     with pytest.raises(FileExistsError):
