@@ -40,6 +40,31 @@ def test_pairwise_weights_minimise_their_loss():
     assert abs(weight[s < model.threshold].sum() - 0.4) <= weight.max() + 1e-12
 
 
+def test_every_labelled_document_is_in_the_fit(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    docs, marks = [], []
+    for i in range(1500):
+        good = int(rng.random() < 0.7)
+        docs.append((i, " ".join(("w" * int(rng.integers(2, 9)) if rng.random() < 0.6 + 0.3 * good else "BAD!!") for _ in range(int(rng.integers(5, 60))))))
+        marks.append((i, good))
+    df, labels = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, quality int")
+    use = lambda k: k % 10 != 0
+    few, whole = quality.train(df, labels, use, 100), quality.train(df, labels, use)
+    x, y = np.array([quality.features(t) for i, t in docs if i % 10]), np.array([q for i, q in marks if i % 10])
+    for model in (few, whole):
+        assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-9))
+        s = model.expand(x) @ model.weights
+        assert abs((s < model.threshold).sum() - (y == 0).sum()) <= 1 and np.isclose(model.spread, s.std() / 4)
+    assert np.corrcoef(few.expand(x) @ few.weights, whole.expand(x) @ whole.weights)[0, 1] > 0.99
+    again = quality.train(df.repartition(5), labels.repartition(3), use, 100)
+    assert np.array_equal(again.weights, few.weights) and again.threshold == few.threshold
+    monkeypatch.setattr(quality, "BROADCAST_LABELS", 10)  # beyond these, labels meet features by a join
+    assert np.array_equal(quality.train(df, labels, use, 100).weights, few.weights)
+    # a label of a handful of rows goes to every pool
+    rare = quality.train(df, labels.where("quality = 1 or doc_id < 30"), use, 100)
+    assert np.isfinite(rare.weights).all() and np.abs(rare.weights).max() > 0
+
+
 @pytest.mark.parametrize("penalty", [0.0, toxicity.PENALTY])
 def test_penalised_weights_minimise_their_loss(penalty):
     rng = np.random.default_rng(4)
