@@ -398,26 +398,37 @@ def _least_common_of(n: np.ndarray, matches: np.ndarray, m: np.ndarray, more: np
     return -(-(n + m) * NUMERATOR // both) - np.maximum(beyond(n, matches), beyond(m, more))
 
 
+def _sent(lists: DataFrame) -> DataFrame:
+    """(node, n, matches, component, at, list, weight, of, of_weight): the rows that go to their lists; of: all lists of the node in order, at: how many come before this one."""
+    entry = F.struct("size", F.col("name").alias("list"), F.col("weight").cast("int").alias("weight"), "least")
+    sets = lists.groupBy("node").agg(*(F.first(f).alias(f) for f in ("n", "matches", "component")), F.array_sort(F.collect_list(entry)).alias("of"))
+    rows = sets.select("node", "n", "matches", "component", "of", (F.size("of") <= LONG).alias("whole"), F.posexplode("of").alias("at", "l"))
+    after = F.aggregate(F.slice("of", F.col("at") + 1, F.size("of")), F.lit(0), lambda s, x: s + x["weight"])
+    rows = rows.withColumn("of", F.when(F.col("whole"), F.col("of")))
+    meets_long = F.col("n") > (LONG - MOST_MATCHES) * NUMERATOR // (DENOMINATOR - NUMERATOR)
+    rows = rows.where(~F.col("whole") | meets_long | (after >= F.col("l.least")))
+    return rows.select("node", "n", "matches", "component", "at", F.col("l.list").alias("list"), F.col("l.weight").alias("weight"), F.col("of.list").alias("of"), F.col("of.weight").alias("of_weight"))
+
+
 def _candidates(lists: DataFrame) -> DataFrame:
     """(a, b, c): pairs a < b of different components whose prefixes share as many tokens as they need; c: the similarity of the prefixes.
 
-    lists: rows (list, node, n, matches, weight, component). Every row goes to its list with all lists of its node, so that a task counts what the pairs of a list
-    share without a row for each, and gives a pair out once: in the first list that both are in, and only if it is a candidate. Lists of over
-    BLOCK rows are compared block by block. Nodes in over LONG lists come without these; their pairs are given out by list, and counted after.
+    lists: rows (name, node, n, matches, weight, component, least, size); least: the smallest matches in the list, size: its rows. Every row goes to its list
+    with all lists of its node in one order, short ones first, so that a task counts what the pairs of a list share without a row for each, and gives a
+    pair out once: in the first list that both are in, and only if it is a candidate. A pair shares min(matches) tokens at least, so a row whose
+    list and those after it hold fewer than the least of that list meets nobody first there and stays at home. Lists of over BLOCK rows are compared
+    block by block. Nodes in over LONG lists come without these; their pairs are given out by list, and counted after, so nodes large enough to meet one send all their rows.
     """
-    name = F.shiftright("list", 32).cast("int")  # lists whose names share this half are compared as one
-    each = lists.withColumn("list", name)
-    sets = each.groupBy("node").agg(*(F.first(f).alias(f) for f in ("n", "matches", "component")), F.collect_list(F.struct("list", "weight")).alias("of"))
-    blocks = written(each.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "list-blocks")
-    rows = sets.select("node", "n", "matches", "component", F.when(F.size("of") <= LONG, F.col("of")).alias("of"), F.explode("of").alias("l")).select("*", F.col("l.list").alias("list"), F.col("l.weight").alias("weight")).drop("l")
+    rows = _sent(lists)
+    blocks = written(rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "list-blocks")
     rows = rows.join(_few(blocks), "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("list", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "n", "matches", "component", "weight", "of")
-    names = ("a", "b", "c", "n_x", "matches_x", "n_y", "matches_y")
+    rows = rows.select("list", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "n", "matches", "component", "weight", "at", "of", "of_weight")
+    names = ("a", "b", "c", "n_x", "matches_x", "n_y", "matches_y", "both")
     out = pa.schema([pa.field(f, pa.int64()) for f in names])
 
-    def pairs(c: dict, of: list, at: int, low: int, high: int) -> list[np.ndarray]:
-        """The pairs of one cell; its columns, its nodes' lists as (names, weights) or None."""
+    def pairs(c: dict, of: list, low: int, high: int) -> list[np.ndarray]:
+        """The pairs of one cell; its columns, its nodes' lists as (names, weights) or None. at: how many lists of a row's node come before this one."""
         m = len(of)
         side = c["part"] == low
         i, j = np.nonzero(np.tri(m, k=-1, dtype=bool).T if low == high else side[:, None] & ~side[None])
@@ -428,14 +439,17 @@ def _candidates(lists: DataFrame) -> DataFrame:
             return []
         whole = np.array([x is not None for x in of])
         names_ = np.concatenate([x[0] for x in of if x is not None] or [np.zeros(0, np.int32)])
-        used, place, seen = np.unique(names_, return_inverse=True, return_counts=True)
+        _, place, seen = np.unique(names_, return_inverse=True, return_counts=True)
         row = np.repeat(np.flatnonzero(whole), [len(x[0]) for x in of if x is not None])
         met = seen[place] > 1  # what only one of the nodes is in, no pair shares
         fresh = np.cumsum(seen > 1) - 1
         weight = np.zeros((m, int((seen > 1).sum())), np.float32)
         if met.any():
             np.add.at(weight, (row[met], fresh[place[met]]), np.concatenate([x[1] for x in of if x is not None])[met])
-        before, held = used[seen > 1] < at, weight > 0
+        held, before = weight > 0, np.zeros(weight.shape, bool)
+        if met.any():
+            early = np.concatenate([np.arange(len(x[0])) < k for x, k in zip(of, c["at"], strict=True) if x is not None])[met]
+            before[row[met][early], fresh[place[met]][early]] = True
         both = whole[i] & whole[j]
         count = np.where(both, np.minimum(c["weight"][i], c["weight"][j]), 0)
         good = ~both
@@ -444,29 +458,29 @@ def _candidates(lists: DataFrame) -> DataFrame:
             p, q = x[s : s + 4096], y[s : s + 4096]
             common = held[p] & held[q]
             k = (weight[p] * common).sum(1).astype(np.int64)
-            ok = ~common[:, before].any(1) & (k >= _least_common_of(n[p], matches[p], n[q], matches[q]))
+            ok = ~(before[p] & before[q]).any(1) & (k >= _least_common_of(n[p], matches[p], n[q], matches[q]))
             where = np.flatnonzero(both)[s : s + 4096]
             good[where], count[where] = ok, k
         count[~both] = np.maximum(c["weight"][i], c["weight"][j])[~both]
-        i, j, count = i[good], j[good], count[good]
+        i, j, count, both = i[good], j[good], count[good], both[good]
         first = c["node"][i] < c["node"][j]
         a, b = np.where(first, i, j), np.where(first, j, i)
-        return [c["node"][a], c["node"][b], count, n[a], matches[a], n[b], matches[b]]
+        return [c["node"][a], c["node"][b], count, n[a], matches[a], n[b], matches[b], both]
 
     def run(batches):
         hold("jaccard_join", _hashes.clear)
         cell, held = None, []  # rows of the cell that is not complete yet
 
         def done():
-            c = {f: np.array([h[k] for h in held], np.int64) for k, f in enumerate(("part", "node", "n", "matches", "component", "weight"))}
-            return pairs(c, [h[6] for h in held], *cell) if len(held) > 1 else []
+            c = {f: np.array([h[k] for h in held], np.int64) for k, f in enumerate(("part", "node", "n", "matches", "component", "weight", "at"))}
+            return pairs(c, [h[7] for h in held], *cell[1:]) if len(held) > 1 else []
 
         for batch in batches:
             found: list[list[np.ndarray]] = []
-            col = {f: batch.column(f).to_numpy(zero_copy_only=False).tolist() for f in ("list", "low", "high", "part", "node", "n", "matches", "component", "weight")}
-            of = batch.column("of")
-            valid, ends = of.is_valid().to_pylist(), of.offsets.to_numpy()
-            flat_names, flat_weights = (of.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            col = {f: batch.column(f).to_numpy(zero_copy_only=False).tolist() for f in ("list", "low", "high", "part", "node", "n", "matches", "component", "weight", "at")}
+            of, of_weight = batch.column("of"), batch.column("of_weight")
+            valid, ends, weight_ends = of.is_valid().to_pylist(), of.offsets.to_numpy(), of_weight.offsets.to_numpy()
+            flat_names, flat_weights = (x.values.to_numpy(zero_copy_only=False) for x in (of, of_weight))
             for k in range(batch.num_rows):
                 own = col["list"][k], col["low"][k], col["high"][k]
                 if own != cell:
@@ -474,15 +488,15 @@ def _candidates(lists: DataFrame) -> DataFrame:
                         found.append(got)
                     cell = own
                     held.clear()
-                s = slice(ends[k], ends[k + 1])
-                held.append((*(col[f][k] for f in ("part", "node", "n", "matches", "component", "weight")), (flat_names[s], flat_weights[s]) if valid[k] else None))
+                mine = flat_names[ends[k] : ends[k + 1]], flat_weights[weight_ends[k] : weight_ends[k + 1]]
+                held.append((*(col[f][k] for f in ("part", "node", "n", "matches", "component", "weight", "at")), mine if valid[k] else None))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], schema=out)
         if got := done():
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in got], schema=out)
 
     near = rows.repartition("list", "low", "high").sortWithinPartitions("list", "low", "high")
-    counted = near.mapInArrow(trimmed(run), ", ".join(f"{f} bigint" for f in names)).groupBy("a", "b").agg(F.sum("c").alias("c"), *(F.first(f).alias(f) for f in names[3:]))
+    counted = near.mapInArrow(trimmed(run), ", ".join(f"{f} bigint" for f in names)).groupBy("a", "b").agg(F.when(F.min("both") > 0, F.max("c")).otherwise(F.sum("c")).alias("c"), *(F.first(f).alias(f) for f in names[3:7]))
     alike = F.expr("c / (" + " + ".join(f"n_{s} - ({NUMERATOR} * n_{s} + {DENOMINATOR - 1}) div {DENOMINATOR} + matches_{s}" for s in "xy") + " - c)")
     return counted.where(F.col("c") >= _least_common("n_x", "matches_x", "n_y", "matches_y")).select("a", "b", alike.alias("c"))
 
@@ -514,9 +528,9 @@ def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
         met = star.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("c"), _shares(F.sum("weight"), 0.5).alias("enough"))
         found.verify(met.where("enough").groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"))
         discard(degree, pivots)
-    own = _labelled(lists, found.label)
-    open_lists = written(own.groupBy("list").agg(more_than_one.alias("open")).where("open").select("list"), "open-names")
-    now = written(own.join(_few(open_lists), "list", "left_semi"), "open-lists")
+    own = _labelled(lists, found.label).withColumn("name", F.shiftright("list", 32).cast("int")).drop("list")  # lists whose names share this half are compared as one
+    open_lists = written(own.groupBy("name").agg(more_than_one.alias("open"), F.min("matches").alias("least"), F.count("*").alias("size")).where("open").drop("open"), "open-names")
+    now = written(own.join(_few(open_lists), "name"), "open-lists")
     rest = written(_candidates(now), "candidates")
     discard(lists_, open_lists, now)
     for turn in range(PASSES + 1):

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import components, embedding_dedup, jaccard_join
 
@@ -208,3 +209,18 @@ def test_lengths_never_share_a_bucket(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5)}
+
+
+def test_rows_that_are_first_for_nobody_stay_at_home(spark):
+    """Candidates against all pairs; nodes that share fewer lists than any pair needs send nothing."""
+    rng = random.Random(8)
+    of = {k: {2 * rng.randrange(40) for _ in range(12)} for k in range(40)} | {100 + k: {1000 + k, 1001 + k} for k in range(30)}
+    rows = [(i, k, 10, 4, 1 + i % 2, k // 2) for k, x in of.items() for i in x]
+    lists = spark.createDataFrame(rows, "name int, node bigint, n int, matches int, weight bigint, component bigint")
+    facts = lists.groupBy("name").agg(F.min("matches").alias("least"), F.count("*").alias("size")).where("size > 1")
+    lists = lists.join(facts, "name")
+    assert all(r.node < 100 for r in jaccard_join._sent(lists).collect()) and jaccard_join._sent(lists).count() < lists.where("node < 100").count()
+    got = [(r.a, r.b) for r in jaccard_join._candidates(lists).collect()]
+    needed = int(jaccard_join._least_common_of(*(np.array([x]) for x in (10, 4, 10, 4)))[0])
+    want = [(a, b) for a, b in itertools.combinations(of, 2) if a // 2 != b // 2 and sum(1 + i % 2 for i in of[a] & of[b]) >= needed]
+    assert sorted(got) == sorted(want) and want
