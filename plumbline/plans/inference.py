@@ -242,11 +242,12 @@ def robust_bootstrap_change(spark, d):
     ids = high.select(F.explode(F.array("a", "b")).alias("utterance_id")).distinct()
     crowd = kept(v.recordings(spark, d).join(ids, "utterance_id", "left_semi").select("group_id").distinct(), "near-duplicate-groups")
 
-    def found(frame, tag):
+    def found(scores, tag):
         names = ("gap", "low", "high", "excludes_zero")
-        return resampling.paired_differences(ev.boot(spark, d, frame), "condition", ev.PAIRS).withColumnsRenamed({k: f"{k}_{tag}" for k in names})
+        return resampling.paired_differences(scores, "condition", ev.PAIRS).withColumnsRenamed({k: f"{k}_{tag}" for k in names})
 
-    both = found(rows, "full").join(found(rows.join(crowd, "group_id", "left_anti"), "filtered"), "comparison").drop("excludes_zero_full")
+    full, filtered = resampling.bootstrap_scores_each([rows, rows.join(crowd, "group_id", "left_anti")], "group_id", "condition", ev.ITERATIONS, ev.BOOT_SEED)
+    both = found(full, "full").join(found(filtered, "filtered"), "comparison").drop("excludes_zero_full")
     return both.withColumn("change", F.round(F.col("gap_filtered") - F.col("gap_full"), 9)).crossJoin(crowd.agg(F.count("*").alias("groups_excluded")))
 
 

@@ -189,3 +189,21 @@ def test_bootstrap_limits(spark, monkeypatch, most):
             if of:
                 want[i, c] = (f1(1) + f1(0)) / 2
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+@pytest.mark.parametrize("hashed", [8, 1 << 15])
+def test_bootstraps_of_two_frames_share_their_hashes(spark, monkeypatch, hashed):
+    """Each frame against its own bootstrap by joined draws; hashes against hashlib, over one, two and three digits."""
+    monkeypatch.setattr(resampling, "HASHED", hashed)
+    texts = resampling._texts(20260807, 2, np.arange(120), 1)
+    for at, x in ((9, b"4"), (10, b"7")):
+        texts[at // 4, :, at % 4] = ord(x)
+    assert resampling.md5_heads(texts.view(np.uint32)[..., 0]).tolist() == [int(hashlib.md5(f"20260807|47|{k}".encode()).hexdigest()[:8], 16) for k in range(120)]
+    rng = random.Random(4)
+    rows = [(g, c, rng.randrange(2), rng.randrange(2)) for g in range(23) for c in "xy"]
+    df = spark.createDataFrame(rows, "g int, c string, label int, predicted int")
+    frames = [df, df.where("g % 3 > 0")]
+    said = lambda x: {(r.iteration, r.c): r.score for r in x.collect()}
+    got = [said(x) for x in resampling.bootstrap_scores_each(frames, "g", "c", 120, 11)]
+    monkeypatch.setattr(resampling, "BROADCAST_GROUPS", 0)
+    assert got == [pytest.approx(said(resampling.bootstrap_scores(x, "g", "c", 120, 11)), abs=1e-12) for x in frames]
