@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import ml
+from plumbline.operators import lexical, ml
 from plumbline.plans import features, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +82,46 @@ def test_tfidf_vectors_hold_every_training_term(spark):
         p = 1 / (1 + np.exp(-x[fit] @ w))
         w -= np.linalg.solve((x[fit] * (p * (1 - p))[:, None]).T @ x[fit] + np.diag(ridge + 1e-12), x[fit].T @ (p - y[fit]) + ridge * w)
     assert max(abs(said[i] - 1 / (1 + np.exp(-x[i] @ w))) for i in said) < 1e-3
+
+
+def test_lexical_baseline_holds_no_vocabulary_in_the_driver(spark, monkeypatch):
+    from pyspark.ml.feature import CountVectorizer
+
+    def refused(*_):
+        raise MemoryError("a vocabulary in the driver")
+
+    monkeypatch.setattr(CountVectorizer, "fit", refused)
+    assert registry.QUERIES["lexical_baseline"](spark, SF).count() == 5
+
+
+@pytest.mark.parametrize("near", [64, 2])
+def test_lexical_folds_are_the_minima(spark, near):
+    """Against fits by Newton steps on plain arrays, in one range of documents and in several; a copy, an empty text and terms of the tested fold only are there."""
+    rng = np.random.default_rng(4)
+    docs = []
+    for i in range(90):
+        w = [f"w{k}" for k in rng.integers(0, 25, rng.integers(1, 12))] + ["yes" if i % 2 else "no"] * int(rng.integers(0, 3)) + (["onlytest"] if i % 5 == 0 else [])
+        docs.append((i, w, i % 5, (i + i // 45) % 2))
+    docs[7] = (7, docs[1][1], 2, 1)
+    docs[8] = (8, [], 3, 0)
+    df = spark.createDataFrame(docs, "id int, words array<string>, fold int, label int")
+    grid = (10.0, 0.1, 1.0)
+    got = {r.id: r for r in lexical.lexical_folds(df, "id", "words", "fold", "label", list(range(5)), grid, docs=20, near=near).collect()}
+    assert len(got) == 90
+    counts = [Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]) for _, w, *_ in docs]
+    fold, y = (np.array([d[j] for d in docs]) for j in (2, 3))
+    for k in range(5):
+        others, fit, after = fold != k, ~np.isin(fold, [k, (k + 1) % 5]), fold == (k + 1) % 5
+        seen = Counter(t for i in np.flatnonzero(others) for t in counts[i])
+        x = np.array([[c[t] * (math.log((others.sum() + 1) / (n + 1)) + 1) for t, n in sorted(seen.items())] for c in counts])
+        x = np.column_stack([x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), np.ones(len(x))])
+        score, ridge = {}, np.r_[np.ones(len(seen)), 0]
+        for c in sorted(grid):
+            w = np.zeros(len(seen) + 1)
+            for _ in range(40):
+                p = 1 / (1 + np.exp(-x[fit] @ w))
+                w -= np.linalg.solve(c * (x[fit] * (p * (1 - p))[:, None]).T @ x[fit] + np.diag(ridge), c * x[fit].T @ (p - y[fit]) + ridge * w)
+            score[c] = x @ w
+        best = max(sorted(grid), key=lambda c: ml.macro_f1(y[after], (score[c][after] > 0).astype(int)))  # noqa: B023
+        for i in np.flatnonzero(fold == k):
+            assert got[i].c == best and got[i].prob == pytest.approx(1 / (1 + np.exp(-score[best][i])), abs=1e-3)
