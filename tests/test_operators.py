@@ -207,3 +207,17 @@ def test_bootstraps_of_two_frames_share_their_hashes(spark, monkeypatch, hashed)
     got = [said(x) for x in resampling.bootstrap_scores_each(frames, "g", "c", 120, 11)]
     monkeypatch.setattr(resampling, "BROADCAST_GROUPS", 0)
     assert got == [pytest.approx(said(resampling.bootstrap_scores(x, "g", "c", 120, 11)), abs=1e-12) for x in frames]
+
+
+def test_bootstrap_counts_kinds_of_groups(spark, monkeypatch):
+    """Beyond 100,000 groups no draw is joined as long as few kinds of counts differ, and sums equal those of joined draws, stretch by stretch."""
+    df = spark.range(100_500).select(F.col("id").alias("g"), F.lit("x").alias("c"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 3 % 2).cast("int").alias("predicted"))
+    said = lambda: {r.iteration: r.score for r in resampling.bootstrap_scores(df, "g", "c", 12, 20260807).collect()}
+    want = []
+    with monkeypatch.context() as m:
+        m.setattr(resampling, "KINDS", 3)
+        want.append(said())
+    joined = []
+    monkeypatch.setattr(resampling, "_joined", lambda *a: joined.append(a))
+    monkeypatch.setattr(resampling, "CELLS", 12)
+    assert [pytest.approx(x, abs=1e-12) for x in want] == [said()] and len(want[0]) == 13 and not joined
