@@ -125,3 +125,23 @@ def test_lexical_folds_are_the_minima(spark, near):
         best = max(sorted(grid), key=lambda c: ml.macro_f1(y[after], (score[c][after] > 0).astype(int)))  # noqa: B023
         for i in np.flatnonzero(fold == k):
             assert got[i].c == best and got[i].prob == pytest.approx(1 / (1 + np.exp(-score[best][i])), abs=1e-3)
+
+
+def test_encoded_folds_are_fitted_together(spark, monkeypatch):
+    """The query fits no fold of its own; against encoders and Newton fits fold by fold, with missing values, a level that one fold alone has, and a constant column."""
+    monkeypatch.delattr(ml, "logistic_folds")
+    assert {r.fold for r in registry.QUERIES["nuisance_classifier"](spark, SF).collect()} == set(range(5))
+    rng = np.random.default_rng(8)
+    rows = [(i % 3, int(rng.integers(2)), None if i % 7 == 0 else float(rng.normal()), 0.1, "z" if i % 3 == 0 and i < 9 else "xy"[i % 2]) for i in range(90)]
+    df = spark.createDataFrame(rows, "fold int, label int, a double, b double, s string")
+    got = ml.encoded_logistic_folds(df, "fold", "label", ["a", "b"], ["s"], {"s": ["x", "y", "z"]}, [0, 1, 2]).collect()
+    for k in range(3):
+        coder = ml.train_only_encoder(df.withColumn("training", F.col("fold") != k), "training", ["a", "b"], ["s"])
+        coded = ml.encode(df, coder, ["fold", "label"], ["a", "b"], ["s"], {"s": ["x", "y", "z"]}).collect()
+        x, y, train = np.array([[*r.features, 1.0] for r in coded]), np.array([r.label for r in coded]), np.array([r.fold != k for r in coded])
+        w, ridge = np.zeros(6), np.r_[np.ones(5), 0]
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-x[train] @ w))
+            w -= np.linalg.solve((x[train].T * (p * (1 - p))) @ x[train] + np.diag(ridge + 1e-12), x[train].T @ (p - y[train]) + ridge * w)
+        want = 1 / (1 + np.exp(-x[~train] @ w))
+        assert sorted(r.prob for r in got if r.fold == k) == pytest.approx(sorted(want), abs=1e-9)
